@@ -59,7 +59,7 @@ def sniff_separator(lines: Sequence[str]) -> str:
 
 def head_lines(spark: SparkSession, path: str, n: int = PROBED_ROWS + 1) -> list[str]:
     """First lines of one file; the job stops after its first block."""
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+    return [r[0] for r in spark.read.option("recursiveFileLookup", True).text(path).limit(n).collect()]
 
 
 def _header(lines: list[str], sep: str, quote: str) -> tuple[list[str], str]:
@@ -89,6 +89,7 @@ def _read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], sep:
         spark.read.schema(schema)
         .option("header", True).option("sep", sep).option("quote", quote).option("escape", quote)
         .option("nullValue", "").option("multiLine", multi_line)
+        .option("recursiveFileLookup", True)
         .csv(list(paths))
     )
 
@@ -159,7 +160,7 @@ def read_feed(
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
-    return out.repartition() if spread and any(p.rstrip("/").endswith(".gz") for p in listed) else out
+    return out.hint("rebalance") if spread and any(p.rstrip("/").endswith(".gz") for p in listed) else out
 
 
 def limit_per_file(df: DataFrame, n: int, order_by: Sequence[str], file_col: str = "_file") -> DataFrame:

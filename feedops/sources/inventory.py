@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,26 @@ def file_inventory(
     return named.select("path", "directory", "name", "size", "mtime")
 
 
+def expand_paths(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
+    """Files that match any glob, each once, in path order.
+
+    A pattern without a match is reported and skipped.
+    """
+    found = None
+    for pattern in patterns:
+        try:
+            files = spark.read.format("binaryFile").load(pattern).select(decoded(F.col("path")).alias("path"))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            warnings.warn(f"No files match pattern: {pattern}", stacklevel=2)
+            continue
+        found = files if found is None else found.unionByName(files)
+    if found is None:
+        return spark.createDataFrame([], "path string")
+    return found.distinct().orderBy("path")
+
+
 def logical_inventory(inv: DataFrame, root: str = "") -> DataFrame:
     """Inventory in which a folder of ``part-`` files counts as one file."""
     whole = inv.groupBy(logical_path(F.col("path")).alias("path")).agg(
