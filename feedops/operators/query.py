@@ -58,13 +58,17 @@ def where_eq(df: DataFrame, terms: Mapping[str, object] | str) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
-def rows_at(df: DataFrame, start: int, count: int, order_by: Sequence[str]) -> DataFrame:
+def rows_at(
+    df: DataFrame, start: int, count: int, order_by: Sequence[str], shallow: int = SHALLOW
+) -> DataFrame:
     """Rows ``start`` to ``start + count - 1`` of a total order, 0-based.
 
+    Near the start a top-n is enough. Beyond ``shallow`` rows it would gather
+    the skipped rows in one task, so the bounds of the range come first.
     Only the order columns are shuffled to find the bounds (this runs jobs);
     the rows are then read by a range filter.
     """
-    if start + count <= SHALLOW:
+    if start + count <= shallow:
         return df.orderBy(*[col(c) for c in order_by]).offset(start).limit(count)
     found = range_bounds(df, order_by, start, count)
     if found is None:

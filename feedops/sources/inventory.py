@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 
 def decoded(path: Column) -> Column:
-    """File path as people write it (``%20`` and the like undone)."""
-    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    """File path as people write it (``%20`` and the like undone), with one form
+    for local paths."""
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.coalesce(plain, path), "^file:/+", "file:/")
 
 
 def logical_path(path: Column) -> Column:

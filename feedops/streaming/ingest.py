@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedops.sources.inventory import file_inventory
+from feedops.sources.inventory import decoded, file_inventory
 
 
 def nth_path(spark: SparkSession, src: str, n: int, suffixes: tuple[str, ...] = ()) -> str | None:
@@ -41,7 +41,7 @@ def ingest_incremental(
     )
     if skip_first:
         last = nth_path(spark, src, skip_first)
-        stream = stream.filter(F.col("_metadata.file_path") > F.lit(last)) if last else stream.filter(F.lit(False))
+        stream = stream.filter(decoded(F.col("_metadata.file_path")) > F.lit(last)) if last else stream.filter(F.lit(False))
     out = transform(stream) if transform else stream
     run = (
         out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
