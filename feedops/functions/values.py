@@ -63,7 +63,7 @@ def is_number(c: Column | str) -> Column:
 def is_date(c: Column | str) -> Column:
     """``yyyy-mm-dd`` and a real calendar day."""
     c = _col(c)
-    return c.rlike(DATE) & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull()
+    return c.rlike(DATE) & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
 
 
 def is_timestamp(c: Column | str) -> Column:
@@ -128,7 +128,7 @@ def type_value(c: Column | str) -> Column:
     def out(value: Column, kind: str) -> Column:
         return F.struct(value.cast("string").alias("value"), F.lit(kind).alias("value_type"))
 
-    day = F.try_to_date(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
+    day = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd").isNotNull()
     return (
         F.when(c.isNull() | (c == "") | (F.upper(c) == "N.A."), out(F.lit(None), "null"))
         .when(c.rlike(DOCUMENT_NUMBER), out(c, "number"))
@@ -155,7 +155,7 @@ def name_date_text(name: Column | str) -> Column:
 
 def name_date(name: Column | str) -> Column:
     """Date in a file name; NULL where the digits are no calendar day."""
-    return F.try_to_date(name_date_text(name), F.lit("yyyyMMdd"))
+    return F.try_to_date(name_date_text(name), "yyyyMMdd")
 
 
 def prefix_path(c: Column | str) -> Column:

@@ -40,7 +40,7 @@ def c2(spark, d):
 @add("c2_fingerprint_columns", f"""
 WITH {CELLS}, hit AS (SELECT DISTINCT key FROM changed_strict WHERE "column" IN ('o_orderstatus', 'o_totalprice'))
 SELECT CASE WHEN h.key IS NULL THEN 'unchanged' ELSE 'modified' END AS status, count(*) AS keys
-FROM both b LEFT JOIN hit h ON b.key = h.key GROUP BY 1""")
+FROM pairs b LEFT JOIN hit h ON b.key = h.key GROUP BY 1""")
 def c2_columns(spark, d):
     found = op.classify(*snapshots(spark, d), KEY, columns=["o_orderstatus", "o_totalprice"])
     return found.filter("status in ('modified', 'unchanged')").groupBy("status").agg(F.count("*").alias("keys"))

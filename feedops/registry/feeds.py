@@ -161,7 +161,7 @@ def r10(spark, d):
 
 
 @add("r11_staged_tables", """
-SELECT 'temp_orders_' || o_orderstatus || '_csv_' || substr(md5('orders_' || o_orderstatus || '.csv.gz'), 1, 8) AS table_name,
+SELECT 'temp_orders_' || lower(o_orderstatus) || '_csv_' || substr(md5('orders_' || o_orderstatus || '.csv.gz'), 1, 8) AS table_name,
        count(*) AS "rows" FROM orders GROUP BY o_orderstatus""")
 def r11(spark, d):
     orders = table(spark, d, "orders")

@@ -65,16 +65,16 @@ curr AS (
 
 # one row per cell of both snapshots, aligned by key
 CELLS = f"""{SNAPSHOTS},
-both AS (SELECT p.o_orderkey AS key, p.o_custkey AS p1, c.o_custkey AS c1, p.o_orderstatus AS p2,
+pairs AS (SELECT p.o_orderkey AS key, p.o_custkey AS p1, c.o_custkey AS c1, p.o_orderstatus AS p2,
                 c.o_orderstatus AS c2, p.o_totalprice AS p3, c.o_totalprice AS c3, p.o_orderdate AS p4,
                 c.o_orderdate AS c4, p.o_orderpriority AS p5, c.o_orderpriority AS c5
          FROM prev p JOIN curr c ON p.o_orderkey = c.o_orderkey),
 cells AS (
-  SELECT key, 'o_custkey' AS "column", p1 AS previous_value, c1 AS current_value FROM both
-  UNION ALL SELECT key, 'o_orderstatus', p2, c2 FROM both
-  UNION ALL SELECT key, 'o_totalprice', p3, c3 FROM both
-  UNION ALL SELECT key, 'o_orderdate', p4, c4 FROM both
-  UNION ALL SELECT key, 'o_orderpriority', p5, c5 FROM both),
+  SELECT key, 'o_custkey' AS "column", p1 AS previous_value, c1 AS current_value FROM pairs
+  UNION ALL SELECT key, 'o_orderstatus', p2, c2 FROM pairs
+  UNION ALL SELECT key, 'o_totalprice', p3, c3 FROM pairs
+  UNION ALL SELECT key, 'o_orderdate', p4, c4 FROM pairs
+  UNION ALL SELECT key, 'o_orderpriority', p5, c5 FROM pairs),
 changed AS (SELECT * FROM cells WHERE previous_value <> current_value),
 changed_strict AS (SELECT * FROM cells WHERE previous_value IS DISTINCT FROM current_value)"""
 

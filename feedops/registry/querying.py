@@ -112,6 +112,6 @@ def q12(spark, d):
     return op.describe_table(table(spark, d, "supplier"))
 
 
-@add("q13_where", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 1000.5")
+@add("q13_where", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 950.5")
 def q13(spark, d):
-    return op.where(table(spark, d, "part"), "p_retailprice > 1000.5").select("p_partkey", "p_retailprice")
+    return op.where(table(spark, d, "part"), "p_retailprice > 950.5").select("p_partkey", "p_retailprice")

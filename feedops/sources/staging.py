@@ -23,7 +23,10 @@ def stage(df: DataFrame, file_name: str, keep: bool = False) -> str:
 
 
 def staged_tables(spark: SparkSession, prefix: str = "temp_") -> DataFrame:
-    """``table_name, temporary`` of the tables whose name starts with ``prefix``."""
+    """``table_name, temporary`` of the tables whose name starts with ``prefix``.
+
+    The catalog folds names to lower case; any case works to read a table.
+    """
     names = [(t.name, t.isTemporary) for t in spark.catalog.listTables() if t.name.startswith(prefix)]
     return spark.createDataFrame(sorted(names), "table_name string, temporary boolean")
 
