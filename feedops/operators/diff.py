@@ -2,8 +2,8 @@
 
 All operators work on the pair ``(prev, curr)``. Each side is reduced to one row
 per key (map-side first) and both sides meet in one join on the key. The
-reduction leaves the rows partitioned by key, so the join adds no shuffle, and
-since keys are unique then, no key is hot.
+reduction leaves the rows partitioned and sorted by key, so the join adds no
+shuffle, and since keys are unique then, no key is hot.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedops.functions.fingerprints import fingerprint
-from feedops.plans.columns import DEFAULT_IGNORE, check_same_header, col, compared_columns, resolve_key
+from feedops.plans.columns import DEFAULT_IGNORE, check_same_header, col, compared_columns
 from feedops.plans.keyed import Order, last_per_key, one_per_key
 
 __all__ = [
@@ -29,28 +29,56 @@ ALTERNATIVE_IDS = ["ID_BB_GLOBAL", "ID_BB_SECURITY", "ID_BB_YELLOWKEY", "ID_BB_U
 def _prepared(
     prev: DataFrame, curr: DataFrame, key: str, columns: Sequence[str] | None, ignore: Sequence[str],
     require_same_header: bool,
-) -> tuple[str, list[str]]:
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with one key type, and the compared columns."""
     if require_same_header:
         check_same_header(prev, curr)
     for side in (prev, curr):
         if key not in side.columns:
             raise ValueError(f"primary key '{key}' not found in columns {side.columns}")
-    return key, compared_columns(prev, curr, key, columns, ignore)
+    compared = compared_columns(prev, curr, key, columns, ignore)
+    if dict(prev.dtypes)[key] != dict(curr.dtypes)[key]:
+        prev, curr = (s.withColumn(key, col(key).cast("string")) for s in (prev, curr))
+    return prev, curr, compared
 
 
-def _differs(a: Column, b: Column, nulls: str) -> Column:
-    a, b = a.cast("string"), b.cast("string")
-    if nulls == "strict":
-        return ~a.eqNullSafe(b)
-    if nulls == "ignore":
-        return F.coalesce(a != b, F.lit(False))
-    raise ValueError(f"unknown null policy {nulls!r}")
+def _key(key: str, out: str | None = None) -> Column:
+    return col(key).cast("string").alias(out or key)
 
 
-def _side(df: DataFrame, key: str, order: Order | None, columns: Sequence[str], name: str) -> DataFrame:
-    one = one_per_key(df, key, order, [key, *columns])
-    row = F.struct(*[col(c) for c in columns]) if columns else F.struct(F.lit(1).alias("present"))
-    return one.select(col(key), row.alias(name))
+def _side(df: DataFrame, key: str, order: Order | None, columns: Sequence[str], mark: str) -> DataFrame:
+    """Key, a presence flag ``mark`` and the columns as ``mark`` plus position."""
+    one = one_per_key(df, key, order)
+    return one.select(col(key), F.lit(True).alias(mark), *[col(c).alias(f"{mark}{i}") for i, c in enumerate(columns)])
+
+
+def _differs(prev: DataFrame, curr: DataFrame, compared: Sequence[str], nulls: str) -> list[Column]:
+    """One test per compared column over the joined sides ``__p`` and ``__c``.
+
+    Values compare as text; where both sides have one exact type that is the
+    same as comparing the values.
+    """
+    if nulls not in ("ignore", "strict"):
+        raise ValueError(f"unknown null policy {nulls!r}")
+    before, after = dict(prev.dtypes), dict(curr.dtypes)
+    exact = ("string", "bigint", "int", "smallint", "tinyint", "boolean", "date")
+    tests = []
+    for i, name in enumerate(compared):
+        a, b = F.col(f"__p{i}"), F.col(f"__c{i}")
+        if before[name] != after[name] or before[name] not in exact:
+            a, b = a.cast("string"), b.cast("string")
+        tests.append(~a.eqNullSafe(b) if nulls == "strict" else F.coalesce(a != b, F.lit(False)))
+    return tests
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    """OR of many tests as a balanced tree, which compiles for wide tables too."""
+    if not tests:
+        return F.lit(False)
+    if len(tests) == 1:
+        return tests[0]
+    half = len(tests) // 2
+    return _any(tests[:half]) | _any(tests[half:])
 
 
 def classify(
@@ -64,23 +92,19 @@ def classify(
 ) -> DataFrame:
     """``key, status``: ``new``, ``modified``, ``deleted`` or ``unchanged``.
 
-    Only the key and a 32-character fingerprint of each row are shuffled.
-    ``order`` decides which row of a repeated key counts; None: keys are unique.
-    ``columns`` limits the comparison; otherwise all but the ignored count.
+    Only the key, the order and a 32-character fingerprint of each row are
+    shuffled. ``order`` decides which row of a repeated key counts; None: keys
+    are unique. ``columns`` limits the comparison; otherwise all but the ignored
+    count.
     """
-    key, compared = _prepared(prev, curr, key, columns, ignore, require_same_header)
-
-    def marked(df: DataFrame, name: str) -> DataFrame:
-        rows = df.withColumn("__print", fingerprint(compared))
-        one = one_per_key(rows, key, order, [key, "__print"])
-        return one.select(col(key), F.col("__print").alias(name))
-
-    both = marked(prev, "__p").join(marked(curr, "__c"), key, "full_outer")
+    prev, curr, compared = _prepared(prev, curr, key, columns, ignore, require_same_header)
+    p = _side(prev.withColumn("__print", fingerprint(compared)), key, order, ["__print"], "__p")
+    c = _side(curr.withColumn("__print", fingerprint(compared)), key, order, ["__print"], "__c")
     status = (
         F.when(F.col("__p").isNull(), "new").when(F.col("__c").isNull(), "deleted")
-        .when(F.col("__p") != F.col("__c"), "modified").otherwise("unchanged")
+        .when(F.col("__p0") != F.col("__c0"), "modified").otherwise("unchanged")
     )
-    return both.select(col(key), status.alias("status"))
+    return p.join(c, key, "full_outer").select(_key(key), status.alias("status"))
 
 
 def split_changes(
@@ -95,27 +119,27 @@ def split_changes(
     """Frames ``new``, ``modified`` (rows of ``curr``) and ``deleted`` (rows of
     ``prev``), or their keys only. ``all`` holds the three with ``status`` from
     the same single join: write it once, partitioned by ``status``."""
-    key, compared = _prepared(prev, curr, key, columns, ignore, False)
     if keys_only:
         every = classify(prev, curr, key, order, columns, ignore).filter(F.col("status") != "unchanged")
     else:
+        old_side, now_side, compared = _prepared(prev, curr, key, columns, ignore, False)
         old = [c for c in prev.columns if c != key]
         now = [c for c in curr.columns if c != key]
-        p = _side(prev.withColumn("__print", fingerprint(compared)), key, order, [*old, "__print"], "__p")
-        c = _side(curr.withColumn("__print", fingerprint(compared)), key, order, [*now, "__print"], "__c")
+        p = _side(old_side.withColumn("__print", fingerprint(compared)), key, order, [*old, "__print"], "__p")
+        c = _side(now_side.withColumn("__print", fingerprint(compared)), key, order, [*now, "__print"], "__c")
         gone = F.col("__c").isNull()
         status = (
             F.when(F.col("__p").isNull(), "new").when(gone, "deleted")
-            .when(F.col("__p.__print") != F.col("__c.__print"), "modified")
+            .when(F.col(f"__p{len(old)}") != F.col(f"__c{len(now)}"), "modified")
         )
         both = p.join(c, key, "full_outer").withColumn("status", status).filter(F.col("status").isNotNull())
 
         def value(name: str) -> Column:
-            before = F.col("__p")[name] if name in old else F.lit(None)
-            after = F.col("__c")[name] if name in now else F.lit(None)
+            before = F.col(f"__p{old.index(name)}") if name in old else F.lit(None)
+            after = F.col(f"__c{now.index(name)}") if name in now else F.lit(None)
             return F.when(gone, before).otherwise(after).alias(name)
 
-        every = both.select(col(key), *[value(n) for n in [*now, *[o for o in old if o not in now]]], "status")
+        every = both.select(_key(key), *[value(n) for n in [*now, *[o for o in old if o not in now]]], "status")
     kept = {"new": curr, "modified": curr, "deleted": prev}
     out = {
         s: every.filter(F.col("status") == s).select(*[col(c) for c in ([key] if keys_only else side.columns)])
@@ -137,25 +161,28 @@ def cell_changes(
     """``key, column, previous_value, current_value``, one row per changed cell.
 
     ``ignore``: a cell with NULL on either side is no change. ``strict``: any
-    difference counts. Values are compared as text.
+    difference counts. Unchanged rows are dropped before cells are made.
     """
-    key, compared = _prepared(prev, curr, key, columns, ignore, require_same_header)
-    both = _side(prev, key, order, compared, "__p").join(_side(curr, key, order, compared, "__c"), key)
+    prev, curr, compared = _prepared(prev, curr, key, columns, ignore, require_same_header)
+    if not compared:
+        raise ValueError("no columns to compare")
+    p, c = _side(prev, key, order, compared, "__p"), _side(curr, key, order, compared, "__c")
+    tests = _differs(prev, curr, compared, nulls)
     cells = [
         F.when(
-            _differs(F.col("__p")[c], F.col("__c")[c], nulls),
+            test,
             F.struct(
-                F.lit(c).alias("column"),
-                F.col("__p")[c].cast("string").alias("previous_value"),
-                F.col("__c")[c].cast("string").alias("current_value"),
+                F.lit(name).alias("column"),
+                F.col(f"__p{i}").cast("string").alias("previous_value"),
+                F.col(f"__c{i}").cast("string").alias("current_value"),
             ),
         )
-        for c in compared
+        for i, (name, test) in enumerate(zip(compared, tests))
     ]
-    if not cells:
-        raise ValueError("no columns to compare")
-    exploded = both.select(col(key).alias("key"), F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-    return exploded.select("key", "cell.column", "cell.previous_value", "cell.current_value")
+    changed = p.join(c, key).filter(_any(tests)).select(_key(key, "key"), F.explode(F.array(*cells)).alias("cell"))
+    return changed.filter(F.col("cell").isNotNull()).select(
+        "key", "cell.column", "cell.previous_value", "cell.current_value"
+    )
 
 
 def change_documents(cells: DataFrame) -> DataFrame:
@@ -173,11 +200,6 @@ def change_documents(cells: DataFrame) -> DataFrame:
     )
 
 
-def _changed(compared: Sequence[str], nulls: str) -> Column:
-    tests = [_differs(F.col("__p")[c], F.col("__c")[c], nulls) for c in compared]
-    return F.coalesce(F.forall(F.array(*tests), lambda t: ~t), F.lit(True)) == F.lit(False) if tests else F.lit(False)
-
-
 def delta_rows(
     prev: DataFrame,
     curr: DataFrame,
@@ -187,11 +209,14 @@ def delta_rows(
     nulls: str = "ignore",
 ) -> DataFrame:
     """Rows of ``curr`` that are new or changed, with ``curr``'s columns."""
-    key, compared = _prepared(prev, curr, key, None, ignore, False)
-    rest = [c for c in curr.columns if c != key]
-    both = _side(curr, key, order, rest, "__c").join(_side(prev, key, order, compared, "__p"), key, "left")
-    kept = both.filter(F.col("__p").isNull() | _changed(compared, nulls))
-    return kept.select(*[col(key) if c == key else F.col("__c")[c].alias(c) for c in curr.columns])
+    names = curr.columns
+    prev, curr, compared = _prepared(prev, curr, key, None, ignore, False)
+    rest = [c for c in names if c != key and c not in compared]
+    now = _side(curr, key, order, [*compared, *rest], "__c")
+    both = now.join(_side(prev, key, order, compared, "__p"), key, "left")
+    kept = both.filter(F.col("__p").isNull() | _any(_differs(prev, curr, compared, nulls)))
+    at = {c: f"__c{i}" for i, c in enumerate([*compared, *rest])}
+    return kept.select(*[_key(key) if c == key else F.col(at[c]).alias(c) for c in names])
 
 
 def diff_stats(
@@ -208,20 +233,19 @@ def diff_stats(
     One join and one global aggregate; the changed columns come from one flag
     per column, so no cell rows are made.
     """
-    key, compared = _prepared(prev, curr, key, None, ignore, False)
+    prev, curr, compared = _prepared(prev, curr, key, None, ignore, False)
     both = _side(prev, key, order, compared, "__p").join(_side(curr, key, order, compared, "__c"), key, "full_outer")
     had, has = F.col("__p").isNotNull(), F.col("__c").isNotNull()
-    changed = had & has & _changed(compared, nulls)
-    flags = [
-        F.max(had & has & _differs(F.col("__p")[c], F.col("__c")[c], nulls)).alias(f"__f{i}")
-        for i, c in enumerate(compared)
+    tests = [
+        (had & has & t).alias(f"__f{i}") for i, t in enumerate(_differs(prev, curr, compared, nulls))
     ]
-    counted = both.agg(
-        F.count_if(has).alias("current_row_count"),
+    flags = [F.col(f"__f{i}") for i in range(len(tests))]
+    counted = both.select("__p", "__c", *tests).agg(
+        F.count("__c").alias("current_row_count"),
         F.count_if(has & ~had).alias("new_records"),
-        F.count_if(changed).alias("changed_records"),
+        F.count_if(_any(flags)).alias("changed_records"),
         F.count_if(had & ~has).alias("removed_records"),
-        *flags,
+        *[F.max(f).alias(f"__f{i}") for i, f in enumerate(flags)],
     )
     names = [F.when(F.col(f"__f{i}"), F.lit(c)) for i, c in enumerate(compared)]
     listed = F.array_sort(F.array_compact(F.array(*names))) if names else F.array().cast("array<string>")
@@ -294,7 +318,3 @@ def match_ids(
     found = pairs.join(best, ["id", "priority"])
     return found.select(F.col("id").alias("key"), F.col("__row").alias(row_key), "id_column")
 
-
-def find_key(df: DataFrame, name: str) -> str:
-    """Key column in any letter case."""
-    return resolve_key(df, name)

@@ -71,17 +71,24 @@ def entity_history(
     on each date, and the file it came from."""
     declared = list(_declared(df, key, types))
     rows = _converted(valid_entities(df, key, prefix), key, types, order, [file_col, date_col])
-    entry = [F.struct(F.lit(c).alias("property"), F.col(f"`{c}`.value").alias("value")) for c in declared]
-    long = rows.filter(col(date_col).isNotNull()).select(
-        col(key).alias("id"),
-        col(date_col).alias("effective_date"),
-        F.struct(col("__order"), col(file_col).alias("file")).alias("at"),
-        F.explode(F.filter(F.array(*entry), lambda e: e["value"].isNotNull())).alias("e"),
-    )
-    last = long.groupBy("id", F.col("e.property").alias("property"), "effective_date").agg(
-        F.max_by(F.struct(F.col("at.file").alias("file"), F.col("e.value").alias("value")), "at").alias("last")
+    value = lambda c: F.col(f"`{c}`.value")
+    # one wide row per id and date first: fewer rows to sort than one per property
+    last = [
+        F.max_by(
+            F.struct(col(file_col).alias("file"), value(c).alias("value")),
+            F.when(value(c).isNotNull(), F.struct("__order", col(file_col))),
+        ).alias(f"__v{i}")
+        for i, c in enumerate(declared)
+    ]
+    wide = rows.filter(col(date_col).isNotNull()).groupBy(col(key).alias("id"), col(date_col).alias("effective_date"))
+    entry = [
+        F.when(F.col(f"__v{i}").isNotNull(), F.struct(F.lit(c).alias("property"), F.col(f"__v{i}").alias("last")))
+        for i, c in enumerate(declared)
+    ]
+    long = wide.agg(*last).select("id", "effective_date", F.explode(F.array(*entry)).alias("e"))
+    return long.filter(F.col("e").isNotNull()).select(
+        "id", "e.property", "effective_date", "e.last.file", "e.last.value"
     )
-    return last.select("id", "property", "effective_date", "last.file", "last.value")
 
 
 def history_documents(history: DataFrame) -> DataFrame:

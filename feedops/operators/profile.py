@@ -20,7 +20,7 @@ from feedops.functions.values import (
     name_date_text,
 )
 from feedops.plans.columns import col, require_columns
-from feedops.plans.ranked import running_total
+from feedops.plans.ranked import range_totals, ranges, running_inside
 
 # Inferred types, most specific first.
 INFERRED_TYPES = ["integer", "numeric", "date", "timestamp", "boolean"]
@@ -97,21 +97,28 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     numbers = df.select(*[col(c).cast("double").alias(c) for c in columns])
     long = numbers.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    ranked = running_total(counts, ["value"], "n", "upto", within=["column"])
-    totals = ranked.groupBy("column").agg(F.max("upto").alias("total"))
+    ranged = ranges(counts, ["column", "value"])
+    parts = range_totals(ranged, "n", ["column"])
+    totals = parts.groupBy("column").agg(F.sum("__sum").alias("total"))
     wanted = totals.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
     at = (F.col("total") - 1) * F.col("probability")
-    # bounded: columns x probabilities rows
-    wanted = wanted.select("column", "probability", at.alias("at"), F.floor(at).alias("low"), F.ceil(at).alias("high"))
-    start = F.col("upto") - F.col("n")
-    inside = lambda r: (F.col(r) >= start) & (F.col(r) < F.col("upto"))
-    hits = ranked.join(F.broadcast(wanted), "column").filter(inside("low") | inside("high"))
+    ranks = wanted.select(
+        "column", "probability", (at - F.floor(at)).alias("weight"),
+        F.explode(F.array(F.struct(F.lit(True).alias("low"), F.floor(at).alias("rank")),
+                          F.struct(F.lit(False).alias("low"), F.ceil(at).alias("rank")))).alias("r"),
+    ).select("column", "probability", "weight", "r.*")
+    # the range partition each rank lies in: at most 2 x columns x probabilities rows
+    rank = F.col("rank")
+    homes = parts.join(ranks, "column").filter((rank >= F.col("__start")) & (rank < F.col("__start") + F.col("__sum")))
+    needed = homes.select("column", "__part").distinct()
+    inside = running_inside(ranged.join(F.broadcast(needed), ["column", "__part"], "left_semi"), ["value"], "n", "upto", ["column"])
+    upto = F.col("__start") + F.col("upto")
+    hits = inside.join(F.broadcast(homes), ["column", "__part"]).filter((rank >= upto - F.col("n")) & (rank < upto))
     ends = hits.groupBy("column", "probability").agg(
-        F.max(F.when(inside("low"), F.col("value"))).alias("a"),
-        F.max(F.when(inside("high"), F.col("value"))).alias("b"),
-        F.max("at").alias("at"), F.max("low").alias("low"),
+        F.max(F.when(F.col("low"), F.col("value"))).alias("a"), F.max(F.when(~F.col("low"), F.col("value"))).alias("b"),
+        F.max("weight").alias("weight"),
     )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("weight")
     return ends.select("column", "probability", value.alias("quantile"))
 
 

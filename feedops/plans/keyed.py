@@ -1,14 +1,16 @@
-"""One row per key, chosen by an order, without a window over the key.
+"""One row per key, chosen by an order.
 
-``max_by`` aggregates on the map side first, so a key that holds a large part of
-the table leaves each task as one row and no task sees the whole group.
+Ranking with a cut-off at 1 is planned by Spark as two group limits: each map
+task sorts its rows and sends one row per key, then the reducers rank those. A
+key that holds a third of the table is one row per task after the first step.
+The result is partitioned and sorted by key, which a following join reuses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.plans.columns import col
@@ -16,10 +18,13 @@ from feedops.plans.columns import col
 Order = Sequence[str | Column]
 
 
+def order_columns(order: Order) -> list[Column]:
+    return [col(o) if isinstance(o, str) else o for o in order]
+
+
 def order_struct(order: Order) -> Column:
     """The order columns as one comparable value."""
-    parts = [col(o) if isinstance(o, str) else o for o in order]
-    return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(parts)])
+    return F.struct(*[p.alias(f"o{i}") for i, p in enumerate(order_columns(order))])
 
 
 def valid_keys(df: DataFrame, key: str) -> DataFrame:
@@ -29,24 +34,22 @@ def valid_keys(df: DataFrame, key: str) -> DataFrame:
     return df.filter(keep & (col(key) != "") if text else keep)
 
 
+def newest_row(df: DataFrame, key: str, order: Order) -> DataFrame:
+    """The last row of every valid key in ``order``, columns as they are."""
+    last = Window.partitionBy(col(key)).orderBy(*[c.desc() for c in order_columns(order)])
+    return valid_keys(df, key).withColumn("__n", F.row_number().over(last)).filter(F.col("__n") == 1).drop("__n")
+
+
 def last_per_key(df: DataFrame, key: str, order: Order, columns: Sequence[str] | None = None) -> DataFrame:
     """The last row of every key in ``order``; the key becomes text.
 
-    Only ``columns`` (default: all) travel through the shuffle.
+    Only ``columns`` (default: all) and the order travel through the shuffle.
     """
-    kept = [c for c in (columns if columns is not None else df.columns) if c != key]
-    rows = valid_keys(df, key)
-    if not kept:
-        return rows.select(col(key).cast("string").alias(key)).distinct()
-    picked = F.max_by(F.struct(*[col(c) for c in kept]), order_struct(order)).alias("__row")
-    out = rows.groupBy(col(key).cast("string").alias(key)).agg(picked)
-    names = [c for c in (columns if columns is not None else df.columns)]
-    return out.select(*[col(c) if c == key else F.col("__row")[c].alias(c) for c in names])
-
-
-def one_per_key(df: DataFrame, key: str, order: Order | None, columns: Sequence[str]) -> DataFrame:
-    """``last_per_key``, or only the key clean-up where keys are known unique."""
-    if order is not None:
-        return last_per_key(df, key, order, columns)
-    rows = valid_keys(df, key)
-    return rows.select(*[col(c).cast("string").alias(c) if c == key else col(c) for c in columns])
+    names = list(columns) if columns is not None else df.columns
+    rows = newest_row(df, key, order)
+    return rows.select(*[col(c).cast("string").alias(c) if c == key else col(c) for c in names])
+
+
+def one_per_key(df: DataFrame, key: str, order: Order | None) -> DataFrame:
+    """``newest_row``, or only the key clean-up where keys are known unique."""
+    return valid_keys(df, key) if order is None else newest_row(df, key, order)

@@ -16,11 +16,33 @@ from feedops.plans.columns import col
 from feedops.session import durable
 
 
-def _ranged(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def ranges(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """``df`` cut into ranges of the order and written, with the range number ``__part``."""
     ordered = df.repartitionByRange(*[col(c) for c in order_by])
     return durable(ordered.withColumn("__part", F.spark_partition_id()))
 
 
+def range_totals(ranged: DataFrame, amount: str, within: Sequence[str] = ()) -> DataFrame:
+    """``within, __part, __start, __sum``: the total of each range partition and of
+    all before it in the same group.
+
+    At most (partitions + groups) rows, as a group covers consecutive partitions.
+    """
+    group = list(within)
+    parts = ranged.groupBy(*group, "__part").agg(F.sum(amount).alias("__sum"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+
+
+def running_inside(ranged: DataFrame, order_by: Sequence[str], amount: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Adds the running total inside each range partition of each group."""
+    inside = (
+        Window.partitionBy(*within, "__part").orderBy(*[col(c) for c in order_by])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return ranged.withColumn(out, F.sum(amount).over(inside))
+
+
 def running_total(
     df: DataFrame, order_by: Sequence[str], amount: str, out: str, within: Sequence[str] = ()
 ) -> DataFrame:
@@ -31,21 +53,11 @@ def running_total(
     ``order_by`` must be a total order inside each group.
     """
     group = list(within)
-    ranged = _ranged(df, group + list(order_by))
-    parts = ranged.groupBy(*group, "__part").agg(F.sum(amount).alias("__sum"))
-    # at most (partitions + groups) rows: each group covers consecutive partitions
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(*group, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    inside = (
-        Window.partitionBy(*group, "__part").orderBy(*[col(c) for c in order_by])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = ranged.withColumn("__local", F.sum(amount).over(inside))
-    return (
-        local.join(starts, [*group, "__part"])
-        .withColumn(out, F.col("__start") + F.col("__local"))
-        .drop("__part", "__start", "__local")
-    )
+    ranged = ranges(df, group + list(order_by))
+    starts = range_totals(ranged, amount, group).drop("__sum")
+    local = running_inside(ranged, order_by, amount, "__local", group)
+    joined = local.join(starts, [*group, "__part"])
+    return joined.withColumn(out, F.col("__start") + F.col("__local")).drop("__part", "__start", "__local")
 
 
 def numbered(df: DataFrame, order_by: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
@@ -54,40 +66,46 @@ def numbered(df: DataFrame, order_by: Sequence[str], out: str, within: Sequence[
     return counted.drop("__one")
 
 
-def _row_at(keys: DataFrame, order_by: Sequence[str], position: int, enough: int = 1_000_000) -> tuple | None:
-    """Order values of the row at a 0-based position.
+def _rows_at(keys: DataFrame, order_by: Sequence[str], positions: Sequence[int], enough: int) -> list[tuple | None]:
+    """Order values of the rows at 0-based positions, None beyond the end.
 
-    Each round keeps the one range partition the position falls into, until that
-    is small enough to sort in a task; the driver sees one count per partition.
+    A range partition that holds a position is sorted in a task if it is small
+    enough, else it is cut into ranges again. The driver sees one count per
+    partition and one row per position.
     """
-    while True:
-        ranged = _ranged(keys, order_by)
-        sizes = sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect())
-        total = sum(n for _, n in sizes)
+    ranged = ranges(keys, order_by)
+    sizes = sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    out: list[tuple | None] = []
+    for position in positions:
         if position >= total:
-            return None
+            out.append(None)
+            continue
         for part, n in sizes:
             if position < n:
                 break
             position -= n
-        keys = ranged.filter(F.col("__part") == part).drop("__part")
+        inside = ranged.filter(F.col("__part") == part).drop("__part")
         if n <= enough or n == total:
-            row = keys.orderBy(*[col(c) for c in order_by]).offset(position).limit(1).collect()[0]
-            return tuple(row[c] for c in order_by)
+            row = inside.orderBy(*[col(c) for c in order_by]).offset(position).limit(1).collect()[0]
+            out.append(tuple(row[c] for c in order_by))
+        else:
+            out += _rows_at(inside, order_by, [position], enough)
+    return out
 
 
-def range_bounds(df: DataFrame, order_by: Sequence[str], start: int, count: int) -> tuple[tuple, tuple | None] | None:
+def range_bounds(
+    df: DataFrame, order_by: Sequence[str], start: int, count: int, enough: int = 1_000_000
+) -> tuple[tuple, tuple | None] | None:
     """Order values of the rows at ``start`` and ``start + count - 1``.
 
     The second is None where the table ends before it. Only the order columns
     are shuffled.
     """
-    keys = df.select(*[col(c) for c in order_by])
-    low = _row_at(keys, order_by, start)
-    if low is None or count <= 0:
+    if count <= 0:
         return None
-    later = keys.filter(between(order_by, low, None))
-    return low, _row_at(later, order_by, count - 1)
+    low, high = _rows_at(df.select(*[col(c) for c in order_by]), order_by, [start, start + count - 1], enough)
+    return None if low is None else (low, high)
 
 
 def between(order_by: Sequence[str], low: tuple, high: tuple | None) -> Column:

@@ -16,9 +16,13 @@ def money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 
 
-def text_orders(spark: SparkSession, d: str) -> DataFrame:
-    """``orders`` with every column as text, as a feed would hold it."""
-    return table(spark, d, "orders").select(
+def text_orders(spark: SparkSession, d: str, when: str | None = None) -> DataFrame:
+    """``orders`` with every column as text, as a feed would hold it.
+
+    ``when`` is a condition on the table, which reaches its scan.
+    """
+    orders = table(spark, d, "orders")
+    return (orders.filter(when) if when else orders).select(
         F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus",
         money("o_totalprice").cast("string").alias("o_totalprice"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
@@ -36,11 +40,10 @@ def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two snapshots of ``orders``: the earlier one ends with 2000, the later one
     has archived 1995, completed the open orders, put a surcharge on urgent ones
     and lost the unspecified priorities."""
-    orders = text_orders(spark, d)
-    prev = orders.filter(F.col("o_orderdate") < "2001-01-01").withColumn("FILEDATE", F.lit("20010101"))
+    prev = text_orders(spark, d, "o_orderdate < '2001-01-01'").withColumn("FILEDATE", F.lit("20010101"))
     urgent = F.col("o_orderpriority") == "1-URGENT"
     price = F.col("o_totalprice").cast("decimal(18,2)")
-    curr = orders.filter(F.col("o_orderdate") >= "1996-01-01").select(
+    curr = text_orders(spark, d, "o_orderdate >= '1996-01-01'").select(
         "o_orderkey", "o_custkey",
         F.when(F.col("o_orderstatus") == "O", "F").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(urgent, (price + F.lit(1).cast("decimal(3,2)")).cast("decimal(18,2)")).otherwise(price)

@@ -32,11 +32,11 @@ oldest AS (SELECT * FROM text_orders WHERE o_orderdate < '1998-01-01'
 
 def periods(spark, d):
     """Three dated frames with overlapping columns, many rows per customer."""
-    orders = text_orders(spark, d)
-    date = F.col("o_orderdate")
-    newest = orders.filter(date >= "2000-01-01").select("o_custkey", "o_orderstatus", "o_orderkey", "o_orderdate")
-    middle = orders.filter((date >= "1998-01-01") & (date < "2000-01-01")).drop("o_orderpriority")
-    oldest = orders.filter(date < "1998-01-01").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    newest = text_orders(spark, d, "o_orderdate >= '2000-01-01'")
+    newest = newest.select("o_custkey", "o_orderstatus", "o_orderkey", "o_orderdate")
+    middle = text_orders(spark, d, "o_orderdate >= '1998-01-01' AND o_orderdate < '2000-01-01'").drop("o_orderpriority")
+    oldest = text_orders(spark, d, "o_orderdate < '1998-01-01'")
+    oldest = oldest.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return [("19971231", oldest), ("20010801", newest), ("19991231", middle)]
 
 
@@ -70,7 +70,7 @@ def target_records(spark, d):
 
 def staged_orders(spark, d):
     """Finished orders as staged text: null tokens and a missing priority in places."""
-    done = text_orders(spark, d).filter("o_orderstatus = 'F'")
+    done = text_orders(spark, d, "o_orderstatus = 'F'")
     return done.select(
         F.col("o_custkey").alias("O_CUSTKEY"), "o_orderkey", "o_orderdate",
         F.when(F.col("o_orderpriority") != NO_PRIORITY, F.col("o_orderpriority")).alias("o_orderpriority"),
