@@ -18,6 +18,9 @@ from feedops.plans.ranked import numbered
 from feedops.sources.inventory import base_name, decoded, logical_path
 
 PROBED_ROWS = 5
+# A text no feed holds: with it as the null text, an empty cell is NULL and a
+# quoted empty cell ("") is empty text.
+UNSEEN = "\x00"
 SEPARATORS = [",", ";", "\t", "|"]
 
 
@@ -88,7 +91,7 @@ def _read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], sep:
     return (
         spark.read.schema(schema)
         .option("header", True).option("sep", sep).option("quote", quote).option("escape", quote)
-        .option("nullValue", "").option("multiLine", multi_line)
+        .option("nullValue", UNSEEN).option("multiLine", multi_line)
         .option("recursiveFileLookup", True)
         .csv(list(paths))
     )
@@ -97,7 +100,8 @@ def _read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], sep:
 def read_text_csv(
     spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"', multi_line: bool = False
 ) -> DataFrame:
-    """Every column as text under its exact header name; an empty cell is NULL.
+    """Every column as text under its exact header name; an empty cell is NULL, a
+    quoted empty cell is empty text.
 
     ``paths`` may hold globs and folders of part files. Where all paths share one
     header one scan is planned, else one scan per distinct header and the

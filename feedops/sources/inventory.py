@@ -42,18 +42,27 @@ def with_names(df: DataFrame, root: str = "") -> DataFrame:
 
 
 def file_inventory(
-    spark: SparkSession, root: str | Sequence[str], suffixes: Sequence[str] = (".csv", ".csv.gz"), recursive: bool = True
+    spark: SparkSession,
+    root: str | Sequence[str],
+    suffixes: Sequence[str] = (".csv", ".csv.gz"),
+    recursive: bool = True,
+    empty_files: bool = False,
 ) -> DataFrame:
     """``path, directory, name, size, mtime`` of the files under a root.
 
     The listing is Spark's own (spread over executors for many folders); file
-    bodies are not read.
+    bodies are not read. Spark's scans pass over files of no bytes;
+    ``empty_files`` adds them, with size 0, from the listing itself.
     """
     roots = [root] if isinstance(root, str) else list(root)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(roots).select(
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)
+    files = scan.select(
         decoded(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
     )
+    if empty_files:
+        listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
+        listed = listed.select(decoded(F.col("path")).alias("path"))
+        files = listed.join(files, "path", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     if suffixes:
         wanted = F.lit(False)
         for suffix in suffixes:
@@ -64,23 +73,21 @@ def file_inventory(
 
 
 def expand_paths(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """Files that match any glob, each once, in path order.
+    """Files that match any glob, each once, in path order, empty ones included.
 
-    A pattern without a match is reported and skipped.
+    A pattern without a match is reported and skipped. Only the listing is used,
+    no file is opened.
     """
-    found = None
+    listed: set[str] = set()
     for pattern in patterns:
         try:
-            files = spark.read.format("binaryFile").load(pattern).select(decoded(F.col("path")).alias("path"))
+            listed.update(spark.read.format("binaryFile").load(pattern).inputFiles())
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             warnings.warn(f"No files match pattern: {pattern}", stacklevel=2)
-            continue
-        found = files if found is None else found.unionByName(files)
-    if found is None:
-        return spark.createDataFrame([], "path string")
-    return found.distinct().orderBy("path")
+    paths = spark.createDataFrame([(p,) for p in sorted(listed)], "path string")
+    return paths.select(decoded(F.col("path")).alias("path")).distinct().orderBy("path")
 
 
 def logical_inventory(inv: DataFrame, root: str = "") -> DataFrame:
