@@ -56,7 +56,7 @@ def is_number(c: Column | str) -> Column:
     """
     c = _col(c)
     value = c.try_cast("double")
-    overflow = c.rlike("[0-9]") & (F.abs(value) == F.lit(float("inf")))
+    overflow = (F.abs(value) == F.lit(float("inf"))) & c.rlike("[0-9]")
     return c.rlike(FLOAT) & ~F.coalesce(overflow, F.lit(False))
 
 
@@ -76,6 +76,11 @@ def is_boolean(c: Column | str) -> Column:
     return F.lower(_col(c)).isin(BOOLEAN_TOKENS)
 
 
+def _cut(c: Column) -> Column:
+    """Whole part of a number text, NULL beyond 64 bits."""
+    return c.try_cast("double").try_cast("bigint")
+
+
 def convert(c: Column | str, declared: Column | str) -> Column:
     """Text to ``struct(value, type, ok)`` by the declared column type.
 
@@ -86,10 +91,7 @@ def convert(c: Column | str, declared: Column | str) -> Column:
     as written, so no digit is lost.
     """
     c, declared = _col(c), _col(declared)
-    whole = is_integer(c)
-    number = is_number(c)
-    lettered = c.rlike(LETTERS)
-    cut = c.try_cast("double").try_cast("bigint")
+    whole, number, lettered, cut = is_integer(c), is_number(c), c.rlike(LETTERS), _cut(c)
 
     def out(value: Column, kind: str, ok: bool = True) -> Column:
         return F.struct(value.cast("string").alias("value"), F.lit(kind).alias("type"), F.lit(ok).alias("ok"))
@@ -116,6 +118,32 @@ def convert(c: Column | str, declared: Column | str) -> Column:
     )
 
 
+def converted_value(c: Column | str, declared: str) -> Column:
+    """``convert(c, declared).value`` for a type known to the driver: the shortest
+    expression, without the struct."""
+    c = _col(c)
+    whole, lettered = is_integer(c), c.rlike(LETTERS)
+    if declared == "integer":
+        value = (
+            F.when(whole, c.try_cast("bigint").cast("string")).when(lettered, c)
+            .when(is_number(c), _cut(c).cast("string"))
+        )
+    elif declared == "float":
+        value = F.when(lettered | is_number(c), c)
+    elif declared == "text":
+        value = c
+    else:
+        value = F.when(whole, c.try_cast("bigint").cast("string")).otherwise(c)
+    return F.when(~is_null_token(c), value)
+
+
+def holds_text(c: Column | str, declared: str) -> Column:
+    """True where a cell of a numeric column can only be kept as text."""
+    c = _col(c)
+    fits = is_integer(c) if declared == "integer" else is_number(c)
+    return c.rlike(LETTERS) & ~fits & ~is_null_token(c)
+
+
 def type_value(c: Column | str) -> Column:
     """Document typing of a text: ``struct(value, value_type)``.
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedops.functions.values import convert
+from feedops.functions.values import converted_value, holds_text
 from feedops.operators.discovery import latest_per_dir
 from feedops.plans.columns import col
 from feedops.plans.keyed import Order, order_struct
@@ -33,7 +33,7 @@ def _declared(df: DataFrame, key: str, types: Mapping[str, str]) -> dict[str, st
 
 
 def _converted(df: DataFrame, key: str, types: Mapping[str, str], order: Order, keep: Sequence[str] = ()) -> DataFrame:
-    cells = [convert(col(c), F.lit(t)).alias(c) for c, t in _declared(df, key, types).items()]
+    cells = [converted_value(col(c), t).alias(c) for c, t in _declared(df, key, types).items()]
     rows = valid_entities(df, key)
     return rows.select(col(key).alias(key), order_struct(order).alias("__order"), *[col(k) for k in keep], *cells)
 
@@ -43,10 +43,7 @@ def entity_state(df: DataFrame, key: str, types: Mapping[str, str], order: Order
     skipped, undeclared columns are left out. One shuffle, map-side reduced."""
     declared = _declared(df, key, types)
     rows = _converted(valid_entities(df, key, prefix), key, types, order)
-    newest = [
-        F.max_by(F.col(f"`{c}`.value"), F.when(F.col(f"`{c}`.value").isNotNull(), F.col("__order"))).alias(c)
-        for c in declared
-    ]
+    newest = [F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__order"))).alias(c) for c in declared]
     return rows.groupBy(col(key).alias(key)).agg(*newest)
 
 
@@ -71,12 +68,11 @@ def entity_history(
     on each date, and the file it came from."""
     declared = list(_declared(df, key, types))
     rows = _converted(valid_entities(df, key, prefix), key, types, order, [file_col, date_col])
-    value = lambda c: F.col(f"`{c}`.value")
     # one wide row per id and date first: fewer rows to sort than one per property
     last = [
         F.max_by(
-            F.struct(col(file_col).alias("file"), value(c).alias("value")),
-            F.when(value(c).isNotNull(), F.struct("__order", col(file_col))),
+            F.struct(col(file_col).alias("file"), col(c).alias("value")),
+            F.when(col(c).isNotNull(), F.struct("__order", col(file_col))),
         ).alias(f"__v{i}")
         for i, c in enumerate(declared)
     ]
@@ -110,7 +106,7 @@ def type_mismatches(
     rows = df if key is None else valid_entities(df, key)
     numeric = {c: t for c, t in types.items() if t in NUMERIC_TYPES and c in df.columns}
     flags = [
-        F.max(convert(col(c), F.lit(t))["type"] == "text").alias(f"__f{i}") for i, (c, t) in enumerate(numeric.items())
+        F.max(holds_text(col(c), t)).alias(f"__f{i}") for i, (c, t) in enumerate(numeric.items())
     ]
     per_file = rows.groupBy(col(file_col).alias("filename")).agg(*flags)
     entry = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -20,7 +21,7 @@ from feedops.functions.values import (
     name_date_text,
 )
 from feedops.plans.columns import col, require_columns
-from feedops.plans.ranked import range_totals, ranges, running_inside
+from feedops.plans.ranked import ranges, running_inside
 
 # Inferred types, most specific first.
 INFERRED_TYPES = ["integer", "numeric", "date", "timestamp", "boolean"]
@@ -98,23 +99,28 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     long = numbers.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
     ranged = ranges(counts, ["column", "value"])
-    parts = range_totals(ranged, "n", ["column"])
-    totals = parts.groupBy("column").agg(F.sum("__sum").alias("total"))
-    wanted = totals.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    at = (F.col("total") - 1) * F.col("probability")
-    ranks = wanted.select(
-        "column", "probability", (at - F.floor(at)).alias("weight"),
-        F.explode(F.array(F.struct(F.lit(True).alias("low"), F.floor(at).alias("rank")),
-                          F.struct(F.lit(False).alias("low"), F.ceil(at).alias("rank")))).alias("r"),
-    ).select("column", "probability", "weight", "r.*")
-    # the range partition each rank lies in: at most 2 x columns x probabilities rows
-    rank = F.col("rank")
-    homes = parts.join(ranks, "column").filter((rank >= F.col("__start")) & (rank < F.col("__start") + F.col("__sum")))
-    needed = homes.select("column", "__part").distinct()
-    inside = running_inside(ranged.join(F.broadcast(needed), ["column", "__part"], "left_semi"), ["value"], "n", "upto", ["column"])
-    upto = F.col("__start") + F.col("upto")
-    hits = inside.join(F.broadcast(homes), ["column", "__part"]).filter((rank >= upto - F.col("n")) & (rank < upto))
-    ends = hits.groupBy("column", "probability").agg(
+    # at most (range partitions + columns) rows reach the driver
+    sums = ranged.groupBy("column", "__part").agg(F.sum("n").alias("n")).orderBy("column", "__part").collect()
+    homes = []
+    for column in sorted({r["column"] for r in sums}):
+        parts = [(r["__part"], r["n"]) for r in sums if r["column"] == column]
+        total = sum(n for _, n in parts)
+        for p in probabilities:
+            at = (total - 1) * p
+            for low, rank in ((True, math.floor(at)), (False, math.ceil(at))):
+                start = 0
+                for part, n in parts:
+                    if rank < start + n:
+                        homes.append((column, part, start, float(p), at - math.floor(at), low, rank))
+                        break
+                    start += n
+    wanted = df.sparkSession.createDataFrame(
+        homes, "column string, __part int, start bigint, probability double, weight double, low boolean, rank bigint"
+    )
+    needed = ranged.join(F.broadcast(wanted.select("column", "__part").distinct()), ["column", "__part"], "left_semi")
+    upto = F.col("start") + F.col("upto")
+    hits = running_inside(needed, ["value"], "n", "upto", ["column"]).join(F.broadcast(wanted), ["column", "__part"])
+    ends = hits.filter((F.col("rank") >= upto - F.col("n")) & (F.col("rank") < upto)).groupBy("column", "probability").agg(
         F.max(F.when(F.col("low"), F.col("value"))).alias("a"), F.max(F.when(~F.col("low"), F.col("value"))).alias("b"),
         F.max("weight").alias("weight"),
     )
@@ -131,21 +137,25 @@ def describe(
     """
     require_columns(df, columns)
     data = _sampled(df.select(*[col(c).cast("double").alias(c) for c in columns]), frac, seed)
-    long = data.unpivot([], list(columns), "column", "value")
-    basic = [
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    ]
+    basic = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    names = [*basic, *(["q"] if approximate else [])]
+    flat = []
+    for i, c in enumerate(columns):
+        flat += [fn(col(c)).alias(f"{n}{i}") for n, fn in basic.items()]
+        if approximate:
+            flat.append(F.percentile_approx(col(c), QUARTILES, 10000).alias(f"q{i}"))
+    per_column = F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, c in enumerate(columns)
+    ])
+    long = data.agg(*flat).select(F.explode(per_column).alias("c")).select("c.*")
     order = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     if approximate:
-        q = F.percentile_approx("value", QUARTILES, 10000).alias("q")
-        out = long.groupBy("column").agg(*basic, q)
-        return out.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(order[5:8])]).select(order)
+        return long.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(order[5:8])]).select(order)
     ranks = quantiles(data, columns, QUARTILES)
     wide = ranks.groupBy("column").agg(
         *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in zip(QUARTILES, order[5:8])]
     )
-    return long.groupBy("column").agg(*basic).join(wide, "column", "left").select(order)
+    return long.join(wide, "column", "left").select(order)
 
 
 def column_stats(df: DataFrame, column: str, frac: float | None = None, approximate: bool = False) -> DataFrame:

@@ -14,8 +14,8 @@ from feedops.plans.columns import col, require_columns
 from feedops.plans.ranked import between, range_bounds
 
 MAX_PAGE = 10_000
-# Rows a top-n may keep per task; deeper pages are found by range counting.
-SHALLOW = 100_000
+# Rows a top-n keeps per task and gathers in one; deeper pages are found by counting ranges.
+SHALLOW = 1_000
 
 
 def select_cols(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:

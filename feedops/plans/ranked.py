@@ -11,10 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedops.plans.columns import col
 from feedops.session import durable
 
+# Value ranges a sort column is cut into when rows are looked up by position.
+GRID = 200
+
 
 def ranges(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """``df`` cut into ranges of the order and written, with the range number ``__part``."""
@@ -94,17 +98,48 @@ def _rows_at(keys: DataFrame, order_by: Sequence[str], positions: Sequence[int],
     return out
 
 
+def _narrowed(df: DataFrame, order_by: Sequence[str], start: int, count: int) -> tuple[DataFrame, int]:
+    """A part of ``df`` that holds the wanted rows, and the rows before that part.
+
+    Quantile sketches of the first order column give a value range, one more
+    pass counts the rows below and inside it exactly. Where the column has no
+    quantiles, or the range misses, the whole table is returned.
+    """
+    first = col(order_by[0])
+    if not isinstance(df.schema[order_by[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df, 0
+    steps = [i / GRID for i in range(GRID + 1)]
+    seen = df.agg(
+        F.count(first).alias("n"), F.count_if(first.isNull()).alias("nulls"), F.percentile_approx(first, steps, 10000).alias("q")
+    ).collect()[0]
+    if not seen["n"] or start < seen["nulls"]:
+        return df, 0
+    share = lambda position: (position - seen["nulls"]) * GRID / seen["n"]
+    low = seen["q"][max(0, int(share(start)) - 1)]
+    high = seen["q"][min(GRID, int(share(start + count)) + 2)]
+    part = df.filter((first >= F.lit(low)) & (first <= F.lit(high)))
+    exact = df.agg(
+        F.count_if(first.isNull() | (first < F.lit(low))).alias("below"),
+        F.count_if((first >= F.lit(low)) & (first <= F.lit(high))).alias("inside"),
+    ).collect()[0]
+    last = min(start + count, seen["n"] + seen["nulls"])
+    if exact["below"] <= start and last <= exact["below"] + exact["inside"]:
+        return part, exact["below"]
+    return df, 0
+
+
 def range_bounds(
     df: DataFrame, order_by: Sequence[str], start: int, count: int, enough: int = 1_000_000
 ) -> tuple[tuple, tuple | None] | None:
     """Order values of the rows at ``start`` and ``start + count - 1``.
 
-    The second is None where the table ends before it. Only the order columns
-    are shuffled.
+    The second is None where the table ends before it. Only the order columns of
+    the part around the range are shuffled.
     """
     if count <= 0:
         return None
-    low, high = _rows_at(df.select(*[col(c) for c in order_by]), order_by, [start, start + count - 1], enough)
+    keys, before = _narrowed(df.select(*[col(c) for c in order_by]), order_by, start, count)
+    low, high = _rows_at(keys, order_by, [start - before, start - before + count - 1], enough)
     return None if low is None else (low, high)
 
 

@@ -31,8 +31,8 @@ def build_session(app: str = "feedops", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint folder exists (tests on one
-    machine) a temporary folder is made and set.
+    Only where neither the setting nor a checkpoint folder exists, and all runs
+    on one machine (tests), a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="feedops-")
     context.setCheckpointDir(own)
     return context.getCheckpointDir()

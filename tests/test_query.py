@@ -150,3 +150,27 @@ def test_infer_types(spark):
     assert got == {"a": "integer", "b": "numeric", "c": "text", "d": "boolean", "e": "date", "f": "integer"}
     every = {r["name"]: r["data_type"] for r in profile.infer_types(df, sample=None, columns=["f"]).collect()}
     assert every == {"f": "text"}
+
+
+def test_shared_folder_is_the_named_one(spark, tmp_path):
+    from feedops import session
+
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert session.scratch_path(spark, "x").startswith(f"{tmp_path}/feedops/x-")
+        assert session.durable(spark.range(5)).count() == 5
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert session.shared_dir(spark) != str(tmp_path)
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_narrowed_ranges(spark, hot):
+    """Position look-up by value range, with NULLs and a value that holds a third of the rows."""
+    rng = random.Random(4)
+    values = [(hot if i % 3 == 0 else rng.randrange(1000), i) for i in range(2000)]
+    df = spark.createDataFrame(values, "v int, i int").repartition(5)
+    ordered = sorted(values, key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+    for start, count in ((0, 10), (600, 200), (1000, 3), (1990, 50)):
+        got = op.rows_at(df, start, count, ["v", "i"], shallow=0).collect()
+        assert [tuple(r) for r in got] == ordered[start:start + count]
