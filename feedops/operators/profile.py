@@ -21,7 +21,7 @@ from feedops.functions.values import (
     name_date_text,
 )
 from feedops.plans.columns import col, require_columns
-from feedops.plans.ranked import ranges, running_inside
+from feedops.plans.selection import values_at
 
 # Inferred types, most specific first.
 INFERRED_TYPES = ["integer", "numeric", "date", "timestamp", "boolean"]
@@ -30,6 +30,8 @@ INFERENCE_ROWS = 100
 # The column that puts a file into a category, first match wins.
 CATEGORY_RULES = [("asset", "ID_BB_GLOBAL"), ("company", "ID_BB_COMPANY")]
 QUARTILES = [0.25, 0.5, 0.75]
+# Most values of a column that the built-in exact percentile may gather.
+BUILT_IN = 1_000_000
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -88,44 +90,45 @@ def top_values(df: DataFrame, column: str, n: int = 20, frac: float | None = Non
     return counts.orderBy(F.col("count").desc(), "value").limit(n)
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles; NaN counts as missing."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    out = []
+    for c in columns:
+        v = col(c).cast("double")
+        whole = isinstance(kinds[c], (T.IntegralType, T.DecimalType))
+        out.append((v if whole else F.when(~F.isnan(v), v)).alias(c))
+    return df.select(*out)
+
+
+def quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], sizes: Mapping[str, int] | None = None
+) -> DataFrame:
     """``column, probability, quantile``: exact, interpolated between neighbours.
 
-    Equal values are counted together first; ranks come from running totals over
-    range partitions. No task holds a whole column, unlike the built-in exact
-    percentile.
+    Columns of up to ``BUILT_IN`` values go through Spark's own exact percentile,
+    whose memory grows with the values. For longer ones ranks are found by
+    narrowing value ranges (a few aggregating jobs), so no task holds a column.
     """
-    numbers = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    long = numbers.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    ranged = ranges(counts, ["column", "value"])
-    # at most (range partitions + columns) rows reach the driver
-    sums = ranged.groupBy("column", "__part").agg(F.sum("n").alias("n")).orderBy("column", "__part").collect()
-    homes = []
-    for column in sorted({r["column"] for r in sums}):
-        parts = [(r["__part"], r["n"]) for r in sums if r["column"] == column]
-        total = sum(n for _, n in parts)
-        for p in probabilities:
-            at = (total - 1) * p
-            for low, rank in ((True, math.floor(at)), (False, math.ceil(at))):
-                start = 0
-                for part, n in parts:
-                    if rank < start + n:
-                        homes.append((column, part, start, float(p), at - math.floor(at), low, rank))
-                        break
-                    start += n
-    wanted = df.sparkSession.createDataFrame(
-        homes, "column string, __part int, start bigint, probability double, weight double, low boolean, rank bigint"
-    )
-    needed = ranged.join(F.broadcast(wanted.select("column", "__part").distinct()), ["column", "__part"], "left_semi")
-    upto = F.col("start") + F.col("upto")
-    hits = running_inside(needed, ["value"], "n", "upto", ["column"]).join(F.broadcast(wanted), ["column", "__part"])
-    ends = hits.filter((F.col("rank") >= upto - F.col("n")) & (F.col("rank") < upto)).groupBy("column", "probability").agg(
-        F.max(F.when(F.col("low"), F.col("value"))).alias("a"), F.max(F.when(~F.col("low"), F.col("value"))).alias("b"),
-        F.max("weight").alias("weight"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("weight")
-    return ends.select("column", "probability", value.alias("quantile"))
+    data = numbers(df, columns)
+    if sizes is None:
+        sizes = data.agg(*[F.count(col(c)).alias(c) for c in columns]).collect()[0].asDict()
+    rows = []
+    short = [c for c in columns if 0 < sizes[c] <= BUILT_IN]
+    if short:
+        exact = [F.percentile(col(c), [F.lit(float(p)) for p in probabilities]).alias(f"q{i}") for i, c in enumerate(short)]
+        found = data.agg(*exact).collect()[0]
+        rows += [(c, float(p), v) for i, c in enumerate(short) for p, v in zip(probabilities, found[f"q{i}"])]
+    at = {(c, p): (sizes[c] - 1) * p for c in columns for p in probabilities if sizes[c] > BUILT_IN}
+    if at:
+        ranks: dict[str, list[int]] = {c: [] for c, _ in at}
+        for (c, _), position in at.items():
+            ranks[c] += [math.floor(position), math.ceil(position)]
+        values = values_at(data, ranks, sizes)
+        for (c, p), position in at.items():
+            low, high = values[c, math.floor(position)], values[c, math.ceil(position)]
+            rows.append((c, float(p), low + (high - low) * (position - math.floor(position))))
+    return df.sparkSession.createDataFrame(rows, "column string, probability double, quantile double")
 
 
 def describe(
@@ -133,29 +136,31 @@ def describe(
 ) -> DataFrame:
     """One row per numeric column: ``column, count, mean, std, min, q25, q50, q75, max``.
 
+    Runs its jobs at once; nothing but the figures themselves reaches the driver.
     ``approximate`` takes quartiles from one-pass sketches instead of exact ranks.
     """
     require_columns(df, columns)
-    data = _sampled(df.select(*[col(c).cast("double").alias(c) for c in columns]), frac, seed)
+    data = _sampled(numbers(df, columns), frac, seed)
     basic = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    names = [*basic, *(["q"] if approximate else [])]
     flat = []
     for i, c in enumerate(columns):
         flat += [fn(col(c)).alias(f"{n}{i}") for n, fn in basic.items()]
         if approximate:
             flat.append(F.percentile_approx(col(c), QUARTILES, 10000).alias(f"q{i}"))
-    per_column = F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, c in enumerate(columns)
-    ])
-    long = data.agg(*flat).select(F.explode(per_column).alias("c")).select("c.*")
-    order = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    found = data.agg(*flat).collect()[0]
     if approximate:
-        return long.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(order[5:8])]).select(order)
-    ranks = quantiles(data, columns, QUARTILES)
-    wide = ranks.groupBy("column").agg(
-        *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in zip(QUARTILES, order[5:8])]
+        quartiles = {(c, p): v for i, c in enumerate(columns) for p, v in zip(QUARTILES, found[f"q{i}"] or [])}
+    else:
+        ranks = quantiles(data, columns, QUARTILES, {c: found[f"count{i}"] for i, c in enumerate(columns)})
+        quartiles = {(r["column"], r["probability"]): r["quantile"] for r in ranks.collect()}
+    rows = [
+        (c, *[found[f"{n}{i}"] for n in ("count", "mean", "std", "min")], *[quartiles.get((c, p)) for p in QUARTILES],
+         found[f"max{i}"])
+        for i, c in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
     )
-    return long.join(wide, "column", "left").select(order)
 
 
 def column_stats(df: DataFrame, column: str, frac: float | None = None, approximate: bool = False) -> DataFrame:

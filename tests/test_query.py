@@ -152,16 +152,15 @@ def test_infer_types(spark):
     assert every == {"f": "text"}
 
 
-def test_shared_folder_is_the_named_one(spark, tmp_path):
+def test_shared_folder_is_the_named_one(spark, tmp_path, monkeypatch):
     from feedops import session
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert session.scratch_path(spark, "x").startswith(f"{tmp_path}/feedops/x-")
-        assert session.durable(spark.range(5)).count() == 5
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    named = {"spark.checkpoint.dir": str(tmp_path)}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: named.get(key, default))
+    assert session.scratch_path(spark, "x").startswith(f"{tmp_path}/feedops/x-")
+    monkeypatch.undo()
     assert session.shared_dir(spark) != str(tmp_path)
+    assert session.durable(spark.range(5)).count() == 5
 
 
 @pytest.mark.parametrize("hot", [None, 7])
@@ -174,3 +173,30 @@ def test_narrowed_ranges(spark, hot):
     for start, count in ((0, 10), (600, 200), (1000, 3), (1990, 50)):
         got = op.rows_at(df, start, count, ["v", "i"], shallow=0).collect()
         assert [tuple(r) for r in got] == ordered[start:start + count]
+
+
+@pytest.mark.parametrize("enough", [0, 100_000, 20])
+def test_quantiles_by_narrowing(spark, monkeypatch, enough):
+    """Exact ranks with hot values, NaN, NULLs and an empty column."""
+    import numpy as np
+
+    from feedops.plans import selection
+
+    if enough:  # 0: the built-in percentile
+        monkeypatch.setattr(profile, "BUILT_IN", 1)
+        monkeypatch.setattr(selection, "ENOUGH", enough)
+    rng = random.Random(enough)
+    data = [
+        (5.0 if i % 3 == 0 else rng.random() * 10, float(rng.randrange(3)), None if i % 2 else rng.gauss(0, 1), None,
+         float("nan") if i % 5 == 0 else float(i)) for i in range(3000)
+    ]
+    df = spark.createDataFrame(data, "hot double, few double, half double, none double, nans double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.6, 0.75, 0.999, 1.0]
+    got = {(r["column"], r["probability"]): r["quantile"] for r in profile.quantiles(df, df.columns, probs).collect()}
+    for i, c in enumerate(df.columns):
+        real = [r[i] for r in data if r[i] is not None and r[i] == r[i]]
+        for p in probs:
+            if real:
+                assert got[c, p] == pytest.approx(np.quantile(real, p)), (c, p)
+            else:
+                assert (c, p) not in got
