@@ -116,7 +116,7 @@ def quantiles(
     rows = []
     short = [c for c in columns if 0 < sizes[c] <= BUILT_IN]
     if short:
-        exact = [F.percentile(col(c), [F.lit(float(p)) for p in probabilities]).alias(f"q{i}") for i, c in enumerate(short)]
+        exact = [F.percentile(col(c), [float(p) for p in probabilities]).alias(f"q{i}") for i, c in enumerate(short)]
         found = data.agg(*exact).collect()[0]
         rows += [(c, float(p), v) for i, c in enumerate(short) for p, v in zip(probabilities, found[f"q{i}"])]
     at = {(c, p): (sizes[c] - 1) * p for c in columns for p in probabilities if sizes[c] > BUILT_IN}
