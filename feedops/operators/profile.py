@@ -31,7 +31,7 @@ INFERENCE_ROWS = 100
 CATEGORY_RULES = [("asset", "ID_BB_GLOBAL"), ("company", "ID_BB_COMPANY")]
 QUARTILES = [0.25, 0.5, 0.75]
 # Most values of a column that the built-in exact percentile may gather.
-BUILT_IN = 1_000_000
+BUILT_IN = 200_000
 
 
 def row_count(df: DataFrame) -> DataFrame:
