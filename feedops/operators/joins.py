@@ -37,13 +37,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, slices: int = 16) -
     """
     present = left.filter(col(key).isNotNull())
     counts = present.groupBy(col(key).alias("__k")).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__all"))
-    hot = (
-        counts.withColumn("__one", F.lit(1))
-        .join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-        .filter(F.col("__n") * (4 * slices) > F.col("__all"))
-        .select("__k", F.lit(True).alias("__hot"))
-    )
+    total = counts.agg(F.sum("__n")).scalar()
+    hot = counts.filter(F.col("__n") * (4 * slices) > total).select("__k", F.lit(True).alias("__hot"))
     rest = [c for c in left.columns if c != key]
     salt = F.pmod(F.xxhash64(*[col(c) for c in (rest or [key])]), F.lit(slices)).cast("int")
     marked = present.join(F.broadcast(hot), col(key) == F.col("__k"), "left")

@@ -32,6 +32,8 @@ CATEGORY_RULES = [("asset", "ID_BB_GLOBAL"), ("company", "ID_BB_COMPANY")]
 QUARTILES = [0.25, 0.5, 0.75]
 # Most values of a column that the built-in exact percentile may gather.
 BUILT_IN = 200_000
+# Long columns searched together, so that generated code stays small.
+AT_ONCE = 20
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -124,7 +126,9 @@ def quantiles(
         ranks: dict[str, list[int]] = {c: [] for c, _ in at}
         for (c, _), position in at.items():
             ranks[c] += [math.floor(position), math.ceil(position)]
-        values = values_at(data, ranks, sizes)
+        values, long = {}, list(ranks)
+        for i in range(0, len(long), AT_ONCE):
+            values.update(values_at(data, {c: ranks[c] for c in long[i:i + AT_ONCE]}, sizes))
         for (c, p), position in at.items():
             low, high = values[c, math.floor(position)], values[c, math.ceil(position)]
             rows.append((c, float(p), low + (high - low) * (position - math.floor(position))))
@@ -168,11 +172,10 @@ def column_stats(df: DataFrame, column: str, frac: float | None = None, approxim
     number of rows looked at and the fraction asked for."""
     require_columns(df, [column])
     data = _sampled(df.select(col(column)), frac, 0)
-    size = data.agg(F.count("*").alias("sample_size")).withColumn("sample_fraction", F.lit(float(frac or 1.0)))
+    size = data.agg(F.count("*")).scalar()
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
     found = describe(data, [column], approximate=approximate) if numeric else top_values(data, column)
-    one = F.lit(1)
-    return found.withColumn("__one", one).join(size.withColumn("__one", one), "__one").drop("__one")
+    return found.withColumn("sample_size", size).withColumn("sample_fraction", F.lit(float(frac or 1.0)))
 
 
 def _type_flags(columns: Mapping[str, Column]) -> list[Column]:

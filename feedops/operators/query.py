@@ -156,17 +156,11 @@ def sql(
 
 def describe_table(df: DataFrame) -> DataFrame:
     """``position, name, type, row_count, column_count``; the count is one scan."""
-    spark = df.sparkSession
-    columns = spark.createDataFrame(
-        [(i, n, t, len(df.columns)) for i, (n, t) in enumerate(df.dtypes)],
-        "position int, name string, type string, column_count int",
-    )
-    counted = df.agg(F.count("*").alias("row_count"))
-    one = F.lit(1)
-    return (
-        columns.withColumn("__one", one).join(counted.withColumn("__one", one), "__one")
-        .select("position", "name", "type", "row_count", "column_count")
-    )
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), F.lit(t).alias("type")) for i, (n, t) in enumerate(df.dtypes)
+    ])
+    counted = df.agg(F.count("*").alias("row_count")).withColumn("c", F.explode(listed))
+    return counted.select("c.*", "row_count", F.lit(len(df.columns)).alias("column_count"))
 
 
 def where(df: DataFrame, condition: str | Column) -> DataFrame:

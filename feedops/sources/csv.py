@@ -74,7 +74,7 @@ def _header(lines: list[str], sep: str, quote: str) -> tuple[list[str], str]:
 
 
 def headers_by_path(
-    spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', at_once: int = 16
+    spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', at_once: int = 32
 ) -> dict[tuple[tuple[str, ...], str], list[str]]:
     """Paths grouped by (header, separator). The driver holds headers only."""
     with ThreadPoolExecutor(at_once) as pool:

@@ -129,3 +129,12 @@ def test_plan(pair, plan):
     assert text.count("WindowGroupLimit Partial") + text.count("Partial)") >= 2 or "WindowGroupLimit" in text
     # one shuffle per side, and the final single-row aggregate
     assert text.count("hashpartitioning") == 2 and "CartesianProduct" not in text
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    from feedops.functions.fingerprints import fingerprint
+
+    cells = [("a", "b"), ("ab", ""), ("ab", None), (None, "ab"), ("", "ab"), ("a", "1:b"), ("a1:", "b"), (None, None), ("-", "-"), ("", "")]
+    df = spark.createDataFrame(cells, "x string, y string")
+    assert df.select(fingerprint(["y", "x"]).alias("f")).distinct().count() == len(cells)
+    assert df.select((fingerprint(["y", "x"]) == fingerprint(["x", "y"])).alias("f")).distinct().collect()[0][0] is True
