@@ -35,7 +35,7 @@ def _prepared(
         check_same_header(prev, curr)
     for side in (prev, curr):
         if key not in side.columns:
-            raise ValueError(f"primary key '{key}' not found in columns {side.columns}")
+            raise ValueError(f"no key column {key} among {side.columns}")
     compared = compared_columns(prev, curr, key, columns, ignore)
     if dict(prev.dtypes)[key] != dict(curr.dtypes)[key]:
         prev, curr = (s.withColumn(key, col(key).cast("string")) for s in (prev, curr))

@@ -48,8 +48,8 @@ def with_effective_date(inv: DataFrame) -> DataFrame:
     where the name has no real date (the file stays in the list)."""
     text, day = name_date_text("name"), name_date("name")
     problem = (
-        F.when(text.isNull(), F.concat(F.lit("no date in YYYYMMDD format found in filename: "), F.col("name")))
-        .when(day.isNull(), F.concat(F.lit("invalid date format in filename: "), F.col("name")))
+        F.when(text.isNull(), F.concat(F.lit("name without a yyyymmdd date: "), F.col("name")))
+        .when(day.isNull(), F.concat(F.lit("name with an impossible date: "), F.col("name")))
     )
     return inv.withColumn("date_text", text).withColumn("effective_date", day).withColumn("error", problem)
 
@@ -93,7 +93,7 @@ def snapshot_pair(inv: DataFrame, by: str = "name") -> DataFrame:
         F.max(F.when(F.col("rank") == 2, F.col("path"))).alias("previous"),
     )
     return pairs.withColumn(
-        "error", F.when(F.col("previous").isNull(), F.lit("Not enough CSV files found (need at least 2)"))
+        "error", F.when(F.col("previous").isNull(), F.lit("a pair needs two files"))
     )
 
 

@@ -24,7 +24,7 @@ JoinKey = tuple[str, str, str, str]
 def require_tables(catalog: Catalog, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in catalog]
     if missing:
-        raise ValueError(f"Tables not found in configuration: {', '.join(missing)}")
+        raise ValueError(f"tables missing from the catalog: {', '.join(missing)}")
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, slices: int = 16) -> DataFrame:

@@ -26,9 +26,9 @@ def obfuscate(
     """
     unknown = [c for c in columns if c not in df.columns]
     if unknown:
-        raise ValueError(f"Columns not found: {', '.join(unknown)}")
+        raise ValueError(f"no such columns to mask: {', '.join(unknown)}")
     if method not in METHODS:
-        warnings.warn(f"Unknown method '{method}', using 'hash' instead.", stacklevel=2)
+        warnings.warn(f"method {method!r} is not known; hashing instead", stacklevel=2)
         method = "hash"
     rows = df if max_rows is None else df.limit(max_rows)
     salt = F.xxhash64(F.lit(seed), *[col(c) for c in df.columns])

@@ -59,7 +59,7 @@ def merge_newest_columns(
         taken.update(new)
         parts.append((date, new, valid_keys(frame, key)))
     if not parts:
-        raise ValueError("No DataFrames to merge")
+        raise ValueError("nothing to merge")
     if not dedupe:
         slim = [f.select(key, *[col(c) for c in new]) if new else f.select(key).distinct() for _, new, f in parts]
         return reduce(lambda a, b: a.join(b, key, "full_outer"), slim)

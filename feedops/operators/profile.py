@@ -68,7 +68,7 @@ def merge_counts(frames: Sequence[DataFrame], ordered: bool = True) -> DataFrame
     for frame in frames:
         missing = {"value", "count"} - set(frame.columns)
         if missing:
-            raise ValueError(f"Invalid file format. Expected columns: value, count (missing {sorted(missing)})")
+            raise ValueError(f"a count table needs the columns value and count (missing {sorted(missing)})")
     every = reduce(DataFrame.unionByName, [f.select("value", F.col("count").cast("bigint")) for f in frames])
     merged = every.filter(F.col("value").isNotNull()).groupBy("value").agg(F.sum("count").alias("count"))
     return merged.orderBy(F.col("count").desc(), "value") if ordered else merged
@@ -249,7 +249,7 @@ def extract_metadata(
     found = reduce(DataFrame.unionByName, parts)
     sized = inv.join(found, "path", "left")
     name = base_name(F.col("path"))
-    problem = F.when(name_date(name).isNull(), F.concat(F.lit("error extracting effective date from "), name))
+    problem = F.when(name_date(name).isNull(), F.concat(F.lit("no effective date in "), name))
     return sized.select(
         base_name(parent(F.col("path"))).alias("filename"),
         F.when(F.col("directory") != "", F.concat_ws("/", "directory", "name")).otherwise(name).alias("relativePath"),

@@ -32,7 +32,7 @@ def parse_terms(text: str) -> list[tuple[str, str]]:
         if colon:
             pairs.append((name, value))
         else:
-            warnings.warn(f"Invalid filter format: {term}", stacklevel=3)
+            warnings.warn(f"term without a colon skipped: {term}", stacklevel=3)
     return pairs
 
 
@@ -54,7 +54,7 @@ def where_eq(df: DataFrame, terms: Mapping[str, object] | str) -> DataFrame:
         if name in df.columns:
             tests.append(_equals(df, name, value))
         else:
-            warnings.warn(f"Filter uses unknown column: {name}", stacklevel=2)
+            warnings.warn(f"term on an unknown column skipped: {name}", stacklevel=2)
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
 
 

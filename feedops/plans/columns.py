@@ -22,7 +22,7 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
     known = set(df.columns)
     unknown = [n for n in names if n not in known]
     if unknown:
-        raise ValueError(f"Invalid columns: {unknown}")
+        raise ValueError(f"unknown columns: {unknown}")
     return names
 
 
@@ -33,7 +33,7 @@ def resolve_key(df: DataFrame, name: str) -> str:
     for candidate in df.columns:
         if candidate.lower() == name.lower():
             return candidate
-    raise ValueError(f"Column {name} does not exist (columns: {df.columns})")
+    raise ValueError(f"no column {name} among {df.columns}")
 
 
 def without(names: Sequence[str], dropped: Iterable[str]) -> list[str]:
@@ -70,4 +70,4 @@ def check_same_header(prev: DataFrame, curr: DataFrame) -> None:
     """Error unless both snapshots have the same columns in the same order."""
     if prev.columns != curr.columns:
         added, removed = header_difference(prev, curr)
-        raise ValueError(f"headers do not match (added {added}, removed {removed})")
+        raise ValueError(f"headers differ (added {added}, removed {removed})")

@@ -53,8 +53,8 @@ def f3(spark, d):
 @add("f4_effective_date", f"""
 WITH {DOCUMENT_FILES}
 SELECT name, date_text, strftime(effective_date, '%Y-%m-%d') AS effective_date,
-       CASE WHEN date_text IS NULL THEN 'no date in YYYYMMDD format found in filename: ' || name
-            WHEN effective_date IS NULL THEN 'invalid date format in filename: ' || name END AS error
+       CASE WHEN date_text IS NULL THEN 'name without a yyyymmdd date: ' || name
+            WHEN effective_date IS NULL THEN 'name with an impossible date: ' || name END AS error
 FROM files""")
 def f4(spark, d):
     dated = op.with_effective_date(document_files(spark, d))
@@ -92,7 +92,7 @@ WITH {DOCUMENT_FILES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY directory
              ORDER BY coalesce(CAST(effective_date AS TIMESTAMP), mtime) DESC, mtime DESC, name DESC) AS rank FROM files)
 SELECT directory, max(CASE WHEN rank = 1 THEN path END) AS "current", max(CASE WHEN rank = 2 THEN path END) AS previous,
-       CASE WHEN max(rank) < 2 THEN 'Not enough CSV files found (need at least 2)' END AS error
+       CASE WHEN max(rank) < 2 THEN 'a pair needs two files' END AS error
 FROM ranked WHERE rank <= 2 GROUP BY directory""")
 def f7(spark, d):
     return op.snapshot_pair(document_files(spark, d))

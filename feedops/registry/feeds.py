@@ -212,7 +212,7 @@ def r13(spark, d):
 
 @add("r14_require_nonempty", f"""
 WITH {DOCUMENT_FILES}, s AS (SELECT path, greatest(size - 100, 0) AS size FROM files)
-SELECT path, size > 0 AS ok, CASE WHEN size <= 0 THEN 'File is empty: ' || path END AS error FROM s""")
+SELECT path, size > 0 AS ok, CASE WHEN size <= 0 THEN 'no bytes in ' || path END AS error FROM s""")
 def r14(spark, d):
     inv = document_files(spark, d).withColumn("size", F.greatest(F.col("size") - 100, F.lit(0)))
     return require_nonempty(inv).select("path", "ok", "error")

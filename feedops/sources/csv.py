@@ -7,6 +7,7 @@ import io
 from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def _header(lines: list[str], sep: str, quote: str) -> tuple[list[str], str]:
     sep = sniff_separator(lines) if sep == "auto" else sep
     rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep, quotechar=quote))
     if not rows or not any(rows[0]):
-        raise ValueError("CSV file has no header row")
+        raise ValueError("no header line")
     return dedupe_header(extend_header(rows[0], rows[1:])), sep
 
 
@@ -112,10 +113,7 @@ def read_text_csv(
         _read(spark, group, names, used, quote, multi_line)
         for (names, used), group in headers_by_path(spark, listed, sep, quote).items()
     ]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_inferred_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"') -> DataFrame:
@@ -150,20 +148,21 @@ def with_row_order(df: DataFrame, out: str = "_row") -> DataFrame:
 
 
 def read_feed(
-    spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"', spread: bool = True
+    spark: SparkSession, files: str | Sequence[str] | DataFrame, sep: str = ",", quote: str = '"', spread: bool = True
 ) -> DataFrame:
     """Text feed with ``_file`` and ``_source_date`` (the date in the file name).
 
-    A gz file is read by one task, so its rows are spread before further work.
+    ``files``: paths, or an inventory. A gz file is read by one task, so its rows
+    are spread before further work.
     """
-    listed = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+    if isinstance(files, DataFrame):
+        files = [r["path"] for r in files.select("path").toLocalIterator()]
+    listed = [files] if isinstance(files, str) else list(dict.fromkeys(files))
     frames = []
     for (names, used), group in headers_by_path(spark, listed, sep, quote).items():
         tagged = with_file(_read(spark, group, names, used, quote, False))
         frames.append(tagged.withColumn("_source_date", name_date_text(base_name(F.col("_file")))))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return out.hint("rebalance") if spread and any(p.rstrip("/").endswith(".gz") for p in listed) else out
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
+from urllib.parse import urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +33,17 @@ def parent(path: Column) -> Column:
 
 
 def with_names(df: DataFrame, root: str = "") -> DataFrame:
-    """Adds ``directory`` (relative to ``root``) and ``name`` to rows with ``path``."""
-    prefix = root.rstrip("/")
-    relative = F.col("path")
+    """Adds ``directory`` (relative to ``root``) and ``name`` to rows with ``path``.
+
+    Scheme and host are left out on both sides, as a root is often given without.
+    """
+    relative = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/") if root else F.col("path")
+    prefix = re.sub("/+$", "", re.sub("^/*", "/", urlsplit(root).path)) if root else ""
     if prefix:
-        at = F.instr(F.col("path"), prefix)
-        relative = F.when(at > 0, F.substr(F.col("path"), at + len(prefix) + 1)).otherwise(F.col("path"))
+        at = F.instr(relative, prefix + "/")
+        relative = F.when(at > 0, F.substr(relative, at + len(prefix) + 1)).otherwise(relative)
     folder = F.when(relative.contains("/"), parent(relative)).otherwise(F.lit(""))
-    return df.withColumn("directory", folder).withColumn("name", base_name(F.col("path")))
+    return df.withColumn("directory", F.ltrim(folder, F.lit("/"))).withColumn("name", base_name(F.col("path")))
 
 
 def file_inventory(
@@ -85,7 +90,7 @@ def expand_paths(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            warnings.warn(f"No files match pattern: {pattern}", stacklevel=2)
+            warnings.warn(f"nothing matches {pattern}", stacklevel=2)
     paths = spark.createDataFrame([(p,) for p in sorted(listed)], "path string")
     return paths.select(decoded(F.col("path")).alias("path")).distinct().orderBy("path")
 
@@ -102,5 +107,5 @@ def require_nonempty(inv: DataFrame) -> DataFrame:
     """Inventory with ``ok`` and ``error``: a file of no bytes is refused."""
     empty = F.col("size") <= 0
     return inv.withColumn("ok", ~empty).withColumn(
-        "error", F.when(empty, F.concat(F.lit("File is empty: "), F.col("path")))
+        "error", F.when(empty, F.concat(F.lit("no bytes in "), F.col("path")))
     )

@@ -39,7 +39,7 @@ def test_latest(inv, rows):
 
 def test_effective_date_errors(inv):
     errors = {r["name"]: r["error"] for r in op.with_effective_date(inv).collect()}
-    assert errors["nodate.csv.gz"].startswith("no date") and errors["x.20241399.csv.gz"].startswith("invalid date")
+    assert errors["nodate.csv.gz"].startswith("name without") and errors["x.20241399.csv.gz"].startswith("name with an impossible")
     assert errors["x.20240101.csv.gz"] is None
 
 
@@ -56,15 +56,15 @@ def test_pair(inv, rows):
     assert got["a/EQUITY_out"]["current"].endswith("x.20240301.csv.gz") and got["a/EQUITY_out"]["previous"].endswith("x.20241399.csv.gz")
     # same effective moment: the later modification wins
     assert got["a/b/c"]["current"].endswith("nodate.csv.gz") and got["a/b/c"]["previous"].endswith("y.20240101.csv.gz")
-    assert got[""]["error"].startswith("Not enough") and got[""]["previous"] is None
+    assert got[""]["error"].startswith("a pair needs") and got[""]["previous"] is None
     by_time = {r["directory"]: r["current"] for r in op.snapshot_pair(inv, by="mtime").collect()}
     assert by_time["a/EQUITY_out"].endswith("x.20240101.csv.gz")
 
 
 def test_top_files(spark):
     meta = spark.createDataFrame(
-        [("BEST_AMER_OUT", 622401), ("BEST_EURO_OUT", 845632), ("BEST_ASIA_OUT", 723450), ("BEST_AFRICA_OUT", 321789),
-         ("BEST_OCEANIA_OUT", 125678), ("BEST_NONE_OUT", None)], "filename string, rowCount bigint")
+        [("FEED_AMER_OUT", 622401), ("FEED_EURO_OUT", 845632), ("FEED_ASIA_OUT", 723450), ("FEED_AFRICA_OUT", 321789),
+         ("FEED_OCEANIA_OUT", 125678), ("FEED_NONE_OUT", None)], "filename string, rowCount bigint")
     names = [r["filename"].split("_")[1] for r in op.top_files_by_rows(meta).collect()]
     assert names == ["EURO", "ASIA", "AMER", "AFRICA", "OCEANIA", "NONE"]
 

@@ -69,10 +69,10 @@ def test_reconcile(spark, rows):
 
 
 FEEDS = {
-    "customers/customers_20240101.gz": "id,name,active,created_at,ID_BB_COMPANY\n1,John,true,2023-01-15 10:30:45,C1\n"
-                                       "2,Jane,true,2023-02-20 14:22:33,C2\n3,Bob,false,2023-03-10 09:15:27,C3\n",
-    "products/products_20240215.gz": "product_id,price,last_updated,ID_BB_GLOBAL\n101,1299.99,2024-01-05,BBG0001\n",
-    "orders/orders_20240320.gz": "order_id,blank\n1001,\n",
+    "firms/firms_20230630.gz": "nr,title,listed,seen_at,ID_BB_COMPANY\n7,Alpha,yes,2022-05-01 08:00:00,F7\n"
+                               "8,Beta,no,2022-05-02 09:30:00,F8\n",
+    "bonds/bonds_20230701.gz": "nr,coupon,matures,ID_BB_GLOBAL\n1,4.25,2031-12-15,BBG00X\n",
+    "notes/notes_20230702.gz": "nr,remark\n5,\n",
     "odd/undated.gz": "a\n1\n",
 }
 
@@ -82,16 +82,16 @@ def test_metadata(spark, tmp_path):
         put(tmp_path / name, text)
     meta = profile.extract_metadata(spark, str(tmp_path))
     got = {r["filename"]: r for r in meta.collect()}
-    customers = got["customers"]
-    assert customers["relativePath"] == "customers/customers_20240101.gz" and customers["effectiveDate"] == "20240101"
-    assert customers["rowCount"] == 3 and customers["error"] is None
-    assert [tuple(c) for c in customers["columns"]] == [
-        ("id", "integer"), ("name", "text"), ("active", "boolean"), ("created_at", "timestamp"), ("ID_BB_COMPANY", "text")]
-    assert [c["dataType"] for c in got["products"]["columns"]] == ["integer", "numeric", "date", "text"]
-    assert [c["dataType"] for c in got["orders"]["columns"]] == ["integer", "text"]
+    firms = got["firms"]
+    assert firms["relativePath"] == "firms/firms_20230630.gz" and firms["effectiveDate"] == "20230630"
+    assert firms["rowCount"] == 2 and firms["error"] is None
+    assert [tuple(c) for c in firms["columns"]] == [
+        ("nr", "integer"), ("title", "text"), ("listed", "boolean"), ("seen_at", "timestamp"), ("ID_BB_COMPANY", "text")]
+    assert [c["dataType"] for c in got["bonds"]["columns"]] == ["integer", "numeric", "date", "text"]
+    assert [c["dataType"] for c in got["notes"]["columns"]] == ["integer", "text"]
     assert got["odd"]["effectiveDate"] is None and "undated" in got["odd"]["error"] and got["odd"]["rowCount"] == 1
     kinds = {r[0]: r[1] for r in profile.categorise(meta).collect()}
-    assert kinds == {"customers": "company", "products": "asset", "orders": "exception", "odd": "exception"}
+    assert kinds == {"firms": "company", "bonds": "asset", "notes": "exception", "odd": "exception"}
 
 
 def test_metadata_types_come_from_first_rows(spark, tmp_path):
@@ -111,7 +111,7 @@ def test_inventory(spark, tmp_path, rows):
     open(tmp_path / "e/zero.csv", "w").close()
     bad = inventory.require_nonempty(inventory.file_inventory(spark, str(tmp_path), empty_files=True)).filter("NOT ok").collect()
     assert [r["name"] for r in bad] == ["zero.csv"]
-    with pytest.warns(UserWarning, match="No files match"):
+    with pytest.warns(UserWarning, match="nothing matches"):
         found = inventory.expand_paths(spark, [f"{tmp_path}/d 1/*", f"{tmp_path}/*/*.csv", f"{tmp_path}/none/*"])
         assert [r[0].rsplit("/", 1)[1] for r in found.collect()] == ["a.csv", "b.CSV", "zero.csv"]
 
@@ -171,3 +171,11 @@ def test_ingest(spark, tmp_path, rows):
     ingest_incremental(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out2", f"{tmp_path}/state2", fmt="csv",
                        options={"header": "true"}, skip_first=2)
     assert rows(spark.read.parquet(f"{tmp_path}/out2").select("id")) == [("3",)]
+
+
+def test_root_forms(spark, tmp_path, rows):
+    put(tmp_path / "feeds/EQ/a_20240101.csv", "x\n1\n")
+    for root in (f"{tmp_path}/feeds", f"{tmp_path}/feeds/", f"file:{tmp_path}/feeds", f"file://{tmp_path}/feeds"):
+        inv = inventory.file_inventory(spark, root)
+        assert rows(inv.select("directory", "name")) == [("EQ", "a_20240101.csv")], root
+    assert rows(src.read_feed(spark, inv).select("x", "_source_date")) == [("1", "20240101")]
