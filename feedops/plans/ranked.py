@@ -7,6 +7,7 @@ are added up globally.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from feedops.session import durable
 
 # Value ranges a sort column is cut into when rows are looked up by position.
 GRID = 200
+# Texts of a sort column looked at when rows are looked up by position.
+SAMPLED = 10_000
 
 
 def ranges(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -98,34 +101,57 @@ def _rows_at(keys: DataFrame, order_by: Sequence[str], positions: Sequence[int],
     return out
 
 
+def _around(df: DataFrame, name: str, n: int, start: int, end: int) -> tuple | None:
+    """Two values of a column that should enclose the non-null rows ``start`` to
+    ``end``: from a quantile sketch, or for texts from a sample of bounded size."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        steps = [i / GRID for i in range(GRID + 1)]
+        values = df.agg(F.percentile_approx(col(name), steps, 10000).alias("q")).collect()[0]["q"]
+        margin = 1
+    elif isinstance(kind, T.StringType):
+        rows = df.select(col(name)).filter(col(name).isNotNull())
+        drawn = rows.sample(fraction=min(1.0, SAMPLED / n), seed=n).orderBy(col(name)).collect()
+        values = [r[0] for r in drawn]
+        margin = 2 * math.isqrt(len(values)) + 1
+    else:
+        return None
+    if not values:
+        return None
+    last = len(values) - 1
+    low, high = math.floor(start * last / n) - margin, math.ceil(end * last / n) + margin
+    return values[max(0, low)], values[min(last, high)]
+
+
 def _narrowed(df: DataFrame, order_by: Sequence[str], start: int, count: int) -> tuple[DataFrame, int]:
     """A part of ``df`` that holds the wanted rows, and the rows before that part.
 
-    Quantile sketches of the first order column give a value range, one more
-    pass counts the rows below and inside it exactly. Where the column has no
-    quantiles, or the range misses, the whole table is returned.
+    Estimated bounds on the first order column give a value range; one pass
+    counts the rows below and inside it exactly. A range of a single value (a hot
+    one, say) is narrowed by the next column. Where nothing fits the whole table
+    is returned.
     """
     first = col(order_by[0])
-    if not isinstance(df.schema[order_by[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    size = df.agg(F.count(first).alias("n"), F.count_if(first.isNull()).alias("nulls")).collect()[0]
+    n, nulls = size["n"], size["nulls"]
+    end = min(start + count, n + nulls)
+    if start < nulls or start >= end:
         return df, 0
-    steps = [i / GRID for i in range(GRID + 1)]
-    seen = df.agg(
-        F.count(first).alias("n"), F.count_if(first.isNull()).alias("nulls"), F.percentile_approx(first, steps, 10000).alias("q")
-    ).collect()[0]
-    if not seen["n"] or start < seen["nulls"]:
+    found = _around(df, order_by[0], n, start - nulls, end - nulls)
+    if found is None:
         return df, 0
-    share = lambda position: (position - seen["nulls"]) * GRID / seen["n"]
-    low = seen["q"][max(0, int(share(start)) - 1)]
-    high = seen["q"][min(GRID, int(share(start + count)) + 2)]
-    part = df.filter((first >= F.lit(low)) & (first <= F.lit(high)))
+    low, high = (F.lit(v) for v in found)
     exact = df.agg(
-        F.count_if(first.isNull() | (first < F.lit(low))).alias("below"),
-        F.count_if((first >= F.lit(low)) & (first <= F.lit(high))).alias("inside"),
+        F.count_if(first.isNull() | (first < low)).alias("below"), F.count_if((first >= low) & (first <= high)).alias("inside")
     ).collect()[0]
-    last = min(start + count, seen["n"] + seen["nulls"])
-    if exact["below"] <= start and last <= exact["below"] + exact["inside"]:
-        return part, exact["below"]
-    return df, 0
+    below = exact["below"]
+    if not below <= start < end <= below + exact["inside"]:
+        return df, 0
+    part = df.filter((first >= low) & (first <= high))
+    if found[0] == found[1] and len(order_by) > 1:
+        part, more = _narrowed(part, order_by[1:], start - below, count)
+        return part, below + more
+    return part, below
 
 
 def range_bounds(

@@ -7,6 +7,7 @@ the names that plain SQL can express to that SQL.
 from __future__ import annotations
 
 from feedops.registry import (
+    chains,
     diffs,
     discovery,
     entities,
@@ -21,6 +22,6 @@ from feedops.registry import (
 
 QUERIES = {}
 ORACLE = {}
-for part in (discovery, feeds, querying, joining, merging, diffs, profiling, masking, entities, writing):
+for part in (discovery, feeds, querying, joining, merging, diffs, profiling, masking, entities, writing, chains):
     QUERIES.update(part.REGISTRY.queries)
     ORACLE.update(part.REGISTRY.oracle)

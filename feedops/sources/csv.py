@@ -148,12 +148,14 @@ def with_row_order(df: DataFrame, out: str = "_row") -> DataFrame:
 
 
 def read_feed(
-    spark: SparkSession, files: str | Sequence[str] | DataFrame, sep: str = ",", quote: str = '"', spread: bool = True
+    spark: SparkSession, files: str | Sequence[str] | DataFrame, sep: str = ",", quote: str = '"', spread: bool = True,
+    row_order: bool = False,
 ) -> DataFrame:
     """Text feed with ``_file`` and ``_source_date`` (the date in the file name).
 
-    ``files``: paths, or an inventory. A gz file is read by one task, so its rows
-    are spread before further work.
+    ``files``: paths, or an inventory. ``row_order`` adds ``_row``, which orders the
+    rows of a file. A gz file is read by one task, so its rows are spread before
+    further work.
     """
     if isinstance(files, DataFrame):
         files = [r["path"] for r in files.select("path").toLocalIterator()]
@@ -161,6 +163,7 @@ def read_feed(
     frames = []
     for (names, used), group in headers_by_path(spark, listed, sep, quote).items():
         tagged = with_file(_read(spark, group, names, used, quote, False))
+        tagged = with_row_order(tagged) if row_order else tagged
         frames.append(tagged.withColumn("_source_date", name_date_text(base_name(F.col("_file")))))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return out.hint("rebalance") if spread and any(p.rstrip("/").endswith(".gz") for p in listed) else out

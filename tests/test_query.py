@@ -163,9 +163,10 @@ def test_shared_folder_is_the_named_one(spark, tmp_path, monkeypatch):
     assert session.durable(spark.range(5)).count() == 5
 
 
-@pytest.mark.parametrize("hot", [None, 7])
-def test_narrowed_ranges(spark, hot):
+@pytest.mark.parametrize("hot,drawn", [(None, 10_000), (7, 10_000), (7, 150)])
+def test_narrowed_ranges(spark, monkeypatch, hot, drawn):
     """Position look-up by value range, with NULLs and a value that holds a third of the rows."""
+    monkeypatch.setattr(ranked, "SAMPLED", drawn)
     rng = random.Random(4)
     values = [(hot if i % 3 == 0 else rng.randrange(1000), i) for i in range(2000)]
     df = spark.createDataFrame(values, "v int, i int").repartition(5)
@@ -173,6 +174,11 @@ def test_narrowed_ranges(spark, hot):
     for start, count in ((0, 10), (600, 200), (1000, 3), (1990, 50)):
         got = op.rows_at(df, start, count, ["v", "i"], shallow=0).collect()
         assert [tuple(r) for r in got] == ordered[start:start + count]
+    texts = df.select(F.col("v").cast("string").alias("v"), "i")
+    ordered = sorted(((None if v is None else str(v), i) for v, i in values), key=lambda t: (t[0] is not None, t[0] or "", t[1]))
+    for start, count in ((0, 10), (700, 20), (1100, 300), (1999, 1)):
+        got = op.rows_at(texts, start, count, ["v", "i"], shallow=0).collect()
+        assert [tuple(r) for r in got] == ordered[start:start + count]
 
 
 @pytest.mark.parametrize("enough", [0, 100_000, 20])
