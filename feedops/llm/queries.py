@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedops.llm import bpe
+from feedops.llm import bpe, decontam, simhash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -27,6 +27,42 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+DECONTAMINATION_SQL = """
+WITH item_words AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), hits AS (
+  SELECT r, i, d.n, item
+  FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)) d
+  JOIN windows b ON d.win = b.win AND d.n = b.n
+), hit_words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), hit_items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+
+@query("op4_decontamination", DECONTAMINATION_SQL)
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_simhash")
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(table(spark, folder, "documents"))
+
+
 @query("op6_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
