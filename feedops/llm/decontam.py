@@ -52,6 +52,13 @@ class Windows:
             owners = list(grams.values())
             self.by_length[length] = (hashes[order], ids[order], [owners[k] for k in order])
 
+    @staticmethod
+    def of(parts: dict) -> Windows:
+        """From the plain parts that a broadcast carries."""
+        made = Windows([], 1)
+        made.number, made.by_length = parts["number"], parts["by_length"]
+        return made
+
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words stand in an occurrence of a window, and the items with one."""
         ids = np.fromiter((self.number.get(w, 0) for w in words), np.int64, len(words))
@@ -111,16 +118,17 @@ def _report(words: int, hit: np.ndarray, items: set[str]) -> tuple:
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of ``docs`` (doc_id, text)."""
     context = docs.sparkSession.sparkContext
-    slices = [context.broadcast(w) for w in _slices(benchmark, size, slice_bytes)]
+    slices = [context.broadcast(vars(w)) for w in _slices(benchmark, size, slice_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [Windows.of(one.value) for one in slices]
         for batch in batches:
             rows = []
             for text in batch.column(1).cast(pa.binary()):
                 words = words_of(text.as_py())
                 hit, items = np.zeros(len(words), bool), set()
-                for one in slices:
-                    h, i = one.value.hits(words)
+                for one in sets:
+                    h, i = one.hits(words)
                     hit, items = hit | h, items | i
                 rows.append(_report(len(words), hit, items))
             yield pa.record_batch(
@@ -141,18 +149,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
     context = docs.sparkSession.sparkContext
-    slices = [context.broadcast(w) for w in _slices(benchmark, size, slice_bytes)]
+    slices = [context.broadcast(vars(w)) for w in _slices(benchmark, size, slice_bytes)]
     text_at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [Windows.of(one.value) for one in slices]
         for batch in batches:
             stay, texts = [], []
             for text in batch.column(text_at).cast(pa.binary()):
                 raw = text.as_py()
                 words = words_of(raw)
                 hit = np.zeros(len(words), bool)
-                for one in slices:
-                    hit |= one.value.hits(words)[0]
+                for one in sets:
+                    hit |= one.hits(words)[0]
                 stay.append(remove == "spans" or not hit.any())
                 texts.append(cut(raw, hit) if hit.any() else raw)
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == text_at else c for k, c in enumerate(batch.columns)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedops.llm import bpe, decontam, simhash
+from feedops.llm import bpe, decontam, langid, simhash, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -27,6 +27,69 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@query("op1_language_id")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+REPUTATION_SQL = """
+WITH cut AS (
+  SELECT page_id, url, coalesce(strpos(url, '://'), 0) AS i FROM pages
+), parts AS (
+  SELECT page_id,
+         CASE WHEN i > 0 THEN translate(regexp_extract(substr(url, i + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN i > 0 THEN regexp_extract(substr(url, i + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM cut
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN host LIKE '%.com' AND path LIKE '/de/%' OR host = 'com' AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN host LIKE '%.com' AND path LIKE '/fr/%' OR host = 'com' AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host LIKE '%.org' OR host = 'org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM parts
+), labelled AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(CASE WHEN rule IN ('org/', 'com/fr/') THEN 0 ELSE 1 END)::DOUBLE AS k
+  FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY host
+), hosts AS (
+  SELECT *, regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM labelled
+), whole AS (
+  SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean, coalesce(sum(n), 0) + 2 AS weight FROM hosts
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(mean) AS parent FROM hosts, whole GROUP BY suffix
+), s1 AS (
+  SELECT 1 / least(greatest(coalesce((sum((k - n * parent) ** 2) - sum(n * parent * (1 - parent))) / nullif(sum(n * (n - 1) * parent * (1 - parent)), 0), 0.001), 0.001), 0.999) - 1 AS m FROM s0
+), suffixes AS (
+  SELECT suffix, (k + m * parent) / (n + m) AS mean, n + m AS weight FROM s0, s1
+), d0 AS (
+  SELECT domain, sum(n) AS n, sum(k) AS k, any_value(mean) AS parent FROM hosts JOIN suffixes USING (suffix) GROUP BY domain
+), d1 AS (
+  SELECT 1 / least(greatest(coalesce((sum((k - n * parent) ** 2) - sum(n * parent * (1 - parent))) / nullif(sum(n * (n - 1) * parent * (1 - parent)), 0), 0.001), 0.001), 0.999) - 1 AS m FROM d0
+), domains AS (
+  SELECT domain, (k + m * parent) / (n + m) AS mean, n + m AS weight FROM d0, d1
+), h0 AS (
+  SELECT host, n, k, mean AS parent FROM hosts JOIN domains USING (domain)
+), h1 AS (
+  SELECT 1 / least(greatest(coalesce((sum((k - n * parent) ** 2) - sum(n * parent * (1 - parent))) / nullif(sum(n * (n - 1) * parent * (1 - parent)), 0), 0.001), 0.001), 0.999) - 1 AS m FROM h0
+), by_host AS (
+  SELECT host, (k + m * parent) / (n + m) AS mean, n + m AS weight FROM h0, h1
+)
+SELECT page_id, r.host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN coalesce(b.mean, d.mean, s.mean, w.mean) - 1.645 * sqrt(coalesce(b.mean, d.mean, s.mean, w.mean) * (1 - coalesce(b.mean, d.mean, s.mean, w.mean)) / (coalesce(b.weight, d.weight, s.weight, w.weight) + 1)) >= 0.5 THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN by_host b ON r.host = b.host LEFT JOIN domains d ON regexp_extract(r.host, '([^.]*[.])?[^.]*$') = d.domain
+LEFT JOIN suffixes s ON regexp_extract(r.host, '[^.]*$') = s.suffix, whole w
+"""
+
+
+@query("op3_host_reputation", REPUTATION_SQL)
+def host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), RULES)
+
+
 DECONTAMINATION_SQL = """
 WITH item_words AS (
   SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
