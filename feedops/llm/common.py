@@ -22,7 +22,7 @@ BUCKET_CAP = 4096
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later stages never recompute it after a lost executor."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -176,6 +176,15 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def each_slice(slices: list) -> Iterator:
+    """The values of broadcasts, one in memory at a time if there are several."""
+    if len(slices) == 1:
+        yield slices[0].value
+        return
+    for one in slices:
+        yield one.load_from_path(one._path)
+
+
 def held_out_key(column: str):
     """crc32 of the id as text: splits rows into folds that no content decides."""
     return F.crc32(F.col(column).cast("string"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedops.llm.common import each_slice
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A slice of the test set that is broadcast at once.
 SLICE_BYTES = 32_000_000
@@ -115,22 +117,24 @@ def _report(words: int, hit: np.ndarray, items: set[str]) -> tuple:
     return words, int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _judged(texts: pa.Array, slices: list) -> list[tuple[np.ndarray, set[str]]]:
+    """Hit words and items of each text, slice after slice of the test set."""
+    found = None
+    for parts in each_slice(slices):
+        own = Windows.of(parts)
+        now = [own.hits(words_of(text.as_py())) for text in texts.cast(pa.binary())]
+        found = now if found is None else [(a | c, b | d) for (a, b), (c, d) in zip(found, now)]
+    return found
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of ``docs`` (doc_id, text)."""
     context = docs.sparkSession.sparkContext
     slices = [context.broadcast(vars(w)) for w in _slices(benchmark, size, slice_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [Windows.of(one.value) for one in slices]
         for batch in batches:
-            rows = []
-            for text in batch.column(1).cast(pa.binary()):
-                words = words_of(text.as_py())
-                hit, items = np.zeros(len(words), bool), set()
-                for one in sets:
-                    h, i = one.hits(words)
-                    hit, items = hit | h, items | i
-                rows.append(_report(len(words), hit, items))
+            rows = [_report(len(hit), hit, items) for hit, items in _judged(batch.column(1), slices)]
             yield pa.record_batch(
                 [batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
@@ -153,19 +157,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "
     text_at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [Windows.of(one.value) for one in slices]
         for batch in batches:
-            stay, texts = [], []
-            for text in batch.column(text_at).cast(pa.binary()):
-                raw = text.as_py()
-                words = words_of(raw)
-                hit = np.zeros(len(words), bool)
-                for one in sets:
-                    hit |= one.hits(words)[0]
-                stay.append(remove == "spans" or not hit.any())
-                texts.append(cut(raw, hit) if hit.any() else raw)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == text_at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stay, pa.bool_()))
+            hits = [hit for hit, _ in _judged(batch.column(text_at), slices)]
+            if remove == "documents":
+                yield batch.filter(pa.array([not hit.any() for hit in hits], pa.bool_()))
+                continue
+            raw = batch.column(text_at).cast(pa.binary()).to_pylist()
+            texts = pa.array([cut(t, hit) if hit.any() else t for t, hit in zip(raw, hits)], pa.binary()).cast(pa.string())
+            columns = [texts if k == text_at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedops.llm import bpe, decontam, langid, simhash, urls
+from feedops.llm import bpe, decontam, langid, pii, simhash, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -129,3 +129,9 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query("op10_surrogates")
+def surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.replace(docs, key=b"a key of the corpus")
