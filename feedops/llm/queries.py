@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedops.llm import bpe, decontam, langid, pii, simhash, urls
+from feedops.llm import bpe, decontam, langid, pages, pii, simhash, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -135,3 +135,8 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def surrogates(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.replace(docs, key=b"a key of the corpus")
+
+
+@query("op7_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
