@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedops.llm import bpe, decontam, langid, pages, pii, simhash, urls
+from feedops.llm import bpe, decontam, langid, pages, pii, quality, simhash, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -140,3 +140,9 @@ def surrogates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_main_text")
 def main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages"))
+
+
+@query("op9_quality")
+def text_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
