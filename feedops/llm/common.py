@@ -26,6 +26,22 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``keep``, in buckets of ``column``: what groups or joins by it later need not shuffle these rows.
+
+    The table is only registered while it is written; the files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm-{name}")
+    table = f"llm_{path.rpartition('-')[2]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    rows = spark.read.table(table)
+    rows.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def split_hot(df: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     """Adds ``part`` and ``side`` to rows with a ``bucket``.
 
@@ -35,9 +51,10 @@ def split_hot(df: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     (where all have side 0).
     """
     payload = [c for c in df.columns if c != "bucket"]
-    hot = (
+    # written, so that its size is known and rows need no shuffle where hardly a bucket is hot
+    hot = keep(
         df.groupBy("bucket").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > cap)
-        .select("bucket", F.ceil(F.col("_rows") * 2 / cap).cast("int").alias("_blocks"))
+        .select("bucket", F.ceil(F.col("_rows") * 2 / cap).cast("int").alias("_blocks")), "hot"
     )
     rows = df.join(hot, "bucket", "left").withColumn(
         "_own", F.when(F.col("_blocks").isNotNull(), F.pmod(F.xxhash64(*payload), F.col("_blocks").cast("long")).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedops.llm import bpe, decontam, langid, pages, pii, quality, simhash, urls
+from feedops.llm import bpe, decontam, langid, pages, pii, quality, simhash, urls, vectors
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -146,3 +146,29 @@ def main_text(spark: SparkSession, folder: str) -> DataFrame:
 def text_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), sound AS (
+  SELECT vec_id, x FROM rows
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9
+), reach(node, low) AS (
+  SELECT vec_id, vec_id FROM rows UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node
+), component AS (
+  SELECT node, min(low) AS component_id FROM reach GROUP BY node
+), counts AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM rows JOIN component ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
+
+@query("op2_collision_counting", VECTORS_SQL)
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_copies(table(spark, folder, "embeddings"))
