@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedops.llm import bpe, decontam, langid, pages, pii, quality, simhash, urls, vectors
+from feedops.llm import bpe, chats, decontam, langid, pages, pii, quality, simhash, urls, vectors
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -172,3 +173,62 @@ FROM rows JOIN component ON node = vec_id LEFT JOIN counts ON a = vec_id
 @query("op2_collision_counting", VECTORS_SQL)
 def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_copies(table(spark, folder, "embeddings"))
+
+
+SCHEMAS = {
+    "ask": {"required": ["question"], "properties": {"question": "string", "words": "integer", "context": "string"}},
+    "search": {"required": ["question", "limit"], "properties": {"question": "string", "words": "integer", "limit": "integer"}},
+}
+
+CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, role, text, length(text) - length(replace(text, ' ', '')) + 1 AS words, 'c' || conv_id || '-' || turn AS own,
+         'c' || conv_id || '-' || (turn - 1) AS before, CASE WHEN turn > 1 THEN 'c' || conv_id || '-' || (turn % 2) END AS need
+  FROM conversations
+), found AS (
+  SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 ELSE 0 END AS place, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         CASE role WHEN 'user' THEN own WHEN 'assistant' THEN before END AS id, CASE role WHEN 'user' THEN need END AS need,
+         CASE role WHEN 'user' THEN words <= 30 END AS valid,
+         CASE role
+           WHEN 'user' THEN '{"role":"assistant","tool_call":{"arguments":{' || coalesce('"context":{"$result":"' || need || '"},', '') || '"question":' || to_json(text)::VARCHAR || ',"words":' || words || '},"id":"' || own || '","name":"' || CASE WHEN words <= 30 THEN 'ask' ELSE 'search' END || '"}}'
+           WHEN 'assistant' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"tool","tool_call_id":"' || before || '"}'
+           ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"}' END AS json
+  FROM turns
+), calls AS (
+  SELECT c.id, c.turn, CASE WHEN c.need IS NULL THEN 0 WHEN n.id IS NOT NULL AND n.need IS NULL THEN 1 END AS level
+  FROM found c LEFT JOIN found n ON n.kind = 'call' AND n.id = c.need WHERE c.kind = 'call'
+), joined AS (
+  SELECT f.*, c.turn AS call_turn, c.level, c.id IS NOT NULL AS has_call, r.id IS NOT NULL AS has_result
+  FROM found f LEFT JOIN calls c ON c.id = f.id LEFT JOIN found r ON r.kind = 'result' AND r.id = f.id
+), stated AS (
+  SELECT *, CASE WHEN kind = 'message' THEN 'plain' WHEN kind = 'result' AND NOT has_call THEN 'orphan' WHEN kind = 'result' THEN 'linked'
+                 WHEN level IS NULL THEN 'unresolved' WHEN NOT has_result THEN 'open' ELSE 'linked' END AS status,
+            kind = 'result' AND has_call AS follows
+  FROM joined
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN follows THEN call_turn ELSE turn END, CASE WHEN kind = 'call' OR follows THEN coalesce(level, 0) ELSE -1 END,
+         CASE WHEN follows THEN 1 ELSE place END, follows::INT, turn, place, json) - 1 AS position,
+       turn, kind, id AS call_id, status, coalesce(level, -1) AS level,
+       CASE WHEN valid THEN 'valid' WHEN NOT valid THEN 'invalid' ELSE 'none' END AS schema, json
+FROM stated
+"""
+
+
+def tool_turns(turns: DataFrame) -> DataFrame:
+    """The conversations as tool traffic: a user turn becomes a call, the turn after it the result, later calls take the first one's result."""
+    own = F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn")
+    words = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    context = F.when(F.col("turn") > 1, F.struct(F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") % 2).alias("$result")))
+    arguments = F.struct(F.col("text").alias("question"), words.alias("words"), context.alias("context"))
+    call = F.struct(own.alias("id"), F.when(words <= 30, "ask").otherwise("search").alias("name"), arguments.alias("arguments"))
+    result = F.struct(F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    is_user, is_answer = F.col("role") == "user", F.col("role") == "assistant"
+    return turns.select(
+        "conv_id", "turn", F.when(is_user, "assistant").when(is_answer, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(is_user, F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(is_answer, F.to_json(result)).otherwise(F.col("text")).alias("text"),
+    )
+
+
+@query("op8_tool_links", CHAT_SQL)
+def tool_links(spark: SparkSession, folder: str) -> DataFrame:
+    return chats.link(tool_turns(table(spark, folder, "conversations")), SCHEMAS)
