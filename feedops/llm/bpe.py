@@ -2,9 +2,10 @@
 
 1. Each map task cuts texts into pre-tokens and numbers the distinct ones. A document becomes the numbers of its
    pre-tokens in order of position; the numbered words go out in packed rows, dealt into word buckets by a hash.
-   This table is written once to the shared folder.
+   This table is written once to the shared folder, in buckets of blocks of documents.
 2. Word buckets are shuffled: all occurrences of a word meet in one bucket, which encodes it once.
-3. The ids travel back to the block of documents that asked for them and are put in place by position.
+3. The ids travel back to the block of documents that asked for them and are put in place by position. The documents'
+   numbers lie in the block's bucket already and are not shuffled.
 
 A word that stands in every document is one entry per block of documents, so no word bucket is larger for it.
 Decoding looks ids up in the table of token bytes (50 000 entries, a broadcast of fixed size).
@@ -23,16 +24,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedops.llm.common import keep
+from feedops.llm.common import keep_bucketed
 
 WORD_BUCKETS = 192
-#: A block of documents ends at so many distinct words or so many bytes of text.
+#: A block of documents ends at so many distinct words or about so many bytes of text.
 BLOCK_WORDS = 400_000
 BLOCK_BYTES = 48_000_000
+#: Documents and pre-tokens that travel as one row.
+CHUNK_DOCS = 2048
+CHUNK_WORDS = 400_000
 LONGEST_SCAN = 48
 
 
@@ -128,8 +133,20 @@ def unpack(data: bytes) -> np.ndarray:
     return out
 
 
-PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
-PIECES_DDL = "block long, bucket int, doc_id long, words binary, numbers binary"
+PIECES = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("words", pa.binary()), ("numbers", pa.binary())])
+PIECES_DDL = "block long, bucket int, docs array<long>, words binary, numbers binary"
+
+
+def squeeze(head: np.ndarray, body: bytes) -> bytes:
+    """Packed numbers and what they count or measure, compressed."""
+    packed = pack(head)
+    return zstandard.ZstdCompressor(level=3).compress(len(packed).to_bytes(4, "little") + packed + body)
+
+
+def expand(data: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    stop = 4 + int.from_bytes(raw[:4], "little")
+    return unpack(raw[4:stop]), raw[stop:]
 
 
 class _Numbering(dict):
@@ -148,19 +165,26 @@ def _word_rows(block: int, words: Iterable[str], buckets: int) -> pa.RecordBatch
         texts.append(raw)
         numbers.append(number)
     rows = [(k, texts, numbers) for k, (texts, numbers) in enumerate(held) if texts]
-    joined = [pack(np.fromiter(map(len, texts), np.int64, len(texts))) for _, texts, _ in rows]
     return pa.record_batch([
-        pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int32()), pa.nulls(len(rows), pa.int64()),
-        pa.array([len(size).to_bytes(4, "little") + size + b"".join(texts) for size, (_, texts, _) in zip(joined, rows)], pa.binary()),
-        pa.array([pack(np.diff(np.array(numbers), prepend=0)) for _, _, numbers in rows], pa.binary()),
+        pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], pa.int32()), pa.nulls(len(rows), pa.list_(pa.int64())),
+        pa.array([squeeze(np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts)) for _, texts, _ in rows], pa.binary()),
+        pa.array([squeeze(np.diff(np.array(numbers), prepend=0), b"") for _, _, numbers in rows], pa.binary()),
+    ], schema=PIECES)
+
+
+def _doc_row(block: int, ids: list, numbers: list[list[int]]) -> pa.RecordBatch:
+    size = np.fromiter(map(len, numbers), np.int64, len(numbers))
+    flat = np.fromiter((n for own in numbers for n in own), np.int64, int(size.sum()))
+    return pa.record_batch([
+        pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.nulls(1, pa.binary()),
+        pa.array([squeeze(size, pack(flat))], pa.binary()),
     ], schema=PIECES)
 
 
 def _split_words(data: bytes) -> list[bytes]:
-    head = 4 + int.from_bytes(data[:4], "little")
-    stop = head + np.cumsum(unpack(data[4:head]))
-    stops = stop.tolist()
-    return [data[a:b] for a, b in zip([head, *stops], stops)]
+    size, raw = expand(data)
+    stops = np.cumsum(size).tolist()
+    return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def _cut(pattern: str, buckets: int):
@@ -168,26 +192,23 @@ def _cut(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         base, made, words, size = TaskContext.get().partitionId() << 32, 0, _Numbering(), 0
+        ids, numbers, count = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                streams, begun, room = [], at, 0
-                while at < batch.num_rows and size < BLOCK_BYTES and len(words) < BLOCK_WORDS and room < 8_000_000:
-                    text = texts[at].as_py() or ""
-                    streams.append(pack(np.array([words[w] for w in find(text)], np.int64)))
-                    size += len(text) + 16
-                    room += len(text) + 16
-                    at += 1
-                n = at - begun
-                if n:
-                    yield pa.record_batch([
-                        pa.array([base + made] * n, pa.int64()), pa.nulls(n, pa.int32()), ids.slice(begun, n).cast(pa.int64()),
-                        pa.nulls(n, pa.binary()), pa.array(streams, pa.binary()),
-                    ], schema=PIECES)
-                if size >= BLOCK_BYTES or len(words) >= BLOCK_WORDS:
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                own = [words[w] for w in find(text.as_py() or "")]
+                ids.append(doc.as_py())
+                numbers.append(own)
+                count += len(own)
+                size += 4 * len(own)
+                full = len(words) >= BLOCK_WORDS or size >= BLOCK_BYTES
+                if full or count >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
+                    yield _doc_row(base + made, ids, numbers)
+                    ids, numbers, count = [], [], 0
+                if full:
                     yield _word_rows(base + made, words, buckets)
                     made, words, size = made + 1, _Numbering(), 0
+        if ids:
+            yield _doc_row(base + made, ids, numbers)
         if words:
             yield _word_rows(base + made, words, buckets)
 
@@ -209,10 +230,9 @@ def _encode(ranks):
                     if found is None:
                         found = known[word] = merge(word, table)
                     ids.append(found)
-                sizes = pack(np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat = pack(np.fromiter((i for w in ids for i in w), np.int64))
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
                 blocks.append(block)
-                out.append(len(sizes).to_bytes(4, "little") + sizes + flat)
+                out.append(squeeze(size, pack(np.fromiter((i for w in ids for i in w), np.int64, int(size.sum())))))
             yield pa.record_batch([pa.array(blocks, pa.int64()), batch.column("numbers"), pa.array(out, pa.binary())], names=["block", "numbers", "ids"])
 
     return run
@@ -227,44 +247,42 @@ def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarr
 
 
 def _place(finish):
-    """Task of step 3: rows sorted by block, its words before its documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words, ready = None, [], None
-        for batch in batches:
-            docs, done = [], []
-            for own, first, doc, numbers, ids in zip(*(batch.column(c).to_pylist() for c in ("block", "words_first", "doc_id", "numbers", "ids"))):
-                if own != block:
-                    block, words, ready = own, [], None
-                if first == 0:
-                    words.append((np.cumsum(unpack(numbers)), ids))
-                    continue
-                if ready is None:
-                    ready, words = _dictionary(words), []
-                docs.append(doc)
-                done.append(finish(ragged(*ready, unpack(numbers)).astype("<u4")))
-            if docs:
-                yield pa.record_batch([pa.array(docs, pa.int64()), *(pa.array(c) for c in zip(*done))], names=["doc_id", *finish.names])
+    """Task of step 3: the words of one block and its documents."""
+    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
+        rows = zip(words.column("numbers").to_pylist(), words.column("ids").to_pylist())
+        ready = _dictionary([(np.cumsum(expand(numbers)[0]), ids) for numbers, ids in rows])
+        found, done = [], []
+        for row in range(docs.num_rows):
+            size, packed = expand(docs.column("numbers")[row].as_py())
+            at = unpack(packed)
+            flat = ragged(*ready, at).astype("<u4")
+            tokens = np.r_[0, np.cumsum(ready[2][at])]
+            stops = np.cumsum(size)
+            found += docs.column("docs")[row].as_py()
+            done += [finish(flat[a:b]) for a, b in zip(tokens[stops - size].tolist(), tokens[stops].tolist())]
+        columns = list(zip(*done)) or [[] for _ in finish.names]
+        return pa.table([pa.array(found, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, finish.types))], names=["doc_id", *finish.names])
 
     return run
 
 
 def _dictionary(rows: list[tuple[np.ndarray, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block's words in one array, with start and size by word number."""
     n = sum(len(numbers) for numbers, _ in rows)
     start, size, flat, offset = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.empty(0, np.int64)], 0
     for numbers, data in rows:
-        head = 4 + int.from_bytes(data[:4], "little")
-        sizes, ids = unpack(data[4:head]), unpack(data[head:])
+        sizes, packed = expand(data)
         size[numbers] = sizes
         start[numbers] = offset + np.cumsum(sizes) - sizes
-        flat.append(ids)
-        offset += len(ids)
+        flat.append(unpack(packed))
+        offset += len(flat[-1])
     return np.concatenate(flat).astype(np.uint32), start, size
 
 
 class _Ids:
     """Finisher that returns the ids themselves."""
 
-    names, ddl = ["ids"], "doc_id long, ids array<int>"
+    names, types, ddl = ["ids"], [pa.list_(pa.int32())], "doc_id long, ids array<int>"
 
     def __call__(self, ids: np.ndarray) -> tuple:
         return (ids.astype(np.int32),)
@@ -274,6 +292,7 @@ class _Digests:
     """Finisher that decodes at once and returns counts and digests; the token bytes are a broadcast."""
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    types = [pa.int64(), pa.string(), pa.string()]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def __init__(self, pieces):
@@ -299,17 +318,14 @@ def byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _run(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int, finish, shared) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = keep(texts.mapInArrow(_cut(pattern, buckets), PIECES_DDL), "pieces")
+    pieces = keep_bucketed(texts.mapInArrow(_cut(pattern, buckets), PIECES_DDL), "pieces", "block")
     words = pieces.filter("bucket IS NOT NULL").select("block", "bucket", "words", "numbers")
     coded = (
         words.repartition("bucket").sortWithinPartitions("bucket", "block")
         .mapInArrow(_encode(shared), "block long, numbers binary, ids binary")
     )
-    streams = pieces.filter("bucket IS NULL")
-    both = coded.select("block", F.lit(0).alias("words_first"), F.lit(None).cast("long").alias("doc_id"), "numbers", "ids").unionByName(
-        streams.select("block", F.lit(1).alias("words_first"), "doc_id", "numbers", F.lit(None).cast("binary").alias("ids"))
-    )
-    return both.repartition("block").sortWithinPartitions("block", "words_first").mapInArrow(_place(finish), finish.ddl)
+    streams = pieces.filter("bucket IS NULL").select("block", "docs", "numbers")
+    return coded.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(_place(finish), finish.ddl)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, buckets: int = WORD_BUCKETS) -> DataFrame:
