@@ -236,6 +236,22 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     return found.withColumn("lang_pred", F.when(F.col("score") > 0, F.col("lang_pred")).otherwise(UNKNOWN))
 
 
+def keep_known(docs: DataFrame, network: Network | None, least: float) -> DataFrame:
+    """Rows of ``docs``, all columns, whose best language has at least the mean probability ``least``; without a network none."""
+    if network is None:
+        return docs.limit(0)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = pa.compute.match_substring_regex(batch.column(at), r"\p{L}").fill_null(False)
+            read = pa.compute.if_else(letters, batch.column(at), pa.scalar(None, batch.column(at).type))
+            known = label_texts(network, read).max(axis=1) >= least
+            yield batch.filter(pa.compute.and_(letters, pa.array(known)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, folds: int = 3, held: int = 1, per_label: int = PER_LABEL, chars: int = CHARS) -> DataFrame:
     """Trains outside the held fold and labels every row: (doc_id, held_out, lang_pred, score)."""
     found = predict(docs, train(docs, folds, held, per_label, chars))

@@ -113,3 +113,18 @@ def near_copies(docs: DataFrame, most: int = 4, words: int = 4, width: int = 3)
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_first(docs: DataFrame, most: int = 4, words: int = 4, width: int = 3) -> DataFrame:
+    """Rows of ``docs`` less those that are near copies of a document with a smaller doc_id.
+
+    Rows that share a doc_id are one document: they go together, and one of them stays. Rows without a doc_id stay.
+    """
+    found = keep(near_copies(docs, most, words, width).select("doc_id", "component_id"), "near-copies")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = keep(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return rest
+    again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
