@@ -170,29 +170,40 @@ class Forest:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node reachable.
 
-    Each round points every node to its smallest neighbour and contracts the graph along these pointers, which
-    at least halves the nodes that still have links, so the number of rounds is logarithmic. Rounds are written to the
-    shared folder. Rows with a null end and loops are left out.
+    Each round points every node to its smallest neighbour, follows the pointers to their ends, and contracts the graph
+    to these ends. No two ends are neighbours, so a round at least halves the nodes that still have links, and following
+    doubles the distance each time: the number of jobs is logarithmic. Rounds are written to the shared folder.
+    Rows with a null end and loops are left out.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges = keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     rounds = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        pointers = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")), "pointers")
-        rounds.append(pointers)
-        ends = pointers.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        edges = edges.join(ends, "a").join(ends.toDF("b", "ub"), "b").filter("ua <> ub")
-        edges = keep(edges.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        nearest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
+        rounds.append(_followed(nearest))
+        ends = rounds[-1].select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        edges = edges.join(ends, "a").join(ends.toDF("b", "rb"), "b").filter("ra <> rb")
+        edges = keep(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = rounds.pop().withColumnRenamed("up", "root")
+    found = rounds.pop()
     while rounds:
-        upper = found.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        found = rounds.pop().join(upper, "up", "left").select("node", F.coalesce("above", "up").alias("root"))
+        upper = found.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        found = rounds.pop().join(upper, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
     return found
 
 
+def _followed(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, root) replaced by the ends they lead to."""
+    while True:
+        pointers = keep(pointers, "pointers")
+        upper = pointers.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        if pointers.join(upper, "root", "left_semi").isEmpty():
+            return pointers
+        pointers = pointers.join(upper, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+
+
 def each_slice(slices: list) -> Iterator:
     """The values of broadcasts, one in memory at a time if there are several."""
     if len(slices) == 1:

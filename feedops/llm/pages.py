@@ -6,8 +6,8 @@ equivalence class. Vectors are never gathered: a page adds one hash of (page, co
 folded with XOR in the map tasks, so a class is what shares (host, fold, pages) and a host with a third of all pages costs
 one row per token and task. A class is valid if it stands in enough of the host's pages and its tokens nest: each has its parent
 element in the template too. Valid classes, nested by path, are the host's template. Its slots, the places where text varies, are
-what is left; the slots below the template's article elements (or, where it has none, below the element that holds most of
-the text outside boilerplate) are the main text.
+what is left; the slots below the template's article elements (or, where it has none, below the deepest element that stands once in
+a page and holds most of the text outside boilerplate) are the main text.
 
 Boilerplate is known by element or by words in id, class or role: navigation, headers, footers, side bars, notices, adverts,
 forms, scripts, styles, reader comments. Pages that lack the template's article, and hosts without a valid class, are judged by
@@ -35,7 +35,7 @@ from feedops.llm.urls import host_of
 SALTS = 32
 #: A valid class stands in this share of a host's pages, and in two pages at least.
 SUPPORT = 0.5
-#: Where a template has no article element, the deepest element with this share of the text is the main one.
+#: Where a template has no article element, the deepest single element with this share of the text is the main one.
 MAIN_SHARE = 0.6
 
 # Fixed values of HTML and of common naming.
@@ -207,21 +207,21 @@ def _line(parts) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, fold, chars, boiler, main): tokens with their folded occurrence vectors."""
+    """(host, path, pages, fold, times, chars, boiler, main): tokens with their folded occurrence vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, host, page in zip(*(c.to_pylist() for c in batch.columns)):
                 for path, (n, chars, boiler, main) in tokens(page or "").items():
                     fold = xxhash.xxh64_intdigest(f"{key}:{n}") - (1 << 63)
-                    rows.append((host, path, fold, chars, boiler, main))
+                    rows.append((host, path, n, fold, chars, boiler, main))
             if rows:
-                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["host", "path", "fold", "chars", "boiler", "main"])
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["host", "path", "times", "fold", "chars", "boiler", "main"])
 
     rows = pages.select(F.xxhash64("page_id", "url", F.length("html")).alias("key"), _host(), F.col("html").cast("string").alias("html"))
-    single = rows.mapInArrow(run, "host string, path string, fold long, chars long, boiler boolean, main boolean")
+    single = rows.mapInArrow(run, "host string, path string, times long, fold long, chars long, boiler boolean, main boolean")
     return single.groupBy("host", "path").agg(
-        F.count("*").alias("pages"), F.bit_xor("fold").alias("fold"), F.sum("chars").alias("chars"), F.max("boiler").alias("boiler"), F.max("main").alias("main"),
+        F.count("*").alias("pages"), F.bit_xor("fold").alias("fold"), F.max("times").alias("times"), F.sum("chars").alias("chars"), F.max("boiler").alias("boiler"), F.max("main").alias("main"),
     )
 
 
@@ -248,7 +248,7 @@ def templates(pages: DataFrame) -> DataFrame:
     above = inner.select("host", "chars", F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("path"))
     below = above.groupBy("host", "path").agg(F.sum("chars").alias("below"))
     dense = (
-        nested.filter("NOT boiler").join(below, ["host", "path"]).filter(F.col("below") >= MAIN_SHARE * F.col("all_chars"))
+        nested.filter("NOT boiler AND times = 1").join(below, ["host", "path"]).filter(F.col("below") >= MAIN_SHARE * F.col("all_chars"))
         .groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), F.col("path"))).alias("root"))
         .select("host", F.array("root").alias("roots"))
     )
