@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedops.llm.common import held_out_key
+from feedops.llm.common import held_out_key, keep
 
 WINDOW = 96
 PAD = 256
@@ -28,6 +28,7 @@ HIDDEN = 8
 #: Documents per language and characters of each that training may see.
 PER_LABEL = 400
 CHARS = 384
+SPARE = 4
 UNKNOWN = "und"
 
 
@@ -176,12 +177,12 @@ def windows_of(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.nd
 
 def train(docs: DataFrame, folds: int = 3, held: int = 1, per_label: int = PER_LABEL, chars: int = CHARS) -> Network | None:
     """Learns from ``text`` and ``lang`` of rows outside the held fold: ``per_label`` rows of each language, by a hash order."""
-    rows = (
-        docs.filter(F.col("lang").isNotNull() & (F.pmod(held_out_key("doc_id"), F.lit(folds)) != held) & (F.length(F.trim("text")) > 0))
-        .select(
-            F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_order"),
-            F.expr(f"substring(text, int(1 + pmod(xxhash64(doc_id, 1), greatest(1, length(text) - {chars}))), {chars})").alias("text"),
-        )
+    usable = docs.filter(F.col("lang").isNotNull() & (F.pmod(held_out_key("doc_id"), F.lit(folds)) != held))
+    usable = usable.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_order"), "text")
+    # of a frequent language only a share by hash goes to the ranking, about SPARE times what it takes
+    share = keep(usable.groupBy("lang").agg((F.lit(float(SPARE * per_label)) / F.count("*")).alias("_share")), "languages")
+    rows = usable.join(share, "lang").filter(F.pmod("_order", F.lit(1 << 30)) < F.col("_share") * (1 << 30)).filter(F.length(F.trim("text")) > 0).select(
+        "lang", "_order", F.expr(f"substring(text, int(1 + pmod(_order, greatest(1, length(text) - {chars}))), {chars})").alias("text")
     )
     first = Window.partitionBy("lang").orderBy("_order", "text")
     sample = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_label).drop("_n").toArrow()
