@@ -15,8 +15,6 @@ ENTITY_NULL_TOKENS = ["", "n.a.", "null", "nil", "none", "n/a"]
 INFERENCE_NULL_TOKENS = ["", "null", "nil"]
 # Texts accepted as booleans when the type of a column is inferred.
 BOOLEAN_TOKENS = ["true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"]
-# Fixed value: longest text kept in a report cell.
-MAX_CELL = 32000
 
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = (
@@ -167,11 +165,12 @@ def type_value(c: Column | str) -> Column:
     )
 
 
-def clean_cell(c: Column | str) -> Column:
-    """Report text: control characters out (tab and line ends stay), at most
-    ``MAX_CELL`` characters, one blank for an empty cell."""
+def clean_cell(c: Column | str, most: int | None = None) -> Column:
+    """Report text: control characters out (tab and line ends stay), one blank for
+    an empty cell. ``most`` cuts it for a report with a limit."""
     c = _col(c)
-    kept = F.substring(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), 1, MAX_CELL)
+    kept = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    kept = kept if most is None else F.substring(kept, 1, most)
     return F.when(c.isNull() | (c == ""), F.lit(" ")).otherwise(kept)
 
 

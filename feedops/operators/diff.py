@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from feedops.functions.fingerprints import fingerprint
 from feedops.plans.columns import DEFAULT_IGNORE, check_same_header, col, compared_columns
-from feedops.plans.keyed import Order, last_per_key, one_per_key
+from feedops.plans.keyed import UNIQUE, Order, last_per_key, one_per_key
 
 __all__ = [
-    "ALTERNATIVE_IDS", "DEFAULT_IGNORE", "annotate_changes", "cell_changes", "change_documents", "changed_columns",
+    "ALTERNATIVE_IDS", "DEFAULT_IGNORE", "UNIQUE", "annotate_changes", "cell_changes", "change_documents", "changed_columns",
     "classify", "delta_rows", "diff_stats", "last_per_key", "match_ids", "split_changes",
 ]
 
@@ -93,8 +93,8 @@ def classify(
     """``key, status``: ``new``, ``modified``, ``deleted`` or ``unchanged``.
 
     Only the key, the order and a 32-character fingerprint of each row are
-    shuffled. ``order`` decides which row of a repeated key counts; None: keys
-    are unique. ``columns`` limits the comparison; otherwise all but the ignored
+    shuffled. ``order`` decides which row of a repeated key counts, the last in
+    it; None: the largest row; ``UNIQUE``: no key is repeated. ``columns`` limits the comparison; otherwise all but the ignored
     count.
     """
     prev, curr, compared = _prepared(prev, curr, key, columns, ignore, require_same_header)

@@ -34,8 +34,7 @@ def _declared(df: DataFrame, key: str, types: Mapping[str, str]) -> dict[str, st
 
 def _converted(df: DataFrame, key: str, types: Mapping[str, str], order: Order, keep: Sequence[str] = ()) -> DataFrame:
     cells = [converted_value(col(c), t).alias(c) for c, t in _declared(df, key, types).items()]
-    rows = valid_entities(df, key)
-    return rows.select(col(key).alias(key), order_struct(order).alias("__order"), *[col(k) for k in keep], *cells)
+    return df.select(col(key).alias(key), order_struct(order).alias("__order"), *[col(k) for k in keep], *cells)
 
 
 def entity_state(df: DataFrame, key: str, types: Mapping[str, str], order: Order, prefix: str = ENTITY_PREFIX) -> DataFrame:
@@ -44,12 +43,16 @@ def entity_state(df: DataFrame, key: str, types: Mapping[str, str], order: Order
     declared = _declared(df, key, types)
     rows = _converted(valid_entities(df, key, prefix), key, types, order)
     newest = [F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__order"))).alias(c) for c in declared]
+    if not newest:
+        return rows.select(col(key).alias(key)).distinct()
     return rows.groupBy(col(key).alias(key)).agg(*newest)
 
 
-def entity_records(df: DataFrame, key: str, types: Mapping[str, str], order: Order) -> DataFrame:
+def entity_records(
+    df: DataFrame, key: str, types: Mapping[str, str], order: Order, prefix: str = ENTITY_PREFIX
+) -> DataFrame:
     """``id, data``: the state as a record, skipped values left out."""
-    state = entity_state(df, key, types, order)
+    state = entity_state(df, key, types, order, prefix)
     entries: list[Column] = [x for c in state.columns if c != key for x in (F.lit(c), col(c))]
     data = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
     return state.select(col(key).alias("id"), data.alias("data"))
@@ -76,6 +79,9 @@ def entity_history(
         ).alias(f"__v{i}")
         for i, c in enumerate(declared)
     ]
+    if not declared:
+        nothing = "id string, property string, effective_date string, file string, value string"
+        return df.sparkSession.createDataFrame([], nothing)
     wide = rows.filter(col(date_col).isNotNull()).groupBy(col(key).alias("id"), col(date_col).alias("effective_date"))
     entry = [
         F.when(F.col(f"__v{i}").isNotNull(), F.struct(F.lit(c).alias("property"), F.col(f"__v{i}").alias("last")))
@@ -105,6 +111,8 @@ def type_mismatches(
     """
     rows = df if key is None else valid_entities(df, key)
     numeric = {c: t for c, t in types.items() if t in NUMERIC_TYPES and c in df.columns}
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "filename string, column string, declared_type string, actual_type string")
     flags = [
         F.max(holds_text(col(c), t)).alias(f"__f{i}") for i, (c, t) in enumerate(numeric.items())
     ]

@@ -207,19 +207,37 @@ def upsert_preview(
     )
 
 
-def load_runs(df: DataFrame, file_col: str = "_file", bad_row: Column | None = None) -> DataFrame:
-    """``file_path, status, rows_processed, error_message`` of the files behind ``df``.
+def load_runs(
+    df: DataFrame, file_col: str = "_file", bad_row: Column | None = None, files: DataFrame | None = None,
+    seconds: DataFrame | None = None,
+) -> DataFrame:
+    """``file_path, status, rows_processed, error_message, processing_time_seconds``
+    of the files behind ``df``.
 
-    A file with rows that satisfy ``bad_row`` has status ``error``.
+    A file with rows that satisfy ``bad_row`` has status ``error``. ``files``, an
+    inventory (``path``, perhaps ``error``), adds the files without rows and fails
+    those with an error. ``seconds`` (``file_path, processing_time_seconds``) holds
+    measured times; Spark reads files side by side, so there are none by itself.
     """
     bad = F.count_if(bad_row if bad_row is not None else F.lit(False))
     runs = df.groupBy(col(file_col).alias("file_path")).agg(F.count("*").alias("__all"), bad.alias("__bad"))
-    failed = F.col("__bad") > 0
-    return runs.select(
+    if files is not None:
+        problem = col("error") if "error" in files.columns else F.lit(None)
+        listed = files.select(col("path").alias("file_path"), problem.cast("string").alias("__error"))
+        runs = listed.join(runs, "file_path", "full_outer")
+    else:
+        runs = runs.withColumn("__error", F.lit(None).cast("string"))
+    rows, bad_rows = (F.coalesce(c, F.lit(0)) for c in ("__all", "__bad"))
+    unreadable = F.when(rows == 0, F.coalesce("__error", F.lit("no rows")))
+    malformed = F.when(bad_rows > 0, F.concat(bad_rows.cast("string"), F.lit(" malformed rows")))
+    message = F.coalesce("__error", unreadable, malformed)
+    timed = runs.withColumn("processing_time_seconds", F.lit(None).cast("double")) if seconds is None else runs.join(seconds, "file_path", "left")
+    return timed.select(
         "file_path",
-        F.when(failed, "error").otherwise("success").alias("status"),
-        (F.col("__all") - F.col("__bad")).alias("rows_processed"),
-        F.when(failed, F.concat(F.col("__bad").cast("string"), F.lit(" malformed rows"))).alias("error_message"),
+        F.when(message.isNotNull(), "error").otherwise("success").alias("status"),
+        (rows - bad_rows).alias("rows_processed"),
+        message.alias("error_message"),
+        F.col("processing_time_seconds").cast("double").alias("processing_time_seconds"),
     )
 
 

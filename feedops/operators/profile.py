@@ -25,8 +25,6 @@ from feedops.plans.selection import values_at
 
 # Inferred types, most specific first.
 INFERRED_TYPES = ["integer", "numeric", "date", "timestamp", "boolean"]
-# Rows looked at when a column type is inferred.
-INFERENCE_ROWS = 100
 # The column that puts a file into a category, first match wins.
 CATEGORY_RULES = [("asset", "ID_BB_GLOBAL"), ("company", "ID_BB_COMPANY")]
 QUARTILES = [0.25, 0.5, 0.75]
@@ -167,14 +165,16 @@ def describe(
     )
 
 
-def column_stats(df: DataFrame, column: str, frac: float | None = None, approximate: bool = False) -> DataFrame:
-    """Numeric profile or top 20 values of a column, by its type, with the
+def column_stats(
+    df: DataFrame, column: str, frac: float | None = None, approximate: bool = False, n: int = 20
+) -> DataFrame:
+    """Numeric profile or top ``n`` values of a column, by its type, with the
     number of rows looked at and the fraction asked for."""
     require_columns(df, [column])
     data = _sampled(df.select(col(column)), frac, 0)
     size = data.agg(F.count("*")).scalar()
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    found = describe(data, [column], approximate=approximate) if numeric else top_values(data, column)
+    found = describe(data, [column], approximate=approximate) if numeric else top_values(data, column, n)
     return found.withColumn("sample_size", size).withColumn("sample_fraction", F.lit(float(frac or 1.0)))
 
 
@@ -195,13 +195,13 @@ def _inferred(i: int) -> Column:
 
 
 def infer_types(
-    df: DataFrame, order_by: Sequence[str | Column] = (), sample: int | None = INFERENCE_ROWS,
+    df: DataFrame, order_by: Sequence[str | Column] = (), sample: int | None = None,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``position, name, data_type`` of text columns from the first ``sample`` rows
-    (None: all rows). A column without values is text."""
+    """``position, name, data_type`` of text columns from all rows, or from the first
+    ``sample`` rows in ``order_by``. A column without values is text."""
     names = list(columns) if columns is not None else df.columns
-    rows = df if sample is None else df.orderBy(*order_by).limit(sample)
+    rows = df if sample is None else (df.orderBy(*order_by) if order_by else df).limit(sample)
     flags = rows.agg(*_type_flags({n: col(n) for n in names}))
     listed = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), _inferred(i).alias("data_type"))
@@ -211,45 +211,55 @@ def infer_types(
 
 
 def file_metadata(
-    df: DataFrame, columns: Sequence[str], file_col: str = "_file", row_col: str = "_row"
+    df: DataFrame, columns: Sequence[str], file_col: str = "_file", row_col: str = "_row", sample: int | None = None
 ) -> DataFrame:
     """``path, rowCount, columns`` per file of a text frame with one header.
 
-    Rows are counted in full; types come from the first 100 rows of each file,
-    which Spark cuts off inside the map tasks.
+    One hash aggregate over all rows gives counts and types. With ``sample`` the
+    types come from the first so many rows of each file, which Spark cuts off inside the map tasks.
     """
-    counts = df.groupBy(col(file_col).alias("path")).agg(F.count("*").alias("rowCount"))
-    first = Window.partitionBy(file_col).orderBy(col(row_col))
-    heads = df.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= INFERENCE_ROWS)
-    flags = heads.groupBy(col(file_col).alias("path")).agg(*_type_flags({n: col(n) for n in columns}))
+    rows = F.count("*").alias("rowCount")
+    tests = _type_flags({n: col(n) for n in columns})
+    if sample is None:
+        flags = df.groupBy(col(file_col).alias("path")).agg(rows, *tests)
+    else:
+        first = Window.partitionBy(file_col).orderBy(col(row_col))
+        heads = df.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= sample)
+        counts = df.groupBy(col(file_col).alias("path")).agg(rows)
+        flags = counts.join(heads.groupBy(col(file_col).alias("path")).agg(*tests), "path")
     listed = F.array(*[
         F.struct(F.lit(n).alias("name"), _inferred(i).alias("dataType")) for i, n in enumerate(columns)
     ])
-    return counts.join(flags.select("path", listed.alias("columns")), "path").select("path", "rowCount", "columns")
+    return flags.select("path", "rowCount", listed.alias("columns"))
 
 
 def extract_metadata(
-    spark: SparkSession, root: str, suffixes: Sequence[str] = (".gz",), sep: str = ",", quote: str = '"'
+    spark: SparkSession, root: str, suffixes: Sequence[str] = (".gz",), sep: str = ",", quote: str = '"',
+    sample: int | None = None,
 ) -> DataFrame:
     """``filename, relativePath, effectiveDate, rowCount, columns, error`` of every
     feed file under a root.
 
     ``filename`` is the folder a file lies in. One scan per distinct header. A
-    file without a date in its name is listed with an error.
+    file without a date in its name, or without a header line, is listed with an error.
     """
     from feedops.sources.csv import _read, headers_by_path, with_file, with_row_order
+
+    nothing = "path string, rowCount bigint, columns array<struct<name:string,dataType:string>>"
     from feedops.sources.inventory import base_name, file_inventory, logical_inventory, parent
 
     inv = logical_inventory(file_inventory(spark, root, suffixes), root)
     paths = [r["path"] for r in inv.select("path").toLocalIterator()]
     parts = []
-    for (names, used), group in headers_by_path(spark, paths, sep, quote).items():
+    for (names, used), group in (headers_by_path(spark, paths, sep, quote) if paths else {}).items():
         rows = with_row_order(with_file(_read(spark, group, names, used, quote, False)))
-        parts.append(file_metadata(rows, names))
-    found = reduce(DataFrame.unionByName, parts)
+        parts.append(file_metadata(rows, names, sample=sample))
+    found = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], nothing))
     sized = inv.join(found, "path", "left")
     name = base_name(F.col("path"))
-    problem = F.when(name_date(name).isNull(), F.concat(F.lit("no effective date in "), name))
+    problem = F.when(name_date(name).isNull(), F.concat(F.lit("no effective date in "), name)).when(
+        F.col("columns").isNull(), F.concat(F.lit("no rows in "), name)
+    )
     return sized.select(
         base_name(parent(F.col("path"))).alias("filename"),
         F.when(F.col("directory") != "", F.concat_ws("/", "directory", "name")).otherwise(name).alias("relativePath"),

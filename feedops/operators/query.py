@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedops.plans.columns import col, require_columns
-from feedops.plans.ranked import between, range_bounds
+from feedops.plans.ranked import before, between, numbered, range_bounds
 
-MAX_PAGE = 10_000
 # Rows a top-n keeps per task and gathers in one; deeper pages are found by counting ranges.
 SHALLOW = 1_000
 
@@ -66,20 +65,26 @@ def rows_at(
     Near the start a top-n is enough. Beyond ``shallow`` rows it would gather
     the skipped rows in one task, so the bounds of the range come first.
     Only the order columns are shuffled to find the bounds (this runs jobs);
-    the rows are then read by a range filter.
+    the rows are then read by a range filter and numbered, so that ties at a
+    bound add no row. Which of equal rows are returned is not defined.
     """
     if start + count <= shallow:
         return df.orderBy(*[col(c) for c in order_by]).offset(start).limit(count)
     found = range_bounds(df, order_by, start, count)
     if found is None:
         return df.limit(0)
-    return df.filter(between(order_by, *found)).orderBy(*[col(c) for c in order_by])
+    skipped = start - df.filter(before(order_by, found[0])).count()
+    inside = numbered(df.filter(between(order_by, *found)), order_by, "__n")
+    kept = inside.filter(F.col("__n").between(skipped + 1, skipped + count)).drop("__n")
+    return kept.orderBy(*[col(c) for c in order_by])
 
 
-def page(df: DataFrame, order_by: Sequence[str], limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of a total order; 1 to 10 000 rows."""
-    if not 1 <= limit <= MAX_PAGE:
-        raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
+def page(
+    df: DataFrame, order_by: Sequence[str], limit: int = 100, offset: int = 0, most: int | None = None
+) -> DataFrame:
+    """One page of an order; ``most`` refuses larger pages, as a server would."""
+    if limit < 1 or most is not None and limit > most:
+        raise ValueError("limit must be at least 1" if limit < 1 else f"limit must be between 1 and {most}")
     if offset < 0:
         raise ValueError("offset must not be negative")
     return rows_at(df, offset, limit, order_by)

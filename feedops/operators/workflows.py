@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from feedops.operators.entity import entity_history, entity_state
 from feedops.operators.merge import BOOKKEEPING, load_runs, merge_newest_columns, track_keys, upsert_records
 from feedops.plans.columns import resolve_key
 from feedops.plans.keyed import Order
-from feedops.sources.csv import read_feed, read_text_csv
+from feedops.sources.csv import read_feed
 from feedops.sources.inventory import file_inventory, logical_inventory
 
 SUFFIXES = (".csv", ".csv.gz")
@@ -23,21 +24,24 @@ ADDED = ["_file", "_source_date", "_row"]
 
 def feeds_under(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Inventory of the feed files under a root; a folder of part files is one file."""
-    return logical_inventory(file_inventory(spark, root, suffixes=[]), root).filter(
-        " OR ".join(f"endswith(name, '{s}')" for s in suffixes)
-    )
+    inv = logical_inventory(file_inventory(spark, root, suffixes=[]), root)
+    return inv.filter(reduce(lambda a, b: a | b, [F.col("name").endswith(s) for s in suffixes], F.lit(False)))
 
 
 def compare_latest(
     spark: SparkSession, folder: str, key: str, order: Order | None = None, ignore: Sequence[str] = (), nulls: str = "ignore"
 ) -> dict[str, DataFrame]:
-    """``delta``, ``cells`` and ``stats`` of the two newest files of one folder."""
+    """``delta``, ``cells`` and ``stats`` of the two newest files of one folder.
+
+    Of a repeated key the last row in the file counts, unless ``order`` says otherwise.
+    """
     pairs = snapshot_pair(feeds_under(spark, folder).filter(F.col("directory") == "")).collect()
     if not pairs or pairs[0]["error"]:
         raise ValueError(f"{folder}: a pair needs two files")
-    prev, curr = (read_text_csv(spark, pairs[0][side]) for side in ("previous", "current"))
+    prev, curr = (read_feed(spark, pairs[0][side], row_order=True) for side in ("previous", "current"))
+    order, ignore = ["_row"] if order is None else order, [*ignore, *ADDED]
     return {
-        "delta": delta_rows(prev, curr, key, order, ignore, nulls),
+        "delta": delta_rows(prev, curr, key, order, ignore, nulls).drop(*ADDED),
         "cells": cell_changes(prev, curr, key, order, ignore, nulls),
         "stats": diff_stats(prev, curr, key, order, ignore, nulls),
     }

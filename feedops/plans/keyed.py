@@ -12,10 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedops.plans.columns import col
 
 Order = Sequence[str | Column]
+# Order for callers who know that no key is repeated.
+UNIQUE: Order = ()
 
 
 def order_columns(order: Order) -> list[Column]:
@@ -50,6 +53,14 @@ def last_per_key(df: DataFrame, key: str, order: Order, columns: Sequence[str] |
     return rows.select(*[col(c).cast("string").alias(c) if c == key else col(c) for c in names])
 
 
+def whole_row(df: DataFrame, key: str) -> list[Column]:
+    """All columns but the key, as an order in which the largest row is the last."""
+    maps = {f.name for f in df.schema if isinstance(f.dataType, T.MapType)}
+    return [F.to_json(col(c)) if c in maps else col(c) for c in df.columns if c != key] or [F.lit(0)]
+
+
 def one_per_key(df: DataFrame, key: str, order: Order | None) -> DataFrame:
-    """``newest_row``, or only the key clean-up where keys are known unique."""
-    return valid_keys(df, key) if order is None else newest_row(df, key, order)
+    """The last row of every key in ``order``; None: the largest row; ``UNIQUE``: only the key clean-up."""
+    if order is None:
+        return newest_row(df, key, whole_row(df, key))
+    return newest_row(df, key, order) if len(order) else valid_keys(df, key)

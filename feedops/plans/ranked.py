@@ -169,6 +169,14 @@ def range_bounds(
     return None if low is None else (low, high)
 
 
+def before(order_by: Sequence[str], low: tuple) -> Column:
+    """Rows of an order that stand before ``low``."""
+    here = F.struct(*[col(c).alias(c) for c in order_by])
+    test = here < F.struct(*[F.lit(v).alias(c) for v, c in zip(low, order_by)])
+    first = col(order_by[0])
+    return test if low[0] is None else (first.isNull() | (first <= F.lit(low[0]))) & test
+
+
 def between(order_by: Sequence[str], low: tuple, high: tuple | None) -> Column:
     """Rows of a total order from ``low`` to ``high``, both included.
 

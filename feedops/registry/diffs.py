@@ -34,7 +34,7 @@ def c1(spark, d):
 
 @add("c2_fingerprint", f"WITH {CLASSES} SELECT status, count(*) AS keys FROM classes GROUP BY status")
 def c2(spark, d):
-    return op.classify(*snapshots(spark, d), KEY).groupBy("status").agg(F.count("*").alias("keys"))
+    return op.classify(*snapshots(spark, d), KEY, op.UNIQUE).groupBy("status").agg(F.count("*").alias("keys"))
 
 
 @add("c2_fingerprint_columns", f"""
@@ -42,13 +42,13 @@ WITH {CELLS}, hit AS (SELECT DISTINCT key FROM changed_strict WHERE "column" IN
 SELECT CASE WHEN h.key IS NULL THEN 'unchanged' ELSE 'modified' END AS status, count(*) AS keys
 FROM pairs b LEFT JOIN hit h ON b.key = h.key GROUP BY 1""")
 def c2_columns(spark, d):
-    found = op.classify(*snapshots(spark, d), KEY, columns=["o_orderstatus", "o_totalprice"])
+    found = op.classify(*snapshots(spark, d), KEY, op.UNIQUE, columns=["o_orderstatus", "o_totalprice"])
     return found.filter("status in ('modified', 'unchanged')").groupBy("status").agg(F.count("*").alias("keys"))
 
 
 @add("c3_classify", f"WITH {CLASSES} SELECT * FROM classes")
 def c3(spark, d):
-    return op.classify(*snapshots(spark, d), KEY)
+    return op.classify(*snapshots(spark, d), KEY, op.UNIQUE)
 
 
 
@@ -57,22 +57,22 @@ WITH {CLASSES}
 SELECT c.*, status FROM curr c JOIN classes k ON c.o_orderkey = k.o_orderkey WHERE status IN ('new', 'modified')
 UNION ALL SELECT p.*, status FROM prev p JOIN classes k ON p.o_orderkey = k.o_orderkey WHERE status = 'deleted'""")
 def c4(spark, d):
-    return op.split_changes(*snapshots(spark, d), KEY)["all"]
+    return op.split_changes(*snapshots(spark, d), KEY, op.UNIQUE)["all"]
 
 
 @add("c4_split_changes_keys", f"WITH {CLASSES} SELECT o_orderkey FROM classes WHERE status = 'deleted'")
 def c4_keys(spark, d):
-    return op.split_changes(*snapshots(spark, d), KEY, keys_only=True)["deleted"]
+    return op.split_changes(*snapshots(spark, d), KEY, op.UNIQUE, keys_only=True)["deleted"]
 
 
 @add("c5_cell_changes", f"WITH {CELLS} SELECT * FROM changed")
 def c5(spark, d):
-    return op.cell_changes(*snapshots(spark, d), KEY)
+    return op.cell_changes(*snapshots(spark, d), KEY, op.UNIQUE)
 
 
 @add("c6_cell_changes_strict", f"WITH {CELLS} SELECT * FROM changed_strict")
 def c6(spark, d):
-    return op.cell_changes(*snapshots(spark, d), KEY, nulls="strict")
+    return op.cell_changes(*snapshots(spark, d), KEY, op.UNIQUE, nulls="strict")
 
 
 @add("c7_change_documents", f"""
@@ -81,21 +81,21 @@ SELECT key, '{{' || string_agg('"' || "column" || '":{{"column":"' || "column" |
        '","current_value":"' || current_value || '"}}', ',' ORDER BY "column") || '}}' AS changes
 FROM changed GROUP BY key""")
 def c7(spark, d):
-    return op.change_documents(op.cell_changes(*snapshots(spark, d), KEY))
+    return op.change_documents(op.cell_changes(*snapshots(spark, d), KEY, op.UNIQUE))
 
 
 @add("c8_delta_rows", f"""
 WITH {CELLS}
 SELECT * FROM curr WHERE o_orderkey NOT IN (SELECT o_orderkey FROM prev) OR o_orderkey IN (SELECT key FROM changed)""")
 def c8(spark, d):
-    return op.delta_rows(*snapshots(spark, d), KEY)
+    return op.delta_rows(*snapshots(spark, d), KEY, op.UNIQUE)
 
 
 @add("c8_delta_rows_strict", f"""
 WITH {CELLS}
 SELECT * FROM curr WHERE o_orderkey NOT IN (SELECT o_orderkey FROM prev) OR o_orderkey IN (SELECT key FROM changed_strict)""")
 def c8_strict(spark, d):
-    return op.delta_rows(*snapshots(spark, d), KEY, nulls="strict")
+    return op.delta_rows(*snapshots(spark, d), KEY, op.UNIQUE, nulls="strict")
 
 
 def _stats(changed: str) -> str:
@@ -116,12 +116,12 @@ def _flat(stats):
 
 @add("c9_diff_stats", _stats("changed"))
 def c9(spark, d):
-    return _flat(op.diff_stats(*snapshots(spark, d), KEY))
+    return _flat(op.diff_stats(*snapshots(spark, d), KEY, op.UNIQUE))
 
 
 @add("c9_diff_stats_strict", _stats("changed_strict"))
 def c9_strict(spark, d):
-    return _flat(op.diff_stats(*snapshots(spark, d), KEY, nulls="strict"))
+    return _flat(op.diff_stats(*snapshots(spark, d), KEY, op.UNIQUE, nulls="strict"))
 
 
 def line_snapshots(spark, d):
@@ -149,10 +149,40 @@ def c9_repeated(spark, d):
     return stats.drop("changed_columns")
 
 
+WHOLE_ROW = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "l_extendedprice"]
+LARGEST = f"""
+WITH old AS (SELECT * FROM lineitem WHERE l_shipdate < DATE '1999-01-01'
+             QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in WHOLE_ROW)}) = 1),
+now AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in WHOLE_ROW)}) = 1),
+j AS (SELECT CAST(coalesce(o.l_orderkey, n.l_orderkey) AS VARCHAR) AS l_orderkey, o.l_orderkey IS NOT NULL AS had, n.l_orderkey IS NOT NULL AS has,
+             {' OR '.join(f'o.{c} <> n.{c}' for c in WHOLE_ROW)} AS changed
+      FROM old o FULL OUTER JOIN now n ON o.l_orderkey = n.l_orderkey)"""
+
+
+@add("c3_classify_repeated_keys", f"""{LARGEST}
+SELECT l_orderkey, CASE WHEN NOT had THEN 'new' WHEN NOT has THEN 'deleted' WHEN changed THEN 'modified' ELSE 'unchanged' END AS status FROM j""")
+def c3_repeated(spark, d):
+    return op.classify(*line_snapshots(spark, d), "l_orderkey")
+
+
+@add("c9_diff_stats_without_order", f"""{LARGEST}
+SELECT count(*) FILTER (WHERE has) AS current_row_count, count(*) FILTER (WHERE has AND (NOT had OR changed)) AS delta_row_count,
+       count(*) FILTER (WHERE has AND NOT had) AS new_records, count(*) FILTER (WHERE had AND has AND changed) AS changed_records,
+       count(*) FILTER (WHERE had AND NOT has) AS removed_records FROM j""")
+def c9_without_order(spark, d):
+    return op.diff_stats(*line_snapshots(spark, d), "l_orderkey").drop("changed_columns")
+
+
+@add("c7_change_documents_repeated_keys", f"""{LARGEST} SELECT count(*) AS documents FROM j WHERE had AND has AND changed""")
+def c7_repeated(spark, d):
+    cells = op.cell_changes(*line_snapshots(spark, d), "l_orderkey")
+    return op.change_documents(cells).agg(F.count("changes").alias("documents"))
+
+
 @add("c10_default_ignore", f"""
 WITH {CELLS} SELECT "column", count(*) AS cells FROM changed WHERE "column" <> 'o_totalprice' GROUP BY 1""")
 def c10(spark, d):
-    cells = op.cell_changes(*snapshots(spark, d), KEY, ignore=["o_totalprice"])
+    cells = op.cell_changes(*snapshots(spark, d), KEY, op.UNIQUE, ignore=["o_totalprice"])
     return cells.groupBy("column").agg(F.count("*").alias("cells"))
 
 
@@ -166,7 +196,7 @@ FROM delta LEFT JOIN changed s ON s.key = o_orderkey AND s."column" = 'o_orderst
            LEFT JOIN changed t ON t.key = o_orderkey AND t."column" = 'o_totalprice'""")
 def c12(spark, d):
     prev, curr = snapshots(spark, d)
-    noted = op.annotate_changes(op.delta_rows(prev, curr, KEY), op.cell_changes(prev, curr, KEY), KEY)
+    noted = op.annotate_changes(op.delta_rows(prev, curr, KEY, op.UNIQUE), op.cell_changes(prev, curr, KEY, op.UNIQUE), KEY)
     return noted.select(
         KEY,
         F.col("o_orderstatus.value").alias("status_value"), F.col("o_orderstatus.previous").alias("status_note"),
@@ -192,6 +222,12 @@ def c13(spark, d):
 SELECT page_id, CASE WHEN html = '' THEN ' '
        ELSE substr(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), 1, 32000) END AS cell FROM pages""")
 def c14(spark, d):
-    return table(spark, d, "pages").select("page_id", clean_cell("html").alias("cell"))
+    return table(spark, d, "pages").select("page_id", clean_cell("html", most=32_000).alias("cell"))
+
+
+@add("c14_clean_cell_whole", r"""
+SELECT doc_id, CASE WHEN text = '' THEN ' ' ELSE regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') END AS cell FROM documents""")
+def c14_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", clean_cell("text").alias("cell"))
 
 

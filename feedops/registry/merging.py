@@ -202,7 +202,21 @@ SELECT file AS file_path, 'error' AS status, count(*) FILTER (WHERE o_orderprior
        CAST(count(*) FILTER (WHERE o_orderpriority = '{NO_PRIORITY}') AS VARCHAR) || ' malformed rows' AS error_message
 FROM feeds GROUP BY file""")
 def m10_runs(spark, d):
-    return op.load_runs(order_feeds(spark, d), "file", F.col("o_orderpriority") == NO_PRIORITY)
+    runs = op.load_runs(order_feeds(spark, d), "file", F.col("o_orderpriority") == NO_PRIORITY)
+    return runs.drop("processing_time_seconds")
+
+
+@add("m10_load_report_of_runs", f"""
+WITH {ORDER_FEEDS},
+runs AS (SELECT file, count(*) AS "all", count(*) FILTER (WHERE o_orderpriority = '{NO_PRIORITY}' AND o_orderkey % 1000 = 1) AS bad FROM feeds GROUP BY file)
+SELECT count(*) + 1 AS total_files, count(*) FILTER (WHERE bad = 0) AS successful_files, count(*) FILTER (WHERE bad > 0) + 1 AS failed_files,
+       CAST(coalesce(sum("all") FILTER (WHERE bad = 0), 0) AS BIGINT) AS total_rows FROM runs""")
+def m10_chain(spark, d):
+    rows = order_feeds(spark, d)
+    files = rows.select(F.col("file").alias("path")).distinct().union(spark.createDataFrame([("without-rows.csv",)], "path string"))
+    bad = (F.col("o_orderpriority") == NO_PRIORITY) & (F.col("o_orderkey").cast("long") % 1000 == 1)
+    report = op.load_report(op.load_runs(rows, "file", bad, files))
+    return report.select("total_files", "successful_files", "failed_files", "total_rows")
 
 
 @add("m11_verify_records", f"""

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import csv
-import io
+import re
 from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +17,6 @@ from feedops.plans.columns import col
 from feedops.plans.ranked import numbered
 from feedops.sources.inventory import base_name, decoded, logical_path
 
-PROBED_ROWS = 5
 # A text no feed holds: with it as the null text, an empty cell is NULL and a
 # quoted empty cell ("") is empty text.
 UNSEEN = "\x00"
@@ -26,12 +24,15 @@ SEPARATORS = [",", ";", "\t", "|"]
 
 
 def dedupe_header(names: Sequence[str]) -> list[str]:
-    """A repeated name gets its zero-based position appended, the first keeps it."""
+    """A repeated name gets its zero-based position appended, the first keeps it.
+
+    Names that differ in case only count as repeated, since Spark would not tell them apart.
+    """
     seen: set[str] = set()
     out = []
     for position, name in enumerate(names):
-        out.append(f"{name}_{position}" if name in seen else name)
-        seen.add(name)
+        out.append(f"{name}_{position}" if name.lower() in seen else name)
+        seen.add(name.lower())
     return out
 
 
@@ -49,51 +50,84 @@ def column_mapping(spark: SparkSession, original: Sequence[str]) -> DataFrame:
     )
 
 
-def sniff_separator(lines: Sequence[str]) -> str:
-    """Separator that cuts the sample lines into the most equal cells."""
-    best, score = ",", (0, 0)
-    for candidate in SEPARATORS:
-        widths = [len(row) for row in csv.reader(lines, delimiter=candidate)]
-        if widths and widths[0] > 1:
-            now = (sum(w == widths[0] for w in widths), widths[0])
-            if now > score:
-                best, score = candidate, now
-    return best
-
-
-def head_lines(spark: SparkSession, path: str, n: int = PROBED_ROWS + 1) -> list[str]:
+def head_lines(spark: SparkSession, path: str, n: int = 6) -> list[str]:
     """First lines of one file; the job stops after its first block."""
     return [r[0] for r in spark.read.option("recursiveFileLookup", True).text(path).limit(n).collect()]
 
 
-def _header(lines: list[str], sep: str, quote: str) -> tuple[list[str], str]:
-    sep = sniff_separator(lines) if sep == "auto" else sep
-    rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep, quotechar=quote))
-    if not rows or not any(rows[0]):
-        raise ValueError("no header line")
-    return dedupe_header(extend_header(rows[0], rows[1:])), sep
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, at, line`` of all files behind ``paths``, blank lines left out; ``at`` orders the lines of a file."""
+    lines = spark.read.option("recursiveFileLookup", True).text(list(paths))
+    return lines.select(
+        decoded(F.col("_metadata.file_path")).alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+        F.col("value").alias("line"),
+    ).filter(F.trim("line") != "")
+
+
+def _cells(line: Column, sep: str, quote: str) -> Column:
+    """Number of cells of a line; separators inside quotes do not count."""
+    q = re.escape(quote)
+    return F.size(F.split(F.regexp_replace(line, f"{q}[^{q}]*{q}", ""), re.escape(sep), -1))
 
 
 def headers_by_path(
-    spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', at_once: int = 32
+    spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', widths: bool = True
 ) -> dict[tuple[tuple[str, ...], str], list[str]]:
-    """Paths grouped by (header, separator). The driver holds headers only."""
-    with ThreadPoolExecutor(at_once) as pool:
-        heads = list(pool.map(lambda p: head_lines(spark, p), paths))
+    """The files behind ``paths`` (files, folders, globs) grouped by (header, separator).
+
+    One job over all files gives the first line and the widest row of each, so no
+    row has a cell without a name and no file is read by the header of another.
+    ``sep="auto"`` takes the separator that cuts most lines of a file as its
+    header. Files without a line are left out. The driver holds one line per file.
+    ``widths`` off (cells may span lines): the header alone names the columns.
+    """
+    candidates = SEPARATORS if sep == "auto" else [sep]
+    lines = _lines(spark, paths)
+    found = lines.groupBy("path").agg(
+        F.min_by("line", "at").alias("head"),
+        *[F.max(_cells(F.col("line"), s, quote)).alias(f"most{i}") for i, s in enumerate(candidates)],
+        *[F.mode(_cells(F.col("line"), s, quote)).alias(f"mode{i}") for i, s in enumerate(candidates) if len(candidates) > 1],
+    )
     groups: dict[tuple[tuple[str, ...], str], list[str]] = defaultdict(list)
-    for path, lines in zip(paths, heads):
-        names, used = _header(lines, sep, quote)
-        groups[tuple(names), used].append(path)
+    for row in sorted(found.toLocalIterator(), key=lambda r: r["path"]):
+        best = 0
+        if len(candidates) > 1:
+            size = [len(next(csv.reader([row["head"]], delimiter=s, quotechar=quote))) for s in candidates]
+            best = max(range(len(candidates)), key=lambda i: (size[i] > 1 and size[i] == row[f"mode{i}"], size[i], -i))
+        cells = next(csv.reader([row["head"]], delimiter=candidates[best], quotechar=quote))
+        names = extend_header(cells, [[""] * row[f"most{best}"]] if widths else [])
+        groups[tuple(dedupe_header(names)), candidates[best]].append(row["path"])
     return dict(groups)
 
 
+def misfits(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"') -> DataFrame:
+    """``path, rows, short_rows, long_rows``: rows with fewer or more cells than the header of their file."""
+    lines = _lines(spark, [paths] if isinstance(paths, str) else paths).withColumn("cells", _cells(F.col("line"), sep, quote))
+    head = lines.groupBy("path").agg(F.min("at").alias("first"), F.min_by("cells", "at").alias("width"))
+    rows = lines.join(head, "path").filter(F.col("at") != F.col("first"))
+    counted = rows.groupBy("path").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("cells") < F.col("width")).alias("short_rows"),
+        F.count_if(F.col("cells") > F.col("width")).alias("long_rows"),
+    )
+    return head.select("path").join(counted, "path", "left").na.fill(0)
+
+
+def _grouped(spark: SparkSession, paths: Sequence[str], sep: str, quote: str, widths: bool = True):
+    if not paths:
+        raise ValueError("no files to read")
+    groups = headers_by_path(spark, paths, sep, quote, widths)
+    if not groups:
+        raise ValueError(f"no header line in {', '.join(paths)}")
+    return groups.items()
+
+
 def _read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], sep: str, quote: str, multi_line: bool):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return (
         spark.read.schema(schema)
         .option("header", True).option("sep", sep).option("quote", quote).option("escape", quote)
         .option("nullValue", UNSEEN).option("multiLine", multi_line)
-        .option("recursiveFileLookup", True)
         .csv(list(paths))
     )
 
@@ -104,14 +138,14 @@ def read_text_csv(
     """Every column as text under its exact header name; an empty cell is NULL, a
     quoted empty cell is empty text.
 
-    ``paths`` may hold globs and folders of part files. Where all paths share one
-    header one scan is planned, else one scan per distinct header and the
-    columns a file lacks are NULL.
+    ``paths`` may hold globs and folders. Every file is read by its own header:
+    one scan per distinct header, and the columns a file lacks are NULL. Cells
+    beyond the header are columns of their own.
     """
     listed = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     frames = [
         _read(spark, group, names, used, quote, multi_line)
-        for (names, used), group in headers_by_path(spark, listed, sep, quote).items()
+        for (names, used), group in _grouped(spark, listed, sep, quote, not multi_line)
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -161,7 +195,7 @@ def read_feed(
         files = [r["path"] for r in files.select("path").toLocalIterator()]
     listed = [files] if isinstance(files, str) else list(dict.fromkeys(files))
     frames = []
-    for (names, used), group in headers_by_path(spark, listed, sep, quote).items():
+    for (names, used), group in _grouped(spark, listed, sep, quote):
         tagged = with_file(_read(spark, group, names, used, quote, False))
         tagged = with_row_order(tagged) if row_order else tagged
         frames.append(tagged.withColumn("_source_date", name_date_text(base_name(F.col("_file")))))

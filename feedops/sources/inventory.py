@@ -20,8 +20,8 @@ def decoded(path: Column) -> Column:
 
 
 def logical_path(path: Column) -> Column:
-    """The file a path belongs to: a folder of ``part-`` files is one file."""
-    return F.regexp_replace(path, r"/part-[^/]*$", "")
+    """The file a path belongs to: a folder of part files as Spark names them is one file."""
+    return F.regexp_replace(path, r"/part-[0-9]{5,}-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}[^/]*$", "")
 
 
 def base_name(path: Column) -> Column:
@@ -51,13 +51,13 @@ def file_inventory(
     root: str | Sequence[str],
     suffixes: Sequence[str] = (".csv", ".csv.gz"),
     recursive: bool = True,
-    empty_files: bool = False,
+    empty_files: bool = True,
 ) -> DataFrame:
     """``path, directory, name, size, mtime`` of the files under a root.
 
     The listing is Spark's own (spread over executors for many folders); file
-    bodies are not read. Spark's scans pass over files of no bytes;
-    ``empty_files`` adds them, with size 0, from the listing itself.
+    bodies are not read. Spark's scans pass over files of no bytes; they are
+    added, with size 0, from the listing itself unless ``empty_files`` is off.
     """
     roots = [root] if isinstance(root, str) else list(root)
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)

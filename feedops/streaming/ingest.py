@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,16 @@ def nth_path(spark: SparkSession, src: str, n: int, suffixes: tuple[str, ...] =
     return found[0][0] if found else None
 
 
+def _rows_in(spark: SparkSession, sink: str) -> int:
+    """Rows of the finished batches in a sink; 0 before the first."""
+    try:
+        return spark.read.parquet(sink).count()
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+
+
 def ingest_incremental(
     spark: SparkSession,
     src: str,
@@ -33,8 +44,9 @@ def ingest_incremental(
     The checkpoint remembers finished files and the sink's own log makes a
     repeated batch invisible, so a run may fail anywhere and be started again.
     ``skip_first`` leaves out that many files, in path order, for a manual
-    resume. Returns the number of rows read.
+    resume. Returns the number of rows this run added to the sink.
     """
+    held = _rows_in(spark, sink)
     stream = (
         spark.readStream.format(fmt).schema(schema).options(**(options or {})).load(src)
         .withColumn("_file", F.col("_metadata.file_name"))
@@ -48,4 +60,4 @@ def ingest_incremental(
         .trigger(availableNow=True).start(sink)
     )
     run.awaitTermination()
-    return sum(p["numInputRows"] for p in run.recentProgress)
+    return _rows_in(spark, sink) - held

@@ -138,3 +138,15 @@ def test_fingerprint_tells_cells_apart(spark):
     df = spark.createDataFrame(cells, "x string, y string")
     assert df.select(fingerprint(["y", "x"]).alias("f")).distinct().count() == len(cells)
     assert df.select((fingerprint(["y", "x"]) == fingerprint(["x", "y"])).alias("f")).distinct().collect()[0][0] is True
+
+
+def test_repeated_keys_count_once_by_default(spark):
+    prev = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3)], "id string, v int")
+    curr = spark.createDataFrame([("a", 9), ("a", 1), ("a", 4), ("a", 4)], "id string, v int")
+    stats = op.diff_stats(prev, curr, "id").first()
+    assert (stats["current_row_count"], stats["changed_records"], stats["new_records"], stats["removed_records"]) == (1, 1, 0, 0)
+    cells = op.cell_changes(prev, curr, "id")
+    assert [tuple(r) for r in cells.collect()] == [("a", "v", "3", "9")]
+    assert op.change_documents(cells).count() == 1
+    assert [tuple(r) for r in op.classify(prev, curr, "id").collect()] == [("a", "modified")]
+    assert [tuple(r) for r in op.delta_rows(prev, curr, "id").collect()] == [("a", 9)]

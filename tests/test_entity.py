@@ -65,3 +65,13 @@ def test_inputs(spark, rows):
 def test_no_python_in_plans(feed, plan):
     text = plan(op.entity_state(feed, "ID_BB_GLOBAL", TYPES, ORDER))
     assert "EvalPython" not in text and text.count("hashpartitioning") == 1
+
+
+def test_other_prefix_and_no_columns(spark):
+    rows = spark.createDataFrame([("XY1", "5", "f", "20240101", 1), ("XY1", "6", "f", "20240101", 2), ("BBG1", "7", "f", "20240101", 3)],
+                                 "id string, a string, _file string, _date string, n int")
+    assert [str(r["a"]) for r in op.entity_state(rows, "id", {"a": "integer"}, ["n"], prefix="XY").collect()] == ["6"]
+    assert op.entity_history(rows, "id", {"a": "integer"}, ["n"], prefix="XY").count() == 1
+    assert [r["id"] for r in op.entity_state(rows, "id", {}, ["n"]).collect()] == ["BBG1"]
+    assert op.entity_history(rows, "id", {}, ["n"]).count() == 0
+    assert op.type_mismatches(rows, {"a": "text"}).count() == 0

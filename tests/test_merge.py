@@ -111,4 +111,10 @@ def test_load_report(spark):
     assert op.load_report(runs).collect()[0] == (3, 2, 1, 30, 6.0, 2.0, 5.0)
     df = spark.createDataFrame([("a", None), ("a", "bad"), ("b", None)], "_file string, _corrupt_record string")
     got = {r["file_path"]: tuple(r)[1:] for r in op.load_runs(df, bad_row=F.col("_corrupt_record").isNotNull()).collect()}
-    assert got == {"a": ("error", 1, "1 malformed rows"), "b": ("success", 1, None)}
+    assert got == {"a": ("error", 1, "1 malformed rows", None), "b": ("success", 1, None, None)}
+    files = spark.createDataFrame([("a", None), ("b", None), ("c", "not readable"), ("d", None)], "path string, error string")
+    seconds = spark.createDataFrame([("b", 2.0)], "file_path string, processing_time_seconds double")
+    runs = op.load_runs(df, files=files, seconds=seconds)
+    assert {r["file_path"]: tuple(r)[1:] for r in runs.collect()} == {
+        "a": ("success", 2, None, None), "b": ("success", 1, None, 2.0), "c": ("error", 0, "not readable", None), "d": ("error", 0, "no rows", None)}
+    assert op.load_report(runs).collect()[0] == (4, 2, 2, 3, 2.0, 2.0, 1.5)

@@ -27,13 +27,21 @@ def test_select_and_filter(table, plan):
 def test_paging(table):
     ids = lambda df: [r["id"] for r in df.collect()]
     assert ids(op.page(table, ["v"], 5, 10)) == [10, 11, 12, 13, 14]
-    for bad in ({"limit": 0}, {"limit": 10001}, {"offset": -1}):
+    for bad in ({"limit": 0}, {"limit": 10001, "most": 10000}, {"offset": -1}):
         with pytest.raises(ValueError):
             op.page(table, ["v"], **bad)
     rows, total = op.query(table, ["id"], "name", {"k": 1}, limit=3, offset=2)
     assert [tuple(r) for r in rows.collect()] == [("n1",), ("n0",), ("n1",)] and total.collect()[0][0] == 17
 
 
+def test_ties_at_any_depth(spark):
+    df = spark.range(3000).selectExpr("id", "id % 3 AS v")
+    for start in (10, 1500, 2900):
+        assert op.rows_at(df, start, 5, ["v"]).count() == 5
+    assert op.rows_at(df, 2998, 50, ["v"]).count() == 2
+    assert op.page(df, ["v", "id"], 20_000).count() == 3000
+
+
 @pytest.mark.parametrize("enough", [1_000_000, 5])
 def test_deep_rows(spark, enough):
     rng = random.Random(enough)
@@ -146,9 +154,9 @@ def test_infer_types(spark):
     df = spark.createDataFrame(
         [(i, str(i), f"{i}.5" if i else "7", "null" if i else "", "t", "2024-01-31", "x" if i == 150 else "1") for i in range(200)],
         "i int, a string, b string, c string, d string, e string, f string")
-    got = {r["name"]: r["data_type"] for r in profile.infer_types(df, ["i"], columns=list("abcdef")).collect()}
+    got = {r["name"]: r["data_type"] for r in profile.infer_types(df, ["i"], 100, list("abcdef")).collect()}
     assert got == {"a": "integer", "b": "numeric", "c": "text", "d": "boolean", "e": "date", "f": "integer"}
-    every = {r["name"]: r["data_type"] for r in profile.infer_types(df, sample=None, columns=["f"]).collect()}
+    every = {r["name"]: r["data_type"] for r in profile.infer_types(df, columns=["f"]).collect()}
     assert every == {"f": "text"}
 
 

@@ -21,7 +21,6 @@ def test_header_rules(spark, rows):
     assert src.dedupe_header(["a", "Account", "b", "Account", "Account"]) == ["a", "Account", "b", "Account_3", "Account_4"]
     assert src.extend_header(["a", "b"], [["1", "2"], ["1", "2", "3", "4"]]) == ["a", "b", "column_3", "column_4"]
     assert rows(src.column_mapping(spark, ["x", "x"])) == [(0, "x", "x", False), (1, "x", "x_1", True)]
-    assert src.sniff_separator(["a;b;c", "1;2;3", "4;5,6;7"]) == ";"
 
 
 def test_text_csv(spark, tmp_path, rows):
@@ -94,13 +93,53 @@ def test_metadata(spark, tmp_path):
     assert kinds == {"firms": "company", "bonds": "asset", "notes": "exception", "odd": "exception"}
 
 
-def test_metadata_types_come_from_first_rows(spark, tmp_path):
+def test_metadata_types_come_from_all_rows(spark, tmp_path):
     body = "".join(f"{i}\n" for i in range(100)) + "late text\n"
     put(tmp_path / "f/f_20240101.gz", "a\n" + body)
     row = profile.extract_metadata(spark, str(tmp_path)).collect()[0]
+    assert row["rowCount"] == 101 and row["columns"][0]["dataType"] == "text"
+    row = profile.extract_metadata(spark, str(tmp_path), sample=100).collect()[0]
     assert row["rowCount"] == 101 and row["columns"][0]["dataType"] == "integer"
 
 
+def test_files_without_text_are_listed_with_an_error(spark, tmp_path, rows):
+    assert profile.extract_metadata(spark, str(tmp_path)).collect() == []
+    put(tmp_path / "f/f_20240101.gz", "a,b\n1,2\n")
+    put(tmp_path / "g/g_20240101.gz", "")
+    put(tmp_path / "h/part-prices-20240101.csv.gz", "a\n1\n")
+    got = {r["filename"]: (r["rowCount"], r["error"]) for r in profile.extract_metadata(spark, str(tmp_path)).collect()}
+    assert got == {"f": (1, None), "g": (0, "no rows in g_20240101.gz"), "h": (1, None)}
+
+
+def test_every_file_has_its_own_header(spark, tmp_path, rows):
+    put(tmp_path / "a.csv", "id,a,b\n1,A,B\n")
+    put(tmp_path / "b.csv", "id,b,a\n2,B,A\n" + "3,b,a\n" * 9 + '4,"x,y",z,EXTRA\n')
+    df = src.read_text_csv(spark, f"{tmp_path}/*.csv")
+    assert set(df.columns) == {"id", "a", "b", "column_4"}
+    got = rows(df.filter("id IN ('1', '2', '4')").select("id", "a", "b", "column_4"))
+    assert got == [("1", "A", "B", None), ("2", "A", "B", None), ("4", "z", "x,y", "EXTRA")]
+    found = src.misfits(spark, f"{tmp_path}/*.csv").collect()
+    assert {r["path"].rpartition("/")[2]: tuple(r)[1:] for r in found} == {"a.csv": (1, 0, 0), "b.csv": (11, 0, 1)}
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path, rows):
+    df = src.read_text_csv(spark, put(tmp_path / "c.csv", "id,Account,ACCOUNT\n1,x,y\n"))
+    assert df.columns == ["id", "Account", "ACCOUNT_2"] and rows(df) == [("1", "x", "y")]
+
+
+def test_separator_of_the_whole_file(spark, tmp_path, rows):
+    path = put(tmp_path / "s.csv", "a;b;c\n1;2;3\n4;5,6;7\n")
+    assert src.read_text_csv(spark, path, sep="auto").columns == ["a", "b", "c"]
+
+
+def test_one_header_job_for_all_files(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path / f"f{i}.csv", f"a,b\n{i},x\n")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert src.read_text_csv(spark, f"{tmp_path}/*.csv").columns == ["a", "b"]
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)) < 10
+
+
 def test_inventory(spark, tmp_path, rows):
     put(tmp_path / "d 1/a.csv", "x\n1\n")
     put(tmp_path / "d 1/b.CSV", "x\n1\n")

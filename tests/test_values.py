@@ -72,7 +72,8 @@ def test_name_dates(spark):
 
 def test_clean_cell(spark):
     texts = ["a\x00b\x1fc\td\ne\rf", "", None, "x" * 40000]
-    assert column(spark, texts, v.clean_cell("c")) == ["abc\td\ne\rf", " ", " ", "x" * 32000]
+    assert column(spark, texts, v.clean_cell("c", most=32000)) == ["abc\td\ne\rf", " ", " ", "x" * 32000]
+    assert column(spark, texts[3:], v.clean_cell("c")) == texts[3:]
 
 
 def test_names(spark):

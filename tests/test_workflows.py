@@ -58,3 +58,23 @@ def test_entities(spark, root, rows):
     assert (state["BBG1"]["price"], state["BBG1"]["name"], state["BBG1"]["rate"]) == ("77", "one", "5")
     history = rows(got["history"].filter("property = 'price'").select("id", "effective_date", "value"))
     assert history == [("BBG1", "20240102", "10"), ("BBG1", "20240201", "77"), ("BBG2", "20240102", "2")]
+
+
+def test_last_row_of_a_file_wins(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "f_20240101.csv").write_text("id,v\na,9\na,1\n")
+    (folder / "f_20240102.csv").write_text("id,v\na,8\na,2\n")
+    out = workflows.compare_latest(spark, str(folder), "id")
+    assert [tuple(r) for r in out["cells"].collect()] == [("a", "v", "1", "2")]
+    assert [tuple(r) for r in out["delta"].collect()] == [("a", "2")] and out["delta"].columns == ["id", "v"]
+
+
+def test_rows_of_many_batches_are_counted(spark, tmp_path):
+    from feedops.streaming.ingest import ingest_incremental
+
+    source = str(tmp_path / "src")
+    spark.range(105).repartition(105).write.parquet(source)
+    args = (spark, source, "id long", str(tmp_path / "sink"), str(tmp_path / "state"))
+    assert ingest_incremental(*args, options={"maxFilesPerTrigger": "1"}) == 105
+    assert ingest_incremental(*args) == 0
