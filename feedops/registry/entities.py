@@ -57,6 +57,13 @@ def e2(spark, d):
     return op.entity_state(entity_rows(spark, d), "id", TYPES, ORDER)
 
 
+@add("e2_entity_state_prefix", f"""
+WITH {ENTITIES}
+SELECT id, arg_max(o_orderkey, ord) AS o_orderkey, arg_max(o_totalprice, ord) AS o_totalprice FROM ent WHERE id LIKE 'TMP%' GROUP BY id""")
+def e2_prefix(spark, d):
+    return op.entity_state(entity_rows(spark, d), "id", TYPES, ORDER, prefix="TMP").select("id", "o_orderkey", "o_totalprice")
+
+
 LONG = """
 long AS (SELECT id, 'o_orderkey' AS property, o_orderkey AS "value", day, file, ord FROM valid
   UNION ALL SELECT id, 'o_orderstatus', o_orderstatus, day, file, ord FROM valid

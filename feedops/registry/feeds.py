@@ -22,7 +22,7 @@ from feedops.registry.inputs import (
     snapshots,
     text_orders,
 )
-from feedops.session import scratch_path
+from feedops.session import durable, scratch_path
 from feedops.sinks import write_change_log, write_csv, write_json
 from feedops.sources import csv as src
 from feedops.sources.documents import read_change_log, read_meta_json
@@ -41,6 +41,26 @@ def r1(spark, d):
     return src.read_text_csv(spark, path)
 
 
+@add("r1_header_per_file", f"WITH {TEXT_ORDERS} SELECT * FROM text_orders")
+def r1_headers(spark, d):
+    rows, root = text_orders(spark, d), scratch_path(spark, "swapped")
+    done = F.col("o_orderstatus") == "F"
+    write_csv(rows.filter(done), f"{root}/a")
+    write_csv(rows.filter(~done).select(*reversed(rows.columns)), f"{root}/b")
+    return src.read_text_csv(spark, f"{root}/*").select(*rows.columns)
+
+
+@add("r1_misfit_rows", """
+SELECT count(*) AS "rows", count(*) FILTER (WHERE l_linenumber = 7) AS long_rows, 0 AS short_rows FROM lineitem""")
+def r1_misfits(spark, d):
+    path = scratch_path(spark, "misfits")
+    longer = F.when(F.col("l_linenumber") == 7, F.concat(F.lit(","), "l_returnflag")).otherwise("")
+    line = F.concat(F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey"), longer)
+    raw_lines(table(spark, d, "lineitem").select(line), "l_orderkey,l_linenumber,l_partkey", path)
+    found = src.misfits(spark, path).agg(F.sum("rows").alias("rows"), F.sum("long_rows").alias("long_rows"), F.sum("short_rows").alias("short_rows"))
+    return found
+
+
 @add("r1_read_text_csv_multiline", """
 SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations""")
 def r1_multiline(spark, d):
@@ -175,9 +195,12 @@ def r11(spark, d):
     return reduce(DataFrame.unionByName, counted).select("table_name", "rows")
 
 
-@add("r11_preview")
+@add("r11_preview", """SELECT least(100, count(*)) AS "rows", TRUE AS all_known FROM orders""")
 def r11_preview(spark, d):
-    return preview(spark, stage(table(spark, d, "orders"), "all_orders.csv.gz"), 100)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    rows = durable(preview(spark, stage(orders, "all_orders.csv.gz"), 100))
+    known = rows.join(orders, rows.columns, "left_semi").count()
+    return rows.agg(F.count("*").alias("rows"), (F.count("*") == known).alias("all_known"))
 
 
 def _limited(n: int) -> str:

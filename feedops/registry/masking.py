@@ -8,6 +8,7 @@ from feedops.functions.values import convert, is_null_token, prefix_path, saniti
 from feedops.operators.mask import obfuscate
 from feedops.registry.base import Registry, table
 from feedops.registry.inputs import DOCUMENT_FILES, RAW_CELLS, document_files, raw_cells
+from feedops.session import durable
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -40,9 +41,13 @@ def t3(spark, d):
     return obfuscate(table(spark, d, "documents").select("doc_id", "lang", "text"), ["lang", "text"], "mask")
 
 
-@add("t4_obfuscate_max_rows")
+@add("t4_obfuscate_max_rows", """SELECT least(100, count(*)) AS "rows", 0 AS plain_names, TRUE AS all_known FROM customer""")
 def t4(spark, d):
-    return obfuscate(table(spark, d, "customer"), ["c_name"], "unheard-of", max_rows=100)
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    rows = durable(obfuscate(customers, ["c_name"], "unheard-of", max_rows=100))
+    known = rows.join(customers, "c_custkey", "left_semi").count()
+    plain = rows.join(customers.select(F.col("c_name")), "c_name", "left_semi").count()
+    return rows.agg(F.count("*").alias("rows"), F.lit(plain).alias("plain_names"), (F.count("*") == known).alias("all_known"))
 
 
 @add("t5_is_null_token", f"""

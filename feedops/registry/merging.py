@@ -208,7 +208,7 @@ def m10_runs(spark, d):
 
 @add("m10_load_report_of_runs", f"""
 WITH {ORDER_FEEDS},
-runs AS (SELECT file, count(*) AS "all", count(*) FILTER (WHERE o_orderpriority = '{NO_PRIORITY}' AND o_orderkey % 1000 = 1) AS bad FROM feeds GROUP BY file)
+runs AS (SELECT file, count(*) AS "all", count(*) FILTER (WHERE o_orderpriority = '{NO_PRIORITY}' AND CAST(o_orderkey AS BIGINT) % 1000 = 1) AS bad FROM feeds GROUP BY file)
 SELECT count(*) + 1 AS total_files, count(*) FILTER (WHERE bad = 0) AS successful_files, count(*) FILTER (WHERE bad > 0) + 1 AS failed_files,
        CAST(coalesce(sum("all") FILTER (WHERE bad = 0), 0) AS BIGINT) AS total_rows FROM runs""")
 def m10_chain(spark, d):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from feedops.operators import query as op
 from feedops.registry.base import Registry, table
 from feedops.registry.feeds import TRANSFER_CELLS, transfers
+from feedops.session import durable
 from feedops.sources.csv import dedupe_header, head_lines, read_text_csv
 
 REGISTRY = Registry()
@@ -60,14 +63,34 @@ def q6(spark, d):
     return rows.select("l_orderkey", "l_partkey", "l_quantity")
 
 
-@add("q7_head")
+@add("q6_rows_at_ties", """
+SELECT count(*) AS "rows", strftime(min(l_shipdate), '%Y-%m-%d') AS first, strftime(max(l_shipdate), '%Y-%m-%d') AS last
+FROM (SELECT l_shipdate FROM lineitem ORDER BY l_shipdate LIMIT 1000 OFFSET 3000)""")
+def q6_ties(spark, d):
+    rows = op.rows_at(table(spark, d, "lineitem"), 3000, 1000, ["l_shipdate"])
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return rows.agg(F.count("*").alias("rows"), F.min(day).alias("first"), F.max(day).alias("last"))
+
+
+def checked(rows, whole):
+    """How many rows there are, and whether all are rows of the whole table."""
+    found = rows.join(whole, rows.columns, "left_semi").agg(F.count("*").alias("found"))
+    return rows.agg(F.count("*").alias("rows")).join(found, F.lit(True)).select("rows", (F.col("rows") == F.col("found")).alias("all_known"))
+
+
+@add("q7_head", """SELECT least(10, count(*)) AS "rows", TRUE AS all_known FROM lineitem""")
 def q7(spark, d):
-    return op.head(table(spark, d, "lineitem"), 10)
+    keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return checked(durable(op.head(keys, 10)), keys)
 
 
-@add("q8_sample")
+@add("q8_sample", """SELECT TRUE AS about_a_tenth, TRUE AS all_known, count(*) AS "rows" FROM lineitem""")
 def q8(spark, d):
-    return op.sample(table(spark, d, "lineitem"), 0.01, seed=7)
+    keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    whole = keys.agg(F.count("*").alias("all"))
+    found = checked(durable(op.sample(keys, 0.1, seed=7)), keys).join(whole, F.lit(True))
+    near = F.abs(F.col("rows") - F.col("all") / 10) <= 5 * F.sqrt(F.col("all") * 0.09)
+    return found.select(near.alias("about_a_tenth"), "all_known", F.col("all").alias("rows"))
 
 
 @add("q9_find_by_attr", """
