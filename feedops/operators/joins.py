@@ -32,15 +32,15 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, slices: int = 16) -
 
     A key is hot when it holds more than 1/(4 * slices) of the left rows, so
     there are fewer than ``4 * slices`` hot keys and their list has a fixed
-    bound. Left rows of a hot key get one of ``slices`` numbers; the right rows
-    of the hot keys alone are copied once per number.
+    bound. Left rows of a hot key get one of ``slices`` numbers in turn, by their
+    place in the task, so equal rows spread too and no column is read for it; the
+    right rows of the hot keys alone are copied once per number.
     """
     present = left.filter(col(key).isNotNull())
     counts = present.groupBy(col(key).alias("__k")).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     hot = counts.filter(F.col("__n") * (4 * slices) > total).select("__k", F.lit(True).alias("__hot"))
-    rest = [c for c in left.columns if c != key]
-    salt = F.pmod(F.xxhash64(*[col(c) for c in (rest or [key])]), F.lit(slices)).cast("int")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")
     marked = present.join(F.broadcast(hot), col(key) == F.col("__k"), "left")
     marked = marked.withColumn("__slice", F.when(F.col("__hot"), salt).otherwise(0)).drop("__k", "__hot")
     copies = right.join(F.broadcast(hot), col(key) == F.col("__k"), "left")

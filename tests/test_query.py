@@ -214,3 +214,12 @@ def test_quantiles_by_narrowing(spark, monkeypatch, enough):
                 assert got[c, p] == pytest.approx(np.quantile(real, p)), (c, p)
             else:
                 assert (c, p) not in got
+
+
+def test_spread_join_of_equal_rows(spark, data, plan):
+    left, right = spark.createDataFrame([(1,)] * 64 + [(2,)], "k int"), spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "k int, v string")
+    got = joins.spread_join(left, right, "k", slices=4)
+    assert sorted(got.groupBy("v").count().collect()) == [("a", 64), ("b", 1), ("c", 64)]
+    lines, orders = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("lineitem", "orders"))
+    text = plan(joins.spread_join(lines.withColumnRenamed("l_orderkey", "o_orderkey"), orders, "o_orderkey").select("l_quantity", "o_custkey"))
+    assert "l_extendedprice" not in text and "l_comment" not in text
