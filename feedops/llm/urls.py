@@ -80,9 +80,10 @@ def strength(units: DataFrame) -> DataFrame:
 
 def _level(units: DataFrame) -> DataFrame:
     """Adds ``mean`` (posterior) and ``weight`` (strength + n) to units (n, k, parent)."""
-    return units.crossJoin(F.broadcast(strength(units))).withColumn(
-        "mean", (F.col("k") + F.col("strength") * F.col("parent")) / (F.col("n") + F.col("strength"))
-    ).withColumn("weight", F.col("n") + F.col("strength")).drop("strength")
+    prior = units.withColumn("strength", strength(units).scalar())
+    return prior.withColumn("mean", (F.col("k") + F.col("strength") * F.col("parent")) / (F.col("n") + F.col("strength"))).withColumn(
+        "weight", F.col("n") + F.col("strength")
+    ).drop("strength")
 
 
 def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -95,7 +96,7 @@ def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
     whole = hosts.agg(F.coalesce(F.sum("k"), F.lit(0.0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).select(
         ((F.col("k") + 1) / (F.col("n") + 2)).alias("mean"), (F.col("n") + 2).alias("weight")
     )
-    suffixes = _level(hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(whole.select(F.col("mean").alias("parent")))))
+    suffixes = _level(hosts.groupBy("suffix").agg(*sums).withColumn("parent", whole.select("mean").scalar()))
     domains = _level(hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes.select("suffix", F.col("mean").alias("parent")), "suffix"))
     hosts = _level(hosts.join(domains.select("domain", F.col("mean").alias("parent")), "domain"))
     return {"all": whole, "suffix": suffixes, "domain": domains, "host": hosts}
@@ -124,7 +125,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame |
         hosts.join(levels["host"].select("host", low["host"]), "host", "left")
         .join(levels["domain"].select("domain", low["domain"]), "domain", "left")
         .join(levels["suffix"].select("suffix", low["suffix"]), "suffix", "left")
-        .crossJoin(F.broadcast(levels["all"].select(low["all"])))
+        .withColumn("all_low", levels["all"].select(low["all"]).scalar())
         .select("host", (F.coalesce("host_low", "domain_low", "suffix_low", "all_low") >= limit).alias("bad"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
