@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedops.operators.diff import cell_changes, delta_rows, diff_stats
 from feedops.operators.discovery import filter_dirs, folders_containing, latest_per_dir, snapshot_pair
-from feedops.operators.entity import entity_history, entity_state
+from feedops.operators.entity import ENTITY_PREFIX, entity_history, entity_state
 from feedops.operators.merge import BOOKKEEPING, load_runs, merge_newest_columns, track_keys, upsert_records
 from feedops.plans.columns import resolve_key
 from feedops.plans.keyed import Order
@@ -90,7 +90,8 @@ def merge_latest(
 
 
 def entities_from(
-    spark: SparkSession, inputs: DataFrame, meta: DataFrame, key: str, order: Order = ("_source_date", "_file", "_row")
+    spark: SparkSession, inputs: DataFrame, meta: DataFrame, key: str, order: Order = ("_source_date", "_file", "_row"),
+    prefix: str = ENTITY_PREFIX,
 ) -> dict[str, DataFrame]:
     """``state`` and ``history`` of the entities in the chosen files.
 
@@ -103,6 +104,6 @@ def entities_from(
     types = {r["name"]: r["kind"] for r in declared.collect()}
     rows = read_feed(spark, inputs, row_order=True)
     return {
-        "state": entity_state(rows, key, types, list(order)),
-        "history": entity_history(rows, key, types, list(order), date_col="_source_date"),
+        "state": entity_state(rows, key, types, list(order), prefix),
+        "history": entity_history(rows, key, types, list(order), date_col="_source_date", prefix=prefix),
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedops.operators import workflows
+from feedops.operators.discovery import latest_per_dir
+from feedops.operators.profile import extract_metadata
 from feedops.registry.base import Registry
 from feedops.registry.inputs import ORDER_FEEDS, feed_tree
 from feedops.registry.merging import ORDER, target_records
@@ -57,3 +59,23 @@ SELECT count(*) FILTER (WHERE has) AS current_row_count, count(*) FILTER (WHERE
 def c9_compare(spark, d):
     got = workflows.compare_latest(spark, f"{feed_tree(spark, d)}/feed=orders_F", "o_custkey", order=ORDER)
     return got["stats"].drop("changed_columns")
+
+
+@add("e2_entities_from", f"""
+WITH {NEWEST},
+rows AS (SELECT f.* FROM feeds f JOIN newest n ON f.feed = n.feed AND f.file = n.file)
+SELECT o_custkey, arg_max(o_orderkey, o_orderdate || ' ' || o_orderkey) AS o_orderkey FROM rows WHERE o_custkey LIKE '1%' GROUP BY o_custkey""")
+def e2_chain(spark, d):
+    root = feed_tree(spark, d)
+    found = workflows.entities_from(
+        spark, latest_per_dir(workflows.feeds_under(spark, root)), extract_metadata(spark, root), "o_custkey", ORDER, prefix="1"
+    )
+    return found["state"].select("o_custkey", "o_orderkey")
+
+
+@add("m1_merge_latest", f"""
+WITH {NEWEST},
+rows AS (SELECT f.* FROM feeds f JOIN newest n ON f.feed = n.feed AND f.file = n.file)
+SELECT DISTINCT o_custkey FROM rows""")
+def m1_chain(spark, d):
+    return workflows.merge_latest(spark, feed_tree(spark, d), "feed", "o_custkey", ORDER, keep_all_keys=True).select("o_custkey")

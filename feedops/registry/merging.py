@@ -231,6 +231,16 @@ def m11(spark, d):
     )
 
 
+@add("m11_attribute_counts", f"""
+WITH {RECORDS}
+SELECT coalesce(t.id, s.id) AS id, CASE WHEN t.id IS NULL THEN 0 ELSE 2 END + 1 + CASE WHEN s.id IS NULL THEN 0 ELSE 3 END AS attributes
+FROM tgt t FULL OUTER JOIN kept s ON t.id = s.id""")
+def m11_counts(spark, d):
+    return op.attribute_counts(
+        op.upsert_records(target_records(spark, d), staged_orders(spark, d), "o_custkey", ORDER)
+    )
+
+
 @add("m12_track_keys", f"""
 WITH {ORDER_FEEDS},
 k AS (SELECT o_custkey, file, count(*) AS n FROM feeds GROUP BY o_custkey, file)
