@@ -73,9 +73,11 @@ def rows_at(
     found = range_bounds(df, order_by, start, count)
     if found is None:
         return df.limit(0)
-    skipped = start - df.filter(before(order_by, found[0])).count()
-    inside = numbered(df.filter(between(order_by, *found)), order_by, "__n")
-    kept = inside.filter(F.col("__n").between(skipped + 1, skipped + count)).drop("__n")
+    inside = between(order_by, *found)
+    sizes = df.agg(F.count_if(before(order_by, found[0])).alias("before"), F.count_if(inside).alias("inside")).first()
+    kept, skipped = df.filter(inside), start - sizes["before"]
+    if skipped or sizes["inside"] > count:  # ties at a bound
+        kept = numbered(kept, order_by, "__n").filter(F.col("__n").between(skipped + 1, skipped + count)).drop("__n")
     return kept.orderBy(*[col(c) for c in order_by])
 
 
