@@ -158,21 +158,30 @@ class Network:
         return loss
 
 
-def windows_of(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text array as padded windows (n, window), and the row of each window."""
+def cuts(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text array, and begin, end and row of each window of at most ``window`` bytes of one text."""
     raw = texts.cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
     data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.empty(0, np.uint8)
-    size = np.diff(offsets)
-    parts = -(-size // window)
-    row = np.repeat(np.arange(len(size)), parts)
+    parts = -(-np.diff(offsets) // window)
+    row = np.repeat(np.arange(len(parts)), parts)
     begin = np.repeat(offsets[:-1], parts) + window * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
-    stop = np.repeat(offsets[1:], parts)
+    return data, begin, np.minimum(begin + window, np.repeat(offsets[1:], parts)), row
+
+
+def gather(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Windows (n, window) of bytes, padded."""
     at = begin[:, None] + np.arange(window)
     inside = at < stop[:, None]
     out = np.full(at.shape, PAD, np.int16)
     out[inside] = data[at[inside]]
-    return out, row
+    return out
+
+
+def windows_of(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of a text array, and the row of each."""
+    data, begin, stop, row = cuts(texts, window)
+    return gather(data, begin, stop, window), row
 
 
 def train(docs: DataFrame, folds: int = 3, held: int = 1, per_label: int = PER_LABEL, chars: int = CHARS) -> Network | None:
@@ -197,21 +206,19 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, per_label: int = PER_L
 
 
 def label_texts(network: Network, texts: pa.Array, at_once: int = 1024) -> np.ndarray:
-    """(row, label): mean probabilities over all positions of each text; zeros for empty ones."""
+    """(row, label): mean probabilities over all positions of each text; zeros for empty ones. Holds ``at_once`` windows."""
+    data, begin, stop, row = cuts(texts)
     total = np.zeros((len(texts), len(network.labels)))
-    begin = 0
-    size = np.fromiter((0 if t is None else t for t in pa.compute.binary_length(texts).to_pylist()), np.int64, len(texts))
-    while begin < len(texts):
-        stop = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:]), 4_000_000, "right")))
-        windows, row = windows_of(texts.slice(begin, stop - begin))
-        for at in range(0, len(row), at_once):
-            own = windows[at:at + at_once]
-            p = network.positions(own)
-            p *= own.T != PAD
-            rows = begin + row[at:at + at_once]
-            for k, sums in enumerate(p.sum(axis=1, dtype=np.float64)):
-                total[:, k] += np.bincount(rows, sums, len(total))
-        begin = stop
+    for at in range(0, len(row), at_once):
+        own = slice(at, at + at_once)
+        windows = gather(data, begin[own], stop[own])
+        p = network.positions(windows)
+        p *= windows.T != PAD
+        low = row[at]
+        for k, sums in enumerate(p.sum(axis=1, dtype=np.float64)):
+            found = np.bincount(row[own] - low, sums)
+            total[low:low + len(found), k] += found
+    size = np.bincount(row, stop - begin, len(texts))
     return total / np.maximum(size, 1)[:, None]
 
 

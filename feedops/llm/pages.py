@@ -37,6 +37,8 @@ SALTS = 32
 SUPPORT = 0.5
 #: Where a template has no article element, the deepest single element with this share of the text is the main one.
 MAIN_SHARE = 0.6
+#: Deeper paths are known by a hash of what is above, so that nesting without end costs no more.
+LONGEST_PATH = 1000
 
 # Fixed values of HTML and of common naming.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -83,7 +85,10 @@ def _opened(tag: str, attributes: str, parent: Element | None) -> Element:
     name = tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
     boiler = own or parent is not None and parent.boiler
     main = not boiler and (in_main or tag in MAIN_TAGS or role == "main")
-    return Element(tag, f"{parent.path}/{name}" if parent else name, boiler, main)
+    above = parent.path if parent else ""
+    if len(above) > LONGEST_PATH:
+        above = f"#{xxhash.xxh64_hexdigest(above)}"
+    return Element(tag, f"{above}/{name}" if above else name, boiler, main)
 
 
 def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:

@@ -29,6 +29,8 @@ from feedops.llm.common import Forest, bucket_chunks, components, dealt, keep, p
 
 SEED = 42
 BYTES = 8
+#: Shingles of a text that are hashed at once.
+AT_ONCE = 1 << 16
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -42,14 +44,13 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     size = np.fromiter(map(len, own), np.int64, len(own))
     stop = np.cumsum(size + 1) - 1
     start = stop - size
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], SEED) for a, b in zip(start[:1 - words].tolist(), stop[words - 1:].tolist())]
-    # sums of bits, byte by byte of the hash: counts of each byte value times the bits of that value
-    ones = np.zeros(64, np.int64)
-    column = np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES)
-    for begin in range(0, len(column), 1 << 16):
-        ones += np.unpackbits(column[begin:begin + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    digest, ones, count = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(own) - words + 1
+    for at in range(0, count, AT_ONCE):
+        last = min(count, at + AT_ONCE)
+        hashes = [digest(line[a:b], SEED) for a, b in zip(start[at:last].tolist(), stop[at + words - 1:last + words - 1].tolist())]
+        column = np.array(hashes, "<u8").view(np.uint8).reshape(-1, BYTES)
+        ones += np.unpackbits(column, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:

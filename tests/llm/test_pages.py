@@ -19,6 +19,11 @@ CASES = {
 }
 
 
+def test_deep_nesting():
+    assert pages.blocks("<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>end</article>", []) == ["deep", "end"]
+    assert max(map(len, pages.tokens("<div>" * 5000))) < 1100
+
+
 def run(spark, rows):
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert all(r.n_chars == len(r.text) for r in got)
