@@ -12,8 +12,9 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     builder = SparkSession.builder.master("local[8]").appName("tests")
+    builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     for name, value in DEFAULTS.items():
         builder = builder.config(name, value)
     session = builder.config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
