@@ -121,7 +121,12 @@ def keep_first(docs: DataFrame, most: int = 4, words: int = 4, width: int = 3) -
 
     Rows that share a doc_id are one document: they go together, and one of them stays. Rows without a doc_id stay.
     """
-    found = keep(near_copies(docs, most, words, width).select("doc_id", "component_id"), "near-copies")
+    return first_of_each(docs, near_copies(docs, most, words, width).select("doc_id", "component_id"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """As ``keep_first``, by the components of ``found`` (doc_id, component_id)."""
+    found = keep(found, "near-copies")
     # one plan at every size: rows are shuffled once, whatever the number of copies
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct().hint("merge")
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
