@@ -7,7 +7,8 @@ folded with XOR in the map tasks, so a class is what shares (host, fold, pages)
 one row per token and task. A class is valid if it stands in enough of the host's pages and its tokens nest: each has its parent
 element in the template too. Valid classes, nested by path, are the host's template. Its slots, the places where text varies, are
 what is left; the slots below the template's article elements (or, where it has none, below the deepest element that stands once in
-a page and holds most of the text outside boilerplate) are the main text.
+a page and holds every place outside boilerplate whose text varies from page to page) are the main text. Where no element holds
+them all, nothing but boilerplate is dropped.
 
 Boilerplate is known by element or by words in id, class or role: navigation, headers, footers, side bars, notices, adverts,
 forms, scripts, styles, reader comments. Pages that lack the template's article, and hosts without a valid class, are judged by
@@ -35,8 +36,6 @@ from feedops.llm.urls import host_of
 SALTS = 32
 #: A valid class stands in this share of a host's pages, and in two pages at least.
 SUPPORT = 0.5
-#: Where a template has no article element, the deepest single element with this share of the text is the main one.
-MAIN_SHARE = 0.6
 #: Deeper paths are known by a hash of what is above, so that nesting without end costs no more.
 LONGEST_PATH = 1000
 
@@ -157,19 +156,29 @@ def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
 _NONE, _P = frozenset(), frozenset("p")
 
 
-def tokens(page: str) -> dict[str, tuple[int, int, bool, bool]]:
-    """By path: how often it opens, characters of text right inside, whether boilerplate, whether an outermost article."""
-    count, size, kind = Counter(), Counter(), {}
+def tokens(page: str) -> dict[str, tuple[int, int, bool, bool, int]]:
+    """By path: how often it opens, characters of text right inside, whether boilerplate, whether an outermost article, hash of the text.
+
+    Text outside all elements has the empty path.
+    """
+    count, size, kind, parts = Counter(), Counter(), {}, {}
     for event, element, text in walk(page):
         if element is None:
+            if text.strip():
+                count[""], kind[""] = 1, (False, False, False)
+                size[""] += len(text.strip())
+                parts.setdefault("", xxhash.xxh64()).update(f"{text.strip()}\0".encode("utf-8", "surrogatepass"))
             continue
         if event in ("open", "void"):
             count[element.path] += 1
             parent = element.path.rpartition("/")[0]
             kind[element.path] = (element.boiler, element.main and not (parent in kind and kind[parent][2]), element.main)
         elif event == "text" and not element.boiler:
-            size[element.path] += len(text.strip())
-    return {path: (n, size[path], kind[path][0], kind[path][1]) for path, n in count.items()}
+            inner = text.strip()
+            if inner:
+                size[element.path] += len(inner)
+                parts.setdefault(element.path, xxhash.xxh64()).update(f"{inner}\0".encode("utf-8", "surrogatepass"))
+    return {path: (n, size[path], kind[path][0], kind[path][1], parts[path].intdigest() if path in parts else 0) for path, n in count.items()}
 
 
 def blocks(page: str, roots: list[str]) -> list[str]:
@@ -212,21 +221,25 @@ def _line(parts) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, fold, times, chars, boiler, main): tokens with their folded occurrence vectors."""
+    """(host, path, pages, fold, times, chars, boiler, main, varies): tokens with their folded occurrence vectors.
+
+    The text of a token varies if it is not the same in all its pages.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, host, page in zip(*(c.to_pylist() for c in batch.columns)):
-                for path, (n, chars, boiler, main) in tokens(page or "").items():
+                for path, (n, chars, boiler, main, said) in tokens(page or "").items():
                     fold = xxhash.xxh64_intdigest(f"{key}:{n}") - (1 << 63)
-                    rows.append((host, path, n, fold, chars, boiler, main))
+                    rows.append((host, path, n, fold, chars, boiler, main, said - (1 << 63)))
             if rows:
-                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["host", "path", "times", "fold", "chars", "boiler", "main"])
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["host", "path", "times", "fold", "chars", "boiler", "main", "said"])
 
     rows = pages.select(F.xxhash64("page_id", "url", F.length("html")).alias("key"), _host(), F.col("html").cast("string").alias("html"))
-    single = rows.mapInArrow(run, "host string, path string, times long, fold long, chars long, boiler boolean, main boolean")
+    single = rows.mapInArrow(run, "host string, path string, times long, fold long, chars long, boiler boolean, main boolean, said long")
     return single.groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.bit_xor("fold").alias("fold"), F.max("times").alias("times"), F.sum("chars").alias("chars"), F.max("boiler").alias("boiler"), F.max("main").alias("main"),
+        (F.min("said") != F.max("said")).alias("varies"),
     )
 
 
@@ -237,7 +250,7 @@ def _host():
 def templates(pages: DataFrame) -> DataFrame:
     """(host, roots): the paths of the main slots in each host's template."""
     found = keep(page_tokens(pages), "page-tokens")
-    size = found.groupBy("host").agg(F.max("pages").alias("most"), F.sum(F.when(~F.col("boiler"), F.col("chars"))).alias("all_chars"))
+    size = found.groupBy("host").agg(F.max("pages").alias("most"))
     # equivalence classes: same host, pages and folded vector
     classes = found.groupBy("host", "pages", "fold").agg(F.count("*").alias("tokens"), F.max("main").alias("has_main"))
     members = found.join(classes, ["host", "pages", "fold"]).join(size, "host")
@@ -248,16 +261,17 @@ def templates(pages: DataFrame) -> DataFrame:
         .join(parents.withColumn("has_parent", F.lit(True)), ["host", "parent"], "left").filter("parent IS NULL OR has_parent")
     )
     articles = nested.filter("main AND NOT boiler").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("roots"))
-    # without an article: text below each template element, summed over its own and all deeper tokens
-    inner = found.filter("NOT boiler AND chars > 0").join(articles, "host", "left_anti")
-    above = inner.select("host", "chars", F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("path"))
-    below = above.groupBy("host", "path").agg(F.sum("chars").alias("below"))
-    dense = (
-        nested.filter("NOT boiler AND times = 1").join(below, ["host", "path"]).filter(F.col("below") >= MAIN_SHARE * F.col("all_chars"))
+    # without an article: places whose text varies, or that not all pages have, counted below each template element
+    slots = found.join(size, "host").filter("NOT boiler AND chars > 0 AND (varies OR pages < most)").join(articles, "host", "left_anti")
+    above = slots.select("host", F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("path"))
+    below = above.groupBy("host", "path").agg(F.count("*").alias("below"))
+    every = slots.groupBy("host").agg(F.count("*").alias("slots"))
+    holding = (
+        nested.filter("NOT boiler AND times = 1 AND pages = most").join(below, ["host", "path"]).join(every, "host").filter("below = slots")
         .groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), F.col("path"))).alias("root"))
         .select("host", F.array("root").alias("roots"))
     )
-    return articles.unionByName(dense)
+    return articles.unionByName(holding)
 
 
 def extract(pages: DataFrame) -> DataFrame:
