@@ -4,8 +4,8 @@ A token is an element's start tag in its role: the path of elements that lead to
 occurrence vector of a token says how often it stands in each page of the host; tokens with the same vector form an
 equivalence class. Vectors are never gathered: a page adds one hash of (page, count) to each of its tokens, and hashes are
 folded with XOR in the map tasks, so a class is what shares (host, fold, pages) and a host with a third of all pages costs
-one row per token and task. A class is valid if it stands in enough of the host's pages and its tokens nest: each has its parent
-element in the template too. Valid classes, nested by path, are the host's template. Its slots, the places where text varies, are
+one row per token and task. A token is valid if its class stands in enough of the host's pages and it nests: its parent element
+is in the template too. Size and fold of a class decide nothing. Valid classes, nested by path, are the host's template. Its slots, the places where text varies, are
 what is left; the slots below the template's article elements (or, where it has none, below the deepest element that stands once in
 a page and holds every place outside boilerplate whose text varies from page to page) are the main text. Where no element holds
 them all, nothing but boilerplate is dropped.
