@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedops.llm import bpe, chats, decontam, langid, pages, pii, quality, simhash, urls, vectors
+from feedops.llm import bpe, centroids, chats, codes, decontam, langid, pages, pii, quality, simhash, toxicity, urls, vectors
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -232,3 +232,74 @@ def tool_turns(turns: DataFrame) -> DataFrame:
 @query("op8_tool_links", CHAT_SQL)
 def tool_links(spark: SparkSession, folder: str) -> DataFrame:
     return chats.link(tool_turns(table(spark, folder, "conversations")), SCHEMAS)
+
+
+@query("op12_toxicity")
+def text_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
+
+
+def _means(assigned: str, cells: str, before: str, by: str) -> str:
+    """Entries of the next round: exact floors of the means, unused entries as before."""
+    return f"""SELECT {by}, b.c, b.i, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, b.x) AS x
+  FROM {before} b LEFT JOIN (SELECT {by}, c, i, sum(x) AS s, count(*) AS n FROM {assigned} JOIN {cells} USING ({'r, p' if by == 'p' else 'r'}) GROUP BY {by}, c, i) m USING ({by}, c, i)"""
+
+
+def codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Rounds of assignment and means over (row, part, place) cells, written out one after the other."""
+    steps = [f"""kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE {FINITE_SQL}
+), cells AS (
+  SELECT r, (k - 1) // (len(v) // 8) AS p, (k - 1) % (len(v) // 8) AS i, floor(4096 * v[k])::BIGINT AS x FROM (SELECT r, v, unnest(range(1, len(v) + 1)) AS k FROM kept)
+), c0 AS (
+  SELECT p, r - 1 AS c, i, x FROM cells WHERE r <= 16
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT r, p, min(struct_pack(d := d, c := c)) AS m, struct_extract(m, 'c') AS c, struct_extract(m, 'd') AS d
+  FROM (SELECT r, p, c, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM cells v JOIN c{k} b USING (p, i) GROUP BY r, p, c) GROUP BY r, p
+)""")
+        if k < rounds:
+            steps.append(f"c{k + 1} AS (\n  {_means(f'a{k}', 'cells', f'c{k}', 'p')}\n)")
+    return "WITH " + ", ".join(steps) + f""", coded AS (
+  SELECT r, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, c, i)) FROM c{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+@query("op11_ball_codes", codes_sql())
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.codes(table(spark, folder, "embeddings"))
+
+
+def clusters_sql(rounds: int = centroids.ROUNDS) -> str:
+    steps = [f"""kept AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {FINITE_SQL} AND len(embedding) = 64
+), cells AS (
+  SELECT r, i, floor(64 * v[i])::BIGINT AS x FROM (SELECT r, v, unnest(range(1, 65)) AS i FROM kept)
+), c0 AS (
+  SELECT 0 AS one, r - 1 AS c, i, x FROM cells WHERE r <= 16
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT r, 0 AS one, min(struct_pack(d := d, c := c)) AS m, struct_extract(m, 'c') AS c, struct_extract(m, 'd') AS d
+  FROM (SELECT r, c, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM cells v JOIN c{k} b USING (i) GROUP BY r, c) GROUP BY r
+)""")
+        if k < rounds:
+            steps.append(f"c{k + 1} AS (\n  {_means(f'a{k}', 'cells', f'c{k}', 'one')}\n)")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} a USING (r) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)
+"""
+
+
+@query("op13_threshold_clusters", clusters_sql())
+def vector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
