@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from feedops.functions.values import converted_value, holds_text
 from feedops.operators.discovery import latest_per_dir
 from feedops.plans.columns import col
+from feedops.plans.fold import newest_cells, newest_of
 from feedops.plans.keyed import Order, order_struct
 
 # Start of a valid entity identifier.
@@ -39,13 +40,13 @@ def _converted(df: DataFrame, key: str, types: Mapping[str, str], order: Order,
 
 def entity_state(df: DataFrame, key: str, types: Mapping[str, str], order: Order, prefix: str = ENTITY_PREFIX) -> DataFrame:
     """Current values per entity: later rows win, null tokens and unfit cells are
-    skipped, undeclared columns are left out. One shuffle, map-side reduced."""
+    skipped, undeclared columns are left out. One shuffle, reduced before it."""
     declared = _declared(df, key, types)
     rows = _converted(valid_entities(df, key, prefix), key, types, order)
-    newest = [F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__order"))).alias(c) for c in declared]
-    if not newest:
+    if not declared:
         return rows.select(col(key).alias(key)).distinct()
-    return rows.groupBy(col(key).alias(key)).agg(*newest)
+    cells = newest_cells(rows, [key], list(declared), "__order")
+    return cells.groupBy(col(key).alias(key)).agg(*[newest_of(c, "__order").alias(c) for c in declared])
 
 
 def entity_records(
@@ -70,19 +71,20 @@ def entity_history(
     """``id, property, effective_date, file, value``: the last value a property got
     on each date, and the file it came from."""
     declared = list(_declared(df, key, types))
-    rows = _converted(valid_entities(df, key, prefix), key, types, order, [file_col, date_col])
-    # one wide row per id and date first: fewer rows to sort than one per property
+    rows = _converted(valid_entities(df, key, prefix), key, types, [*order, file_col], [file_col, date_col])
+    # one wide row per id and date: fewer rows to sort than one per property
     last = [
         F.max_by(
             F.struct(col(file_col).alias("file"), col(c).alias("value")),
-            F.when(col(c).isNotNull(), F.struct("__order", col(file_col))),
+            F.when(col(c).isNotNull(), F.col("__order")),
         ).alias(f"__v{i}")
         for i, c in enumerate(declared)
     ]
     if not declared:
         nothing = "id string, property string, effective_date string, file string, value string"
         return df.sparkSession.createDataFrame([], nothing)
-    wide = rows.filter(col(date_col).isNotNull()).groupBy(col(key).alias("id"), col(date_col).alias("effective_date"))
+    cells = newest_cells(rows.filter(col(date_col).isNotNull()), [key, date_col], declared, "__order")
+    wide = cells.groupBy(col(key).alias("id"), col(date_col).alias("effective_date"))
     entry = [
         F.when(F.col(f"__v{i}").isNotNull(), F.struct(F.lit(c).alias("property"), F.col(f"__v{i}").alias("last")))
         for i, c in enumerate(declared)

@@ -10,15 +10,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.functions.values import type_value
 from feedops.plans.columns import col, resolve_key, without
+from feedops.plans.fold import newest_cells, newest_of
 from feedops.plans.keyed import Order, last_per_key, order_struct, valid_keys
 
 __all__ = [
-    "BOOKKEEPING", "RESERVED_WORDS", "attribute_names", "load_report", "load_runs", "merge_newest_columns",
+    "BOOKKEEPING", "RESERVED_WORDS", "attribute_names", "load_report", "load_runs", "measured_seconds", "merge_newest_columns",
     "newest_values", "to_records", "track_keys", "track_keys_by_file", "upsert_preview", "upsert_records",
     "valid_keys", "verify_records",
 ]
@@ -94,12 +95,14 @@ def newest_values(df: DataFrame, key: str, columns: Sequence[str], order: Order,
         return last_per_key(df, key, order, [key, *columns])
     if nulls != "keep":
         raise ValueError(f"unknown null policy {nulls!r}")
-    at = order_struct(order)
-    rows = valid_keys(df, key).withColumn("__at", at)
-    newest = [
-        F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__at"))).alias(c) for c in columns
-    ]
-    return rows.groupBy(col(key).cast("string").alias(key)).agg(*newest)
+    rows = valid_keys(df, key).select(
+        col(key).cast("string").alias("__key"), order_struct(order).alias("__at"), *[col(c).alias(f"__c{i}") for i, c in enumerate(columns)]
+    )
+    cells = [f"__c{i}" for i in range(len(columns))]
+    if not cells:
+        return rows.select(F.col("__key").alias(key)).distinct()
+    newest = newest_cells(rows, ["__key"], cells, "__at").groupBy("__key").agg(*[newest_of(c, "__at").alias(c) for c in cells])
+    return newest.select(F.col("__key").alias(key), *[F.col(c).alias(name) for c, name in zip(cells, columns)])
 
 
 def attribute_names(
@@ -207,18 +210,35 @@ def upsert_preview(
     )
 
 
+def measured_seconds(df: DataFrame, file_col: str = "_file", clock_col: str = "_read_at") -> DataFrame:
+    """``file_path, processing_time_seconds``: how long the rows of each file took to read.
+
+    ``clock_col`` holds the task and the clock of each row as it was read (``sources.csv.with_clock``). A task reads one
+    part of a file after the other, so a part took from the last row of the part before (its own first row, if it is the
+    task's first) to its last row; the parts of a file add up. No time is below the clock's step of a nanosecond.
+    """
+    task, at = F.col(f"{clock_col}.task"), F.col(f"{clock_col}.nanos")
+    parts = df.groupBy(col(file_col).alias("file_path"), task.alias("task")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("task").orderBy("first"))
+    spent = parts.withColumn("spent", F.col("last") - F.least(F.coalesce(before, F.col("first")), F.col("first")))
+    return spent.groupBy("file_path").agg((F.greatest(F.sum("spent"), F.lit(1)) / 1e9).alias("processing_time_seconds"))
+
+
 def load_runs(
     df: DataFrame, file_col: str = "_file", bad_row: Column | None = None, files: DataFrame | None = None,
-    seconds: DataFrame | None = None,
+    seconds: DataFrame | None = None, clock_col: str = "_read_at",
 ) -> DataFrame:
     """``file_path, status, rows_processed, error_message, processing_time_seconds``
     of the files behind ``df``.
 
     A file with rows that satisfy ``bad_row`` has status ``error``. ``files``, an
     inventory (``path``, perhaps ``error``), adds the files without rows and fails
-    those with an error. ``seconds`` (``file_path, processing_time_seconds``) holds
-    measured times; Spark reads files side by side, so there are none by itself.
+    those with an error. Times are measured where ``df`` has ``clock_col``
+    (``read_feed(clock=True)``); ``seconds`` (``file_path, processing_time_seconds``)
+    holds times of the caller's own.
     """
+    if seconds is None and clock_col in df.columns:
+        seconds = measured_seconds(df, file_col, clock_col)
     bad = F.count_if(bad_row if bad_row is not None else F.lit(False))
     runs = df.groupBy(col(file_col).alias("file_path")).agg(F.count("*").alias("__all"), bad.alias("__bad"))
     if files is not None:

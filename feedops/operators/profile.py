@@ -251,8 +251,8 @@ def extract_metadata(
     inv = logical_inventory(file_inventory(spark, root, suffixes), root)
     paths = [r["path"] for r in inv.select("path").toLocalIterator()]
     parts = []
-    for (names, used), group in (headers_by_path(spark, paths, sep, quote) if paths else {}).items():
-        rows = with_row_order(with_file(_read(spark, group, names, used, quote, False)))
+    for (names, *used), group in (headers_by_path(spark, paths, sep, quote) if paths else {}).items():
+        rows = with_row_order(with_file(_read(spark, group, names, *used)))
         parts.append(file_metadata(rows, names, sample=sample))
     found = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], nothing))
     sized = inv.join(found, "path", "left")

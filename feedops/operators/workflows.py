@@ -19,7 +19,7 @@ from feedops.sources.inventory import file_inventory, logical_inventory
 
 SUFFIXES = (".csv", ".csv.gz")
 # Columns that reading adds to a feed.
-ADDED = ["_file", "_source_date", "_row"]
+ADDED = ["_file", "_source_date", "_row", "_read_at"]
 
 
 def feeds_under(spark: SparkSession, root: str, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
@@ -62,7 +62,7 @@ def load_latest(
     Returns the next ``records``, the ``runs`` per file and the tracked ``keys``.
     """
     newest = latest_per_dir(filter_dirs(feeds_under(spark, root), include, exclude, mode="leaf"))
-    rows = read_feed(spark, newest, row_order=True)
+    rows = read_feed(spark, newest, row_order=True, clock=True)
     key = resolve_key(rows, key)
     options["exclude"] = [*options.get("exclude", BOOKKEEPING), *ADDED]
     return {

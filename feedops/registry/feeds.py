@@ -18,6 +18,7 @@ from feedops.registry.inputs import (
     document_files,
     feed_tree,
     order_feeds,
+    raw_files,
     raw_lines,
     snapshots,
     text_orders,
@@ -26,7 +27,7 @@ from feedops.session import durable, scratch_path
 from feedops.sinks import write_change_log, write_csv, write_json
 from feedops.sources import csv as src
 from feedops.sources.documents import read_change_log, read_meta_json
-from feedops.sources.inventory import require_nonempty
+from feedops.sources.inventory import file_inventory, require_nonempty
 from feedops.sources.staging import preview, stage, staged_tables
 
 REGISTRY = Registry()
@@ -69,6 +70,52 @@ def r1_multiline(spark, d):
     return src.read_text_csv(spark, path, multi_line=True)
 
 
+@add("r1_inch_marks", """
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_size || '" ' || p_name AS a, p_brand || '"' AS b,
+       CASE WHEN p_size % 7 = 0 THEN p_type || ' "x"' END AS column_4
+FROM part""")
+def r1_inch_marks(spark, d):
+    path = scratch_path(spark, "inches")
+    more = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit(","), "p_type", F.lit(' "x"'))).otherwise("")
+    cells = [F.col("p_partkey").cast("string"), F.concat("p_size", F.lit('" '), "p_name"), F.concat("p_brand", F.lit('"'))]
+    raw_lines(table(spark, d, "part").select(F.concat(F.concat_ws(",", *cells), more)), "id,a,b", path)
+    return src.read_text_csv(spark, path)
+
+
+def spanning(spark, d) -> str:
+    """``conversations`` with the role and the text on two lines of one quoted cell; every third turn has a cell more."""
+    path = scratch_path(spark, "spanning")
+    text = F.concat(F.lit('"'), "role", F.lit('\n'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    more = F.when(F.col("turn") % 3 == 2, F.concat(F.lit(',5" '), "role")).otherwise("")
+    lines = table(spark, d, "conversations").select(
+        F.pmod(F.xxhash64("conv_id"), F.lit(8)).alias("part"), F.concat(F.concat_ws(",", "conv_id", "turn", text), more).alias("value")
+    )
+    raw_files(lines, spark.range(8).select(F.col("id").alias("part"), F.lit("conv_id,turn,text").alias("value")), path)
+    return path
+
+
+@add("r1_wide_rows_beside_line_breaks", """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role || chr(10) || text AS text,
+       CASE WHEN turn % 3 = 2 THEN '5" ' || role END AS column_4
+FROM conversations""")
+def r1_spanning(spark, d):
+    return src.read_text_csv(spark, spanning(spark, d), multi_line=True)
+
+
+@add("r1_misfits_beside_line_breaks", """
+SELECT count(*) AS "rows", count(*) FILTER (WHERE turn % 3 = 2) AS long_rows, 0 AS short_rows FROM conversations""")
+def r1_spanning_misfits(spark, d):
+    found = src.misfits(spark, spanning(spark, d), multi_line=True)
+    return found.agg(*[F.sum(c).alias(c) for c in ("rows", "long_rows", "short_rows")])
+
+
+@add("r1_quarantined_rows", """
+SELECT 4 AS cells, 3 AS width, conv_id || ',' || turn || ',"' || role || chr(10) || replace(text, '"', '""') || '",5" ' || role AS line
+FROM conversations WHERE turn % 3 = 2""")
+def r1_quarantine(spark, d):
+    return src.quarantine(spark, spanning(spark, d), multi_line=True).select("cells", "width", "line")
+
+
 @add("r2_read_inferred_csv", """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate
 FROM lineitem""")
@@ -148,6 +195,16 @@ def r7(spark, d):
     return src.read_text_csv(spark, path, sep="auto")
 
 
+@add("r7_sniffed_quote", f"""
+WITH {TEXT_ORDERS} SELECT * REPLACE (replace(o_orderpriority, '-', ';') || ' it''s' AS o_orderpriority) FROM text_orders""")
+def r7_quote(spark, d):
+    path = scratch_path(spark, "apostrophes")
+    marked = F.concat(F.replace("o_orderpriority", F.lit("-"), F.lit(";")), F.lit(" it's"))
+    rows = text_orders(spark, d).withColumn("o_orderpriority", marked)
+    rows.write.option("header", True).option("sep", ";").option("quote", "'").option("escape", "'").csv(path)
+    return src.read_text_csv(spark, path, sep="auto", quote="auto")
+
+
 @add("r9_read_change_log", f"WITH {CELLS} SELECT key, \"column\", previous_value, current_value FROM changed")
 def r9(spark, d):
     path = scratch_path(spark, "changes")
@@ -239,3 +296,20 @@ SELECT path, size > 0 AS ok, CASE WHEN size <= 0 THEN 'no bytes in ' || path END
 def r14(spark, d):
     inv = document_files(spark, d).withColumn("size", F.greatest(F.col("size") - 100, F.lit(0)))
     return require_nonempty(inv).select("path", "ok", "error")
+
+
+@add("r14_require_rows", f"""
+WITH {ORDER_FEEDS}, f AS (
+  SELECT feed AS name, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n FROM feeds GROUP BY feed UNION ALL SELECT 'blank', -1)
+SELECT name, greatest(n, 0) AS row_count, n > 0 AS ok, CASE n WHEN -1 THEN 'no header line' WHEN 0 THEN 'no rows' END AS problem FROM f""")
+def r14_rows(spark, d):
+    """One file per feed, that of status P with its header only, and one of blank lines."""
+    path, feeds = scratch_path(spark, "checked"), order_feeds(spark, d)
+    lines = feeds.filter(F.col("o_orderstatus") != "P").select(F.col("feed").alias("part"), F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"))
+    heads = feeds.select("feed").distinct().select(F.col("feed").alias("part"), F.lit("o_orderkey,o_custkey").alias("value"))
+    blank = spark.createDataFrame([("blank", "  ")], "part string, value string")
+    raw_files(lines, heads.union(blank), path)
+    found = src.require_rows(spark, file_inventory(spark, path, suffixes=()))
+    return found.select(
+        F.regexp_extract("directory", "part=(.*)", 1).alias("name"), "row_count", "ok", F.regexp_extract("error", "^(.*) in ", 1).alias("problem")
+    )

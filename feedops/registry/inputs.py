@@ -168,3 +168,9 @@ def raw_lines(df: DataFrame, header: str, path: str) -> None:
     """Writes ready-made lines (one column) under a header line of any shape."""
     named = df.toDF(header)
     named.write.option("header", True).option("sep", "\x01").option("quote", "\x00").option("escape", "\x00").csv(path)
+
+
+def raw_files(lines: DataFrame, heads: DataFrame, path: str) -> None:
+    """Writes ready-made lines (``part, value``), which may hold line breaks, as one text file per part below its head."""
+    both = heads.select("part", F.lit(0).alias("order"), "value").union(lines.select("part", F.lit(1), "value"))
+    both.repartition("part").sortWithinPartitions("part", "order").select("part", "value").write.partitionBy("part").text(path)

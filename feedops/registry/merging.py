@@ -12,10 +12,12 @@ from feedops.registry.inputs import (
     ORDER_FEEDS,
     RAW_CELLS,
     TEXT_ORDERS,
+    feed_tree,
     order_feeds,
     raw_cells,
     text_orders,
 )
+from feedops.sources.csv import read_feed
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -206,6 +208,16 @@ def m10_runs(spark, d):
     return runs.drop("processing_time_seconds")
 
 
+@add("m10_measured_runs", f"""
+WITH {ORDER_FEEDS}
+SELECT 'file=' || file AS name, 'success' AS status, count(*) AS rows_processed, TRUE AS timed FROM feeds GROUP BY feed, file""")
+def m10_measured(spark, d):
+    """Every file of the feeds read, with the time that took."""
+    runs = op.load_runs(read_feed(spark, feed_tree(spark, d), clock=True))
+    name = F.element_at(F.split("file_path", "/"), -1).alias("name")
+    return runs.select(name, "status", "rows_processed", (F.col("processing_time_seconds") > 0).alias("timed"))
+
+
 @add("m10_load_report_of_runs", f"""
 WITH {ORDER_FEEDS},
 runs AS (SELECT file, count(*) AS "all", count(*) FILTER (WHERE o_orderpriority = '{NO_PRIORITY}' AND CAST(o_orderkey AS BIGINT) % 1000 = 1) AS bad FROM feeds GROUP BY file)

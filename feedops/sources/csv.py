@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import re
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
@@ -15,12 +13,15 @@ from pyspark.sql import types as T
 from feedops.functions.values import name_date_text
 from feedops.plans.columns import col
 from feedops.plans.ranked import numbered
-from feedops.sources.inventory import base_name, decoded, logical_path
+from feedops.session import durable
+from feedops.sources.inventory import base_name, decoded, logical_path, require_nonempty
+from feedops.sources.records import cell_value, cells, lines, records, split_record, well_quoted
 
 # A text no feed holds: with it as the null text, an empty cell is NULL and a
 # quoted empty cell ("") is empty text.
 UNSEEN = "\x00"
 SEPARATORS = [",", ";", "\t", "|"]
+QUOTES = ['"', "'"]
 
 
 def dedupe_header(names: Sequence[str]) -> list[str]:
@@ -55,79 +56,103 @@ def head_lines(spark: SparkSession, path: str, n: int = 6) -> list[str]:
     return [r[0] for r in spark.read.option("recursiveFileLookup", True).text(path).limit(n).collect()]
 
 
-def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """``path, at, line`` of all files behind ``paths``, blank lines left out; ``at`` orders the lines of a file."""
-    lines = spark.read.option("recursiveFileLookup", True).text(list(paths))
-    return lines.select(
-        decoded(F.col("_metadata.file_path")).alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
-        F.col("value").alias("line"),
-    ).filter(F.trim("line") != "")
-
-
-def _cells(line: Column, sep: str, quote: str) -> Column:
-    """Number of cells of a line; separators inside quotes do not count."""
-    q = re.escape(quote)
-    return F.size(F.split(F.regexp_replace(line, f"{q}[^{q}]*{q}", ""), re.escape(sep), -1))
+def _rows(spark: SparkSession, paths: Sequence[str], sep: str, quote: str, multi_line: bool) -> DataFrame:
+    """``path, at, line``: the lines of all files, or the records where cells may span lines."""
+    return records(spark, paths, sep, quote) if multi_line else lines(spark, paths)
 
 
 def headers_by_path(
-    spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', widths: bool = True
-) -> dict[tuple[tuple[str, ...], str], list[str]]:
-    """The files behind ``paths`` (files, folders, globs) grouped by (header, separator).
-
-    One job over all files gives the first line and the widest row of each, so no
-    row has a cell without a name and no file is read by the header of another.
-    ``sep="auto"`` takes the separator that cuts most lines of a file as its
-    header. Files without a line are left out. The driver holds one line per file.
-    ``widths`` off (cells may span lines): the header alone names the columns.
+    spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', rows: DataFrame | None = None
+) -> dict[tuple[tuple[str, ...], str, str], list[str]]:
+    """The files behind ``paths`` (files, folders, globs) grouped by (header, separator, quote).
+
+    One job over all files gives the first line and the widest row of each, so no row has a cell without a name and no
+    file is read by the header of another. With ``"auto"`` the separator and the quote of a file are those whose cells fit
+    it best: rows as wide as the header, all of one width, more quoted cells that end where a cell ends. Files without a
+    line are left out. The driver holds one line per file. ``rows`` (``path, at, line``) stands in for the lines.
     """
-    candidates = SEPARATORS if sep == "auto" else [sep]
-    lines = _lines(spark, paths)
-    found = lines.groupBy("path").agg(
-        F.min_by("line", "at").alias("head"),
-        *[F.max(_cells(F.col("line"), s, quote)).alias(f"most{i}") for i, s in enumerate(candidates)],
-        *[F.mode(_cells(F.col("line"), s, quote)).alias(f"mode{i}") for i, s in enumerate(candidates) if len(candidates) > 1],
-    )
-    groups: dict[tuple[tuple[str, ...], str], list[str]] = defaultdict(list)
-    for row in sorted(found.toLocalIterator(), key=lambda r: r["path"]):
-        best = 0
-        if len(candidates) > 1:
-            size = [len(next(csv.reader([row["head"]], delimiter=s, quotechar=quote))) for s in candidates]
-            best = max(range(len(candidates)), key=lambda i: (size[i] > 1 and size[i] == row[f"mode{i}"], size[i], -i))
-        cells = next(csv.reader([row["head"]], delimiter=candidates[best], quotechar=quote))
-        names = extend_header(cells, [[""] * row[f"most{best}"]] if widths else [])
-        groups[tuple(dedupe_header(names)), candidates[best]].append(row["path"])
+    candidates = [(s, q) for s in (SEPARATORS if sep == "auto" else [sep]) for q in (QUOTES if quote == "auto" else [quote])]
+    choose = len(candidates) > 1
+    found, facts = rows if rows is not None else lines(spark, paths), []
+    for i, (s, q) in enumerate(candidates):
+        width = F.size(cells(F.col("line"), s, q))
+        facts.append(F.max(width).alias(f"most{i}"))
+        if choose:
+            facts += [
+                F.min_by(width, "at").alias(f"head{i}"), F.mode(width).alias(f"mode{i}"), F.var_pop(width).alias(f"spread{i}"),
+                F.count_if(well_quoted(F.col("line"), s, q)).alias(f"quoted{i}"),
+            ]
+    heads = found.groupBy("path").agg(F.min_by("line", "at").alias("head"), *facts)
+    groups: dict[tuple[tuple[str, ...], str, str], list[str]] = defaultdict(list)
+    for row in sorted(heads.toLocalIterator(), key=lambda r: r["path"]):
+        def fit(i: int) -> tuple:
+            wide = row[f"head{i}"]
+            return wide > 1 and wide == row[f"mode{i}"], -row[f"spread{i}"], row[f"quoted{i}"], wide, -i
+
+        best = max(range(len(candidates)), key=fit) if choose else 0
+        used = candidates[best]
+        names = extend_header(split_record(row["head"].rstrip("\r"), *used), [[""] * row[f"most{best}"]])
+        groups[(tuple(dedupe_header(names)), *used)].append(row["path"])
     return dict(groups)
 
 
-def misfits(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"') -> DataFrame:
+def _judged(spark: SparkSession, paths: Sequence[str], sep: str, quote: str, multi_line: bool) -> DataFrame:
+    """Rows below the header (``path, at, line, cells``) with the ``width`` of the header of their file."""
+    found = _rows(spark, paths, sep, quote, multi_line).withColumn("cells", F.size(cells(F.col("line"), sep, quote)))
+    head = found.groupBy("path").agg(F.min("at").alias("first"), F.min_by("cells", "at").alias("width"))
+    return found.join(head, "path", "right").withColumn("below", F.col("at") != F.col("first"))
+
+
+def misfits(
+    spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"', multi_line: bool = False
+) -> DataFrame:
     """``path, rows, short_rows, long_rows``: rows with fewer or more cells than the header of their file."""
-    lines = _lines(spark, [paths] if isinstance(paths, str) else paths).withColumn("cells", _cells(F.col("line"), sep, quote))
-    head = lines.groupBy("path").agg(F.min("at").alias("first"), F.min_by("cells", "at").alias("width"))
-    rows = lines.join(head, "path").filter(F.col("at") != F.col("first"))
-    counted = rows.groupBy("path").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("cells") < F.col("width")).alias("short_rows"),
-        F.count_if(F.col("cells") > F.col("width")).alias("long_rows"),
+    rows = _judged(spark, [paths] if isinstance(paths, str) else paths, sep, quote, multi_line)
+    return rows.groupBy("path").agg(
+        F.count_if("below").alias("rows"), F.count_if(F.col("below") & (F.col("cells") < F.col("width"))).alias("short_rows"),
+        F.count_if(F.col("below") & (F.col("cells") > F.col("width"))).alias("long_rows"),
     )
-    return head.select("path").join(counted, "path", "left").na.fill(0)
 
 
-def _grouped(spark: SparkSession, paths: Sequence[str], sep: str, quote: str, widths: bool = True):
+def quarantine(
+    spark: SparkSession, paths: str | Sequence[str], sep: str = ",", quote: str = '"', multi_line: bool = False
+) -> DataFrame:
+    """``path, at, cells, width, line``: the rows that ``misfits`` counts, as they stand in their file."""
+    rows = _judged(spark, [paths] if isinstance(paths, str) else paths, sep, quote, multi_line)
+    return rows.filter(F.col("below") & (F.col("cells") != F.col("width"))).select("path", "at", "cells", "width", "line")
+
+
+def _grouped(spark: SparkSession, paths: Sequence[str], sep: str, quote: str, rows: DataFrame | None = None):
     if not paths:
         raise ValueError("no files to read")
-    groups = headers_by_path(spark, paths, sep, quote, widths)
+    groups = headers_by_path(spark, paths, sep, quote, rows)
     if not groups:
         raise ValueError(f"no header line in {', '.join(paths)}")
     return groups.items()
 
 
-def _read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], sep: str, quote: str, multi_line: bool):
+def _from_records(spark: SparkSession, paths: Sequence[str], sep: str, quote: str) -> list[DataFrame]:
+    """One frame per distinct header of files whose cells may span lines, with ``__path`` and ``__at``."""
+    if "auto" in (sep, quote):
+        raise ValueError("cells that span lines need a known separator and quote")
+    rows = durable(records(spark, paths, sep, quote))
+    found = _grouped(spark, paths, sep, quote, rows)
+    first = rows.groupBy("path").agg(F.min("at").alias("first"))
+    known = spark.createDataFrame([(p, g) for g, (_, files) in enumerate(found) for p in files], "path string, header int")
+    below = rows.join(first.join(known, "path"), "path").filter(F.col("at") != F.col("first"))
+    out = []
+    for g, ((names, *_), _files) in enumerate(found):
+        own = below.filter(F.col("header") == g).select(F.col("path").alias("__path"), F.col("at").alias("__at"), cells(F.col("line"), sep, quote).alias("__cells"))
+        out.append(own.select("__path", "__at", *[cell_value(F.get("__cells", F.lit(i)), quote).alias(n) for i, n in enumerate(names)]))
+    return out
+
+
+def _read(spark: SparkSession, paths: Sequence[str], names: Sequence[str], sep: str, quote: str):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return (
         spark.read.schema(schema)
         .option("header", True).option("sep", sep).option("quote", quote).option("escape", quote)
-        .option("nullValue", UNSEEN).option("multiLine", multi_line)
+        .option("nullValue", UNSEEN)
         .csv(list(paths))
     )
 
@@ -140,13 +165,15 @@ def read_text_csv(
 
     ``paths`` may hold globs and folders. Every file is read by its own header:
     one scan per distinct header, and the columns a file lacks are NULL. Cells
-    beyond the header are columns of their own.
+    beyond the header are columns of their own. ``sep`` and ``quote`` may be
+    ``"auto"``. ``multi_line``: quoted cells may span lines; the records are put
+    together and written first (see ``sources.records``).
     """
     listed = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
-    frames = [
-        _read(spark, group, names, used, quote, multi_line)
-        for (names, used), group in _grouped(spark, listed, sep, quote, not multi_line)
-    ]
+    if multi_line:
+        frames = [f.drop("__path", "__at") for f in _from_records(spark, listed, sep, quote)]
+    else:
+        frames = [_read(spark, group, names, *used) for (names, *used), group in _grouped(spark, listed, sep, quote)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -181,28 +208,59 @@ def with_row_order(df: DataFrame, out: str = "_row") -> DataFrame:
     )
 
 
+def with_clock(df: DataFrame, out: str = "_read_at") -> DataFrame:
+    """Adds when a row was read: the task and its clock in nanoseconds. For frames that still stand at their scan."""
+    clock = F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("bigint")
+    return df.withColumn(out, F.struct(F.spark_partition_id().alias("task"), clock.alias("nanos")))
+
+
 def read_feed(
     spark: SparkSession, files: str | Sequence[str] | DataFrame, sep: str = ",", quote: str = '"', spread: bool = True,
-    row_order: bool = False,
+    row_order: bool = False, clock: bool = False, multi_line: bool = False,
 ) -> DataFrame:
     """Text feed with ``_file`` and ``_source_date`` (the date in the file name).
 
     ``files``: paths, or an inventory. ``row_order`` adds ``_row``, which orders the
-    rows of a file. A gz file is read by one task, so its rows are spread before
-    further work.
+    rows of a file; ``clock`` adds ``_read_at`` for measured load runs. A gz file is
+    read by one task, so its rows are spread before further work.
     """
     if isinstance(files, DataFrame):
         files = [r["path"] for r in files.select("path").toLocalIterator()]
     listed = [files] if isinstance(files, str) else list(dict.fromkeys(files))
     frames = []
-    for (names, used), group in _grouped(spark, listed, sep, quote):
-        tagged = with_file(_read(spark, group, names, used, quote, False))
-        tagged = with_row_order(tagged) if row_order else tagged
-        frames.append(tagged.withColumn("_source_date", name_date_text(base_name(F.col("_file")))))
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    if multi_line:
+        for tagged in _from_records(spark, listed, sep, quote):
+            tagged = tagged.withColumn("_file", logical_path(F.col("__path")))
+            if row_order:
+                tagged = tagged.withColumn("_row", F.struct(base_name(F.col("__path")).alias("part"), F.col("__at.block"), F.col("__at.line")))
+            frames.append(tagged.drop("__path", "__at"))
+    else:
+        for (names, *used), group in _grouped(spark, listed, sep, quote):
+            tagged = with_file(_read(spark, group, names, *used))
+            frames.append(with_row_order(tagged) if row_order else tagged)
+    frames = [f.withColumn("_source_date", name_date_text(base_name(F.col("_file")))) for f in frames]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [with_clock(f) for f in frames] if clock else frames)
     return out.hint("rebalance") if spread and any(p.rstrip("/").endswith(".gz") for p in listed) else out
 
 
+def require_rows(
+    spark: SparkSession, inv: DataFrame, sep: str = ",", quote: str = '"', multi_line: bool = False
+) -> DataFrame:
+    """Inventory with ``ok``, ``error`` and ``row_count``: a file needs bytes, a header line and a row below it.
+
+    One job over the files counts their rows; a folder of part files is one file, each part with its own header.
+    """
+    checked = require_nonempty(inv).withColumn("__file", logical_path(F.col("path")))
+    paths = [r["path"] for r in inv.filter(F.col("size") > 0).select("path").toLocalIterator()]
+    if not paths:
+        return checked.drop("__file").withColumn("row_count", F.lit(0).cast("bigint"))
+    per_part = _rows(spark, paths, sep, quote, multi_line).groupBy("path").agg((F.count("*") - 1).alias("below"))
+    counted = per_part.groupBy(logical_path(F.col("path")).alias("__file")).agg(F.sum("below").alias("row_count"))
+    problem = F.when(F.col("row_count").isNull(), "no header line in ").when(F.col("row_count") == 0, "no rows in ")
+    found = checked.join(counted, "__file", "left").withColumn("error", F.coalesce("error", F.concat(problem, F.col("path"))))
+    return found.select(*inv.columns, F.col("error").isNull().alias("ok"), "error", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+
+
 def limit_per_file(df: DataFrame, n: int, order_by: Sequence[str], file_col: str = "_file") -> DataFrame:
     """First ``n`` rows of every file, exactly.
 

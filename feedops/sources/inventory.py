@@ -104,7 +104,7 @@ def logical_inventory(inv: DataFrame, root: str = "") -> DataFrame:
 
 
 def require_nonempty(inv: DataFrame) -> DataFrame:
-    """Inventory with ``ok`` and ``error``: a file of no bytes is refused."""
+    """Inventory with ``ok`` and ``error``: a file of no bytes is refused. ``csv.require_rows`` looks inside too."""
     empty = F.col("size") <= 0
     return inv.withColumn("ok", ~empty).withColumn(
         "error", F.when(empty, F.concat(F.lit("no bytes in "), F.col("path")))
