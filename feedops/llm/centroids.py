@@ -9,7 +9,7 @@ Vectors count if they have exactly ``size`` components, none null or non-finite.
 in double precision, held within +-2^27 so that every squared distance fits a long; sums over rows end at the largest long.
 First centroids: the ``k`` vectors with the smallest sha256 of ``1:<vec_id>``; rows that share a vec_id stand in the order of their
 components, and rows without vec_id are never first centroids but are assigned like others. With fewer than ``k`` vectors there are
-fewer centroids, with none there are no rows. Repeated rows are vectors of their own; extra columns are ignored.
+fewer centroids; where no vector has a vec_id there are none and no rows. Repeated rows are vectors of their own; extra columns are ignored.
 
 A round reads the vectors once; only sums by (cluster, dimension) are shuffled, and ``k * size`` numbers reach the driver.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedops.llm.common import keep
@@ -169,9 +169,6 @@ def cluster(vectors: DataFrame, k: int = K, size: int = SIZE, scale: int = SCALE
     by_cluster = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(28,0)")).alias("own"))
     digests = [(c, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids.tolist())]
     totals = by_cluster.join(spark.createDataFrame(digests, "cluster int, centroid_sha256 string"), "cluster").select(
-        "cluster", held(F.col("own")).alias("cluster_inertia"), "centroid_sha256"
-    )
-    whole = by_cluster.agg(held(F.sum("own")).alias("inertia"))
-    return assigned.join(F.broadcast(totals), "cluster").join(F.broadcast(whole)).select(
-        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+        "cluster", held(F.col("own")).alias("cluster_inertia"), held(F.sum("own").over(Window.partitionBy(F.lit(0)))).alias("inertia"), "centroid_sha256"
     )
+    return assigned.join(F.broadcast(totals), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

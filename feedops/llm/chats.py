@@ -9,17 +9,21 @@ turn is a JSON object ``{"tool_call_id", "content"}``. Every other text is a pla
 * Order: a plain message keeps its turn. A call depends on the calls whose results it takes; its level is one more than the highest of theirs
   (found by joins, one round per level). Calls of one turn are ordered by level and place, and a result follows its call. Calls in a circle of
   dependencies, or on an identifier that does not exist, are ``unresolved`` and keep their place.
-* Schemas: {name: {"required": [...], "properties": {argument: JSON type}}}. Other messages, and tools without a schema, have none.
+* Schemas: {name: {"required": [...], "properties": {argument: kind}}}. A kind is a JSON type, a list of types, or a schema of its own with any
+  of ``type``, ``enum``, ``properties``, ``required`` (of an object) and ``items`` (of an array). Other messages, and tools without a schema, have none.
 * One row per message: keys sorted, no spaces, non-ASCII kept, so equal messages have equal bytes. No conversation is ever gathered, so one with a
   third of all turns is only a key that recurs; positions come from range partitions of (conversation, sort keys) and their totals.
 
-Null text is an empty message; JSON that does not parse is plain text. Rows with a null conv_id form a conversation of their own. Repeated rows
+Null text is an empty message; JSON that does not parse, holds NaN or numbers beyond a double, or is nested deeper than ``DEEPEST`` is plain text.
+Half of a surrogate pair is written as its escape, in identifiers too. Rows with a null conv_id form a conversation of their own. Repeated rows
 are messages of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,18 +33,36 @@ from pyspark.sql import functions as F
 from feedops.llm.common import keep
 from feedops.plans.ranked import numbered
 
+#: Levels of nesting in a call or result.
+DEEPEST = 200
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def escaped(text: str) -> str:
+    """Half surrogate pairs, which no text in UTF-8 may hold, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return escaped(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
-def fits(value: object, kind: str) -> bool:
-    """Whether an argument has the JSON type ``kind``; a reference to a result fits any."""
+def fits(value: object, kind: str | list | dict) -> bool:
+    """Whether an argument is of a kind; a reference to a result fits any."""
     if isinstance(value, dict) and set(value) == {"$result"}:
         return True
-    return isinstance(value, KINDS[kind]) and (kind in ("boolean",) or not isinstance(value, bool))
+    if isinstance(kind, list):
+        return any(fits(value, k) for k in kind)
+    if isinstance(kind, str):
+        return isinstance(value, KINDS.get(kind, ())) and (kind == "boolean" or not isinstance(value, bool))
+    if "type" in kind and not fits(value, kind["type"]):
+        return False
+    if "enum" in kind and canonical(value) not in {canonical(e) for e in kind["enum"]}:
+        return False
+    if isinstance(value, dict):
+        known = kind.get("properties", {})
+        return all(k in value for k in kind.get("required", [])) and all(fits(v, known[k]) for k, v in value.items() if k in known)
+    return not isinstance(value, list) or "items" not in kind or all(fits(v, kind["items"]) for v in value)
 
 
 def valid(arguments: object, schema: dict | None) -> bool | None:
@@ -56,7 +78,7 @@ def needs(arguments: object) -> list[str]:
     """Identifiers of the results that arguments refer to."""
     if isinstance(arguments, dict):
         if set(arguments) == {"$result"} and isinstance(arguments["$result"], str):
-            return [arguments["$result"]]
+            return [escaped(arguments["$result"])]
         return sorted({n for v in arguments.values() for n in needs(v)})
     return sorted({n for v in arguments for n in needs(v)}) if isinstance(arguments, list) else []
 
@@ -64,14 +86,33 @@ def needs(arguments: object) -> list[str]:
 MESSAGES = "conv_id long, turn long, place int, kind string, id string, valid boolean, needs array<string>, body string"
 
 
+def _number(digits: str) -> float:
+    found = float(digits)
+    if math.isinf(found):
+        raise ValueError(f"{digits} is beyond a double")
+    return found
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _depth(value: object) -> int:
+    levels, inside = 0, [value]
+    while inside:
+        levels += 1
+        inside = [v for x in inside if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]
+    return levels
+
+
 def _object(text: str) -> dict | None:
     if not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
+        found = json.loads(text, parse_float=_number, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return None
-    return found if isinstance(found, dict) else None
+    return found if isinstance(found, dict) and _depth(found) <= DEEPEST else None
 
 
 def messages_of(turn: int | None, role: str | None, text: str | None, schemas: dict) -> list[tuple]:
@@ -79,7 +120,7 @@ def messages_of(turn: int | None, role: str | None, text: str | None, schemas: d
     text = text or ""
     found = _object(text) if role in ("assistant", "tool") else None
     if found and role == "tool" and isinstance(found.get("tool_call_id"), str):
-        return [(0, "result", found["tool_call_id"], None, [], canonical({"role": "tool", "tool_call_id": found["tool_call_id"], "content": found.get("content")}))]
+        return [(0, "result", escaped(found["tool_call_id"]), None, [], canonical({"role": "tool", "tool_call_id": found["tool_call_id"], "content": found.get("content")}))]
     calls = found.get("tool_calls") if found and role == "assistant" else None
     if isinstance(calls, list) and calls and all(isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str) for c in calls):
         rows = []
@@ -88,7 +129,7 @@ def messages_of(turn: int | None, role: str | None, text: str | None, schemas: d
         for place, call in enumerate(calls, 1):
             arguments = call.get("arguments", {})
             body = canonical({"role": "assistant", "tool_call": {"id": call["id"], "name": call["name"], "arguments": arguments}})
-            rows.append((place, "call", call["id"], valid(arguments, schemas.get(call["name"])), needs(arguments), body))
+            rows.append((place, "call", escaped(call["id"]), valid(arguments, schemas.get(call["name"])), needs(arguments), body))
         return rows
     return [(0, "message", None, None, [], canonical({"role": role, "content": text}))]
 

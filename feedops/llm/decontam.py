@@ -7,7 +7,7 @@ word by word. If the test set is larger than ``SLICE_BYTES`` it is taken in slic
 broadcast never grows with the test set; the hit words of the passes are united per document.
 
 Null or empty texts have no words and are clean. Null item texts and items without words have no windows; an item id may
-stand in several rows. Ties and repeated rows are judged row by row; extra columns stay out of the report.
+stand in several rows. Rows without an item id are one item together: their windows hit and count, their hash part is none. Ties and repeated rows are judged row by row; extra columns stay out of the report.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Windows:
     """The windows of some items, by length: sorted hashes, the numbers of their words, the items they stand in."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
         self.number: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], list[str]]] = {}
         for item, words in items:
@@ -100,7 +100,7 @@ def _slices(benchmark: DataFrame, size: int, limit: int) -> Iterator[Windows]:
     held, room = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         words = words_of(row.t.encode("utf-8", "surrogatepass") if row.t is not None else None)
-        if row.i is None or not words:
+        if not words:
             continue
         step = max(size, limit // 64)
         for at in range(0, max(1, len(words) - size + 1), step):
@@ -114,7 +114,7 @@ def _slices(benchmark: DataFrame, size: int, limit: int) -> Iterator[Windows]:
 
 
 def _report(words: int, hit: np.ndarray, items: set[str]) -> tuple:
-    return words, int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return words, int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
 
 
 def _judged(texts: pa.Array, slices: list) -> list[tuple[np.ndarray, set[str]]]:

@@ -371,9 +371,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sam
         return Model(None, np.array([math.log(share / (1 - share)), 0, 0, 0]))
     lexicon = lexicon_of(rows, sizes[1], sizes[0])
     learn_misspellings(lexicon, rows, sizes[1], sizes[0])
-    got = rows.select("text", "toxic").mapInArrow(_featured(lexicon), "toxic int, x array<double>").orderBy("toxic", "x").toArrow()
-    y = got.column("toxic").to_numpy().astype(np.float64)
-    x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, 3)
+    got = rows.select("text", "toxic").mapInArrow(_featured(lexicon), "toxic int, x array<double>").toArrow()
+    # sums of floats depend on their order, so the rows of the sample get one
+    sample_rows = sorted(zip(got.column("toxic").to_pylist(), got.column("x").to_pylist()))
+    y = np.array([r[0] for r in sample_rows], np.float64)
+    x = np.array([r[1] for r in sample_rows], np.float64).reshape(-1, 3)
     each = {k: totals[k] / sizes[k] for k in (0, 1)}
     return Model(lexicon, fit(x, y, np.where(y > 0, each[1], each[0])))
 

@@ -57,3 +57,27 @@ def test_odd_rows(spark):
 def test_levels_of_a_chain(spark):
     chain = spark.createDataFrame([("k", str(i), [str(i - 1)] if i else []) for i in range(7)], "conv string, id string, needs array<string>")
     assert {r.id: r.level for r in chats.levels(chain).collect()} == {str(i): i for i in range(7)}
+
+
+def test_half_surrogates_are_escaped(spark):
+    rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"a\\ud800","name":"say","arguments":{"text":"x\\udc00 \\ud83d\\ude00"}}]}'), (1, 1, "tool", '{"tool_call_id":"a\\ud800","content":"\\ud800"}')]
+    got = run(spark, rows)
+    assert [(r[3], r[4], r[5], r[7]) for r in got] == [("call", "a\\ud800", "linked", "valid"), ("result", "a\\ud800", "linked", "none")]
+    assert got[0][8] == '{"role":"assistant","tool_call":{"arguments":{"text":"x\\udc00 \U0001f600"},"id":"a\\ud800","name":"say"}}'
+    assert all(json.loads(r[8]) for r in got)
+
+
+def test_what_is_no_json_stays_plain(spark):
+    deep = lambda n: '{"tool_calls":[{"id":"d","name":"other","arguments":' + "[" * n + "]" * n + "}]}"
+    texts = [deep(100), deep(1500), deep(100_000), calls(("n", "add", {"a": float("nan"), "b": 1})), '{"tool_call_id":"n","content":1e999}', '{"tool_call_id":"n","content":' + "9" * 6000 + "}"]
+    got = run(spark, [(1, i, "tool" if '"tool_call_id"' in t else "assistant", t) for i, t in enumerate(texts)])
+    assert [r[3] for r in got] == ["call"] + ["message"] * 5
+    assert all(json.loads(r[8])["content"] == t for r, t in list(zip(got, texts))[1:])
+
+
+def test_kinds():
+    place = {"type": "object", "required": ["x"], "properties": {"x": "integer", "tags": {"type": "array", "items": {"enum": ["a", 1]}}}}
+    schema = {"properties": {"n": ["integer", "null"], "p": place, "e": {"enum": ["on", None]}, "u": "unheard-of"}}
+    good = [{"n": None}, {"n": 3}, {"p": {"x": 1, "more": True}}, {"p": {"x": 1, "tags": ["a", 1, 1]}}, {"e": None}, {"p": {"x": {"$result": "c"}}}, {}]
+    bad = [{"n": "3"}, {"n": True}, {"p": {}}, {"p": {"x": "1"}}, {"p": {"x": 1, "tags": ["b"]}}, {"p": {"x": 1, "tags": [True]}}, {"e": "off"}, {"u": 1}, {"z": 1}]
+    assert all(chats.valid(a, schema) for a in good) and not any(chats.valid(a, schema) for a in bad)

@@ -55,3 +55,14 @@ def test_empty_tables(spark):
     docs, items = frames(spark)
     assert decontam.scan(docs.limit(0), items).collect() == []
     assert not any(r.contaminated for r in decontam.scan(docs, items.limit(0)).collect())
+
+
+def test_items_without_an_id_hit_and_count_once(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    other = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {words} b"), (2, f"{words} {other}"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words), (None, other), ("q", other)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.scan(docs, items).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (12, 1, digest(""), True), 2: (24, 2, digest("q"), True), 3: (0, 0, digest(""), False)}
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]

@@ -1,9 +1,11 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
 import tiktoken
-from helpers import groups, plain_fingerprint, plain_hits
+from helpers import plain_hits
+from test_shingles import plain_components
 
 import corpus_pipeline
 from feedops.llm import bpe, langid, pii
@@ -12,11 +14,10 @@ from feedops.llm import bpe, langid, pii
 def test_run_equals_the_plain_stages(spark, data, documents):
     network = langid.train(documents)
     score = {r.doc_id: r.score for r in langid.predict(documents, network).collect()}
-    rows = sorted((r.doc_id, r.text) for r in documents.collect() if score[r.doc_id] >= corpus_pipeline.LEAST_LANGUAGE)
+    least = corpus_pipeline.least_language(len(network.labels))
+    rows = sorted((r.doc_id, r.text) for r in documents.collect() if score[r.doc_id] >= least)
     assert len(rows) > 0.9 * documents.count()
-    prints = np.array([plain_fingerprint(t) for _, t in rows], np.uint64)
-    near = [(i, int(j) + i + 1) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(prints[i + 1:] ^ prints[i]) <= 4)]
-    first = groups(len(rows), near)
+    first = plain_components([t for _, t in rows], corpus_pipeline.NEAR)
     rows = [r for i, r in enumerate(rows) if first[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     windows = {}
@@ -56,3 +57,21 @@ def test_stages_keep_the_columns(spark, data, documents):
     docs = documents.limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, data).schema.simpleString() == docs.schema.simpleString()
+
+
+def test_language_limit_rejects_noise(spark):
+    """Most noise stays below the limit, and hardly a text of the languages learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    network = langid.train(docs)
+    least = corpus_pipeline.least_language(len(network.labels))
+    rng = random.Random(2)
+    noise = [" ".join("".join(rng.choices("абвгдежзиклмнопрстуфхцчqwxzkjvQXZ0189+/", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(60)]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate([*noise, "1234 !!", ""])], "doc_id long, text string")
+    kept = {r.doc_id for r in langid.keep_known(odd, network, least).collect()}
+    assert len(kept) < len(noise) / 2 and not kept & {60, 61}
+    long = docs.filter("length(text) > 200").select("doc_id", "text")
+    assert langid.keep_known(long, network, least).count() >= 0.998 * long.count()
+
+
+def test_limit_by_number_of_languages():
+    assert [round(corpus_pipeline.least_language(k), 3) for k in (0, 1, 2, 4)] == [0.0, 0.0, 0.65, 0.475]
