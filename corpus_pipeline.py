@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 from feedops.llm import bpe, decontam, langid, pii, shingles, simhash
 from feedops.llm.common import keep
 
-#: A document whose best language has less than this mean probability is in none of the languages learned.
-LEAST_LANGUAGE = 0.3
+#: A document whose best language has a mean probability not this part of the way from chance to certainty is in none of the languages learned.
+ABOVE_CHANCE = 0.3
 #: Near copies share this part of their shingles of so many words (Jaccard similarity).
 NEAR, NEAR_WORDS = 0.8, 5
 KEY = b"a key of the corpus"
 
 
+def least_language(languages: int) -> float:
+    """The mean probability that the best of so many languages must have; a single one tells nothing apart."""
+    return 1 / languages + ABOVE_CHANCE * (1 - 1 / languages) if languages > 1 else 0.0
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; those without letters or below ``LEAST_LANGUAGE`` go."""
-    return langid.keep_known(docs, langid.train(docs), LEAST_LANGUAGE)
+    """Documents in a language that the network knows; those without letters or below ``least_language`` go."""
+    network = langid.train(docs)
+    return langid.keep_known(docs, network, least_language(len(network.labels) if network else 0))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
