@@ -18,13 +18,16 @@ from feedops.plans.columns import DEFAULT_IGNORE, check_same_header, col, compar
 from feedops.plans.keyed import UNIQUE, Order, last_per_key, one_per_key
 
 __all__ = [
-    "ALTERNATIVE_IDS", "DEFAULT_IGNORE", "UNIQUE", "annotate_changes", "cell_changes", "change_documents", "changed_columns",
+    "ALTERNATIVE_IDS", "DEFAULT_IGNORE", "UNIQUE", "annotate_changes", "annotated_delta", "cell_changes", "change_documents", "changed_columns",
     "classify", "delta_rows", "diff_stats", "last_per_key", "match_ids", "split_changes",
 ]
 
 # Identifier columns tried in this order when a change log is matched to rows.
 ALTERNATIVE_IDS = ["ID_BB_GLOBAL", "ID_BB_SECURITY", "ID_BB_YELLOWKEY", "ID_BB_UNIQUE"]
 
+# Identifiers that are looked up by a broadcast take at most so many bytes.
+SOUGHT_BYTES = 64_000_000
+
 
 def _prepared(
     prev: DataFrame, curr: DataFrame, key: str, columns: Sequence[str] | None, ignore: Sequence[str],
@@ -290,31 +293,64 @@ def annotate_changes(delta: DataFrame, cells: DataFrame, key: str, columns: Sequ
     return joined.select(col(key), *[cell(c) for c in columns if c != key])
 
 
+def annotated_delta(
+    prev: DataFrame,
+    curr: DataFrame,
+    key: str,
+    order: Order | None = None,
+    ignore: Sequence[str] = (),
+    nulls: str = "ignore",
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """``annotate_changes`` of the delta of two snapshots, from the one join that finds it.
+
+    ``columns`` names the changed columns; left out, one more pass over the join flags them (the driver sees one row of flags).
+    """
+    prev, curr, compared = _prepared(prev, curr, key, None, ignore, False)
+    both = _side(curr, key, order, compared, "__c").join(_side(prev, key, order, compared, "__p"), key, "left")
+    had = F.col("__p").isNotNull()
+    tests = [had & t for t in _differs(prev, curr, compared, nulls)]
+    if columns is None:
+        flags = both.agg(F.count("*"), *[F.max(t) for t in tests]).collect()[0][1:]
+        columns = [c for c in curr.columns if c in compared and flags[compared.index(c)]]
+
+    def cell(c: str) -> Column:
+        i = compared.index(c)
+        before = F.when(tests[i], F.concat(F.lit("Previous: "), F.coalesce(F.col(f"__p{i}").cast("string"), F.lit(""))))
+        return F.struct(F.col(f"__c{i}").cast("string").alias("value"), before.alias("previous"), tests[i].alias("changed")).alias(c)
+
+    return both.filter(~had | _any(tests)).select(_key(key), *[cell(c) for c in columns if c in compared])
+
+
+def _sought(keys: DataFrame, key: str) -> DataFrame:
+    """Distinct identifiers, marked for broadcast if all of them together take no more than ``SOUGHT_BYTES``."""
+    wanted = keys.select(col(key).cast("string").alias("id")).filter(F.col("id").isNotNull()).distinct()
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))).collect()[0][0]
+    return F.broadcast(wanted) if size <= SOUGHT_BYTES else wanted
+
+
 def match_ids(
     rows: DataFrame, keys: DataFrame, row_key: str, id_columns: Sequence[str] = ALTERNATIVE_IDS, key: str = "key"
 ) -> DataFrame:
     """``key, row_key, id_column``: rows a change-log key points to.
 
     The first identifier column in which a key occurs at all decides; later ones
-    are not looked at. The number of identifier columns is fixed, so each row is
-    copied that many times at most, as (identifier, row key) only.
+    are not looked at. Rows are marked by their wanted identifiers first; where the
+    keys are few enough to be broadcast, no other row is shuffled.
     """
     present = [c for c in id_columns if c in rows.columns]
-    pairs = rows.select(
-        col(row_key).alias("__row"),
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(i).alias("priority"), F.lit(c).alias("id_column"), col(c).cast("string").alias("id"))
-                for i, c in enumerate(present)
-            ])
-        ).alias("m"),
-    ).select("__row", "m.*").filter(F.col("id").isNotNull())
-    wanted = keys.select(col(key).cast("string").alias("id")).filter(F.col("id").isNotNull()).distinct()
+    wanted = _sought(keys, key)
+    # rows without a wanted identifier go before any cell is exploded
+    marked = rows.select(col(row_key).alias("__row"), *[col(c).cast("string").alias(f"__i{i}") for i, c in enumerate(present)])
+    for i in range(len(present)):
+        marked = marked.join(wanted.select(F.col("id").alias(f"__w{i}")), F.col(f"__i{i}") == F.col(f"__w{i}"), "left")
+    hits = [F.when(F.col(f"__w{i}").isNotNull(), F.struct(F.lit(i).alias("priority"), F.lit(c).alias("id_column"), F.col(f"__w{i}").alias("id"))) for i, c in enumerate(present)]
+    if not hits:
+        nothing = rows.select(F.lit("").alias("key"), col(row_key), F.lit("").alias("id_column"))
+        return nothing.limit(0)
+    found_any = _any([F.col(f"__w{i}").isNotNull() for i in range(len(present))])
+    pairs = marked.filter(found_any).select("__row", F.explode(F.array_compact(F.array(*hits))).alias("m")).select("__row", "m.*")
     # one row per (id, priority): the choice needs no row keys
-    best = (
-        pairs.select("id", "priority").distinct().join(wanted, "id", "left_semi")
-        .groupBy("id").agg(F.min("priority").alias("priority"))
-    )
+    best = pairs.select("id", "priority").distinct().groupBy("id").agg(F.min("priority").alias("priority"))
     found = pairs.join(best, ["id", "priority"])
     return found.select(F.col("id").alias("key"), F.col("__row").alias(row_key), "id_column")
-

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedops.operators.query import _equals
 from feedops.plans.columns import col, require_columns, resolve_key
@@ -27,22 +29,32 @@ def require_tables(catalog: Catalog, names: Sequence[str]) -> None:
         raise ValueError(f"tables missing from the catalog: {', '.join(missing)}")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds ``__place``, a number that a row keeps however often and wherever it is read."""
+    try:
+        return df.select("*", F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:  # no scan, or a format that does not number its rows
+        maps = {f.name for f in df.schema if isinstance(f.dataType, T.MapType)}
+        return df.withColumn("__place", F.xxhash64(*[F.to_json(col(c)) if c in maps else col(c) for c in df.columns]))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, slices: int = 16) -> DataFrame:
     """Inner join on one column in which a hot key of ``left`` is cut into slices.
 
     A key is hot when it holds more than 1/(4 * slices) of the left rows, so
     there are fewer than ``4 * slices`` hot keys and their list has a fixed
-    bound. Left rows of a hot key get one of ``slices`` numbers in turn, by their
-    place in the task, so equal rows spread too and no column is read for it; the
-    right rows of the hot keys alone are copied once per number.
+    bound. Left rows of a hot key get one of ``slices`` numbers that is the same
+    whenever they are read again: by their place in a parquet file where the frame
+    is a scan of one, so equal rows spread too and no column is read for it, else by a
+    hash of the row. The right rows of the hot keys alone are copied once per number.
     """
-    present = left.filter(col(key).isNotNull())
+    present = _placed(left).filter(col(key).isNotNull())
     counts = present.groupBy(col(key).alias("__k")).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     hot = counts.filter(F.col("__n") * (4 * slices) > total).select("__k", F.lit(True).alias("__hot"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int")
+    salt = F.pmod(F.col("__place"), F.lit(slices)).cast("int")
     marked = present.join(F.broadcast(hot), col(key) == F.col("__k"), "left")
-    marked = marked.withColumn("__slice", F.when(F.col("__hot"), salt).otherwise(0)).drop("__k", "__hot")
+    marked = marked.withColumn("__slice", F.when(F.col("__hot"), salt).otherwise(0)).drop("__k", "__hot", "__place")
     copies = right.join(F.broadcast(hot), col(key) == F.col("__k"), "left")
     copies = copies.withColumn(
         "__slice",

@@ -186,17 +186,17 @@ def c10(spark, d):
     return cells.groupBy("column").agg(F.count("*").alias("cells"))
 
 
-@add("c12_annotate_changes", f"""
+ANNOTATED = f"""
 WITH {CELLS},
 delta AS (SELECT * FROM curr WHERE o_orderkey NOT IN (SELECT o_orderkey FROM prev) OR o_orderkey IN (SELECT key FROM changed))
 SELECT o_orderkey, o_orderstatus AS status_value, 'Previous: ' || s.previous_value AS status_note,
        s.key IS NOT NULL AS status_changed, o_totalprice AS price_value, 'Previous: ' || t.previous_value AS price_note,
        t.key IS NOT NULL AS price_changed
 FROM delta LEFT JOIN changed s ON s.key = o_orderkey AND s."column" = 'o_orderstatus'
-           LEFT JOIN changed t ON t.key = o_orderkey AND t."column" = 'o_totalprice'""")
-def c12(spark, d):
-    prev, curr = snapshots(spark, d)
-    noted = op.annotate_changes(op.delta_rows(prev, curr, KEY, op.UNIQUE), op.cell_changes(prev, curr, KEY, op.UNIQUE), KEY)
+           LEFT JOIN changed t ON t.key = o_orderkey AND t."column" = 'o_totalprice'"""
+
+
+def _notes(noted):
     return noted.select(
         KEY,
         F.col("o_orderstatus.value").alias("status_value"), F.col("o_orderstatus.previous").alias("status_note"),
@@ -205,6 +205,17 @@ def c12(spark, d):
     )
 
 
+@add("c12_annotate_changes", ANNOTATED)
+def c12(spark, d):
+    prev, curr = snapshots(spark, d)
+    return _notes(op.annotate_changes(op.delta_rows(prev, curr, KEY, op.UNIQUE), op.cell_changes(prev, curr, KEY, op.UNIQUE), KEY))
+
+
+@add("c12_annotated_delta", ANNOTATED)
+def c12_delta(spark, d):
+    return _notes(op.annotated_delta(*snapshots(spark, d), KEY, op.UNIQUE, columns=["o_orderstatus", "o_totalprice"]))
+
+
 @add("c13_match_ids", """
 WITH keys AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS key FROM orders),
 a AS (SELECT key, l_orderkey, l_linenumber, l_partkey FROM keys JOIN lineitem ON CAST(l_suppkey AS VARCHAR) = key),

@@ -49,6 +49,15 @@ def test_documents_and_annotation(pair, rows):
     assert noted["5"]["a"] == ("m", None, False)
 
 
+@pytest.mark.parametrize("nulls", ["ignore", "strict"])
+def test_annotation_from_one_join(pair, rows, nulls):
+    cells, delta = op.cell_changes(*pair, "id", ORDER, nulls=nulls), op.delta_rows(*pair, "id", ORDER, nulls=nulls)
+    one = op.annotated_delta(*pair, "id", ORDER, nulls=nulls)
+    assert rows(one) == rows(op.annotate_changes(delta, cells, "id").select(one.columns)) and len(one.columns) > 1
+    same = op.annotated_delta(pair[0], pair[0], "id", ORDER)
+    assert same.columns == ["id"] and same.collect() == []
+
+
 def test_stats(pair):
     got = op.diff_stats(*pair, "id", ORDER).collect()[0].asDict()
     assert got == {
@@ -95,6 +104,17 @@ def test_match_ids(spark, rows):
     assert got == [("A", "r1", "ID_BB_GLOBAL"), ("C", "r3", "ID_BB_UNIQUE"), ("C", "r4", "ID_BB_UNIQUE")]
 
 
+@pytest.mark.parametrize("room", [64_000_000, 0])
+def test_match_ids_shuffles_wanted_rows_only(spark, rows, plan, monkeypatch, room):
+    monkeypatch.setattr(op, "SOUGHT_BYTES", room)
+    data = spark.range(2000).selectExpr("id AS row", "CAST(id % 50 AS string) AS a", "CAST(id AS string) AS b", "CAST(NULL AS string) AS c")
+    keys = spark.createDataFrame([("7",), ("1999",), ("1999",), (None,), ("none",)], "key string")
+    found = op.match_ids(data, keys, "row", ["c", "a", "missing", "b"])
+    assert rows(found) == sorted([("7", i, "a") for i in range(7, 2000, 50)] + [("1999", 1999, "b")], key=lambda r: tuple((v is not None, str(v)) for v in r))
+    assert (plan(found).count("BroadcastHashJoin") >= 3) or room == 0
+    assert op.match_ids(data, keys, "row", ["missing"]).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(spark, rows, seed):
     """Random snapshots in which one key holds a third of the rows."""

@@ -8,7 +8,7 @@ from __spark_entry__ import queries
 
 # query: number of hash shuffles
 SHUFFLES = {
-    "c9_diff_stats_repeated_keys": 2, "c3_classify": 2, "c5_cell_changes": 2, "c8_delta_rows": 2, "c4_split_changes": 2,
+    "c9_diff_stats_repeated_keys": 2, "c3_classify": 2, "c5_cell_changes": 2, "c8_delta_rows": 2, "c4_split_changes": 2, "c12_annotated_delta": 2,
     "c1_last_per_key": 1, "m1_merge_newest_columns": 1, "m2_upsert_records": 2, "e2_entity_state": 1, "e3_entity_history": 1,
     "m12_track_keys_by_file": 1, "f5_latest_per_dir": 1, "f7_snapshot_pair": 1, "r12_limit_per_file": 1, "a2_value_counts": 1,
     "j3_filter_shared": 2, "j7_missing_keys": 2, "q2_where_eq": 0, "q4_query": 0, "t6_convert": 0, "a10_categorise": 0,

@@ -223,3 +223,13 @@ def test_spread_join_of_equal_rows(spark, data, plan):
     lines, orders = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("lineitem", "orders"))
     text = plan(joins.spread_join(lines.withColumnRenamed("l_orderkey", "o_orderkey"), orders, "o_orderkey").select("l_quantity", "o_custkey"))
     assert "l_extendedprice" not in text and "l_comment" not in text
+
+
+def test_slices_are_the_same_when_rows_are_read_again(spark, data):
+    """What a rerun task would see: rows in another order must get the slices they had."""
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    for frame in (lines, lines.select("l_orderkey", "l_quantity").filter("l_quantity > 5")):
+        one, two = (dict(joins._placed(frame.repartition(n, "l_orderkey")).groupBy("l_orderkey").agg(F.sum(F.pmod("__place", F.lit(16)))).collect()) for n in (3, 7))
+        assert one == two
+    shuffled = lines.repartition(4).select("l_orderkey", "l_linenumber")
+    assert "monotonically" not in joins.spread_join(shuffled, lines.select("l_orderkey", "l_tax"), "l_orderkey")._jdf.queryExecution().toString()
