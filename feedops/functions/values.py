@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -200,10 +196,3 @@ def staged_name(c: Column | str) -> Column:
     """Name of the staging table of a file: readable part plus a short hash."""
     c = _col(c)
     return F.concat(F.lit("temp_"), sanitize_name(c), F.lit("_"), F.substring(F.md5(c), 1, 8))
-
-
-def staged_name_of(file_name: str) -> str:
-    """``staged_name`` for a single name held by the driver."""
-    base = os.path.splitext(os.path.basename(file_name))[0]
-    safe = re.sub(r"[^a-zA-Z0-9]+", "_", base).strip("_")
-    return f"temp_{safe}_{hashlib.md5(os.path.basename(file_name).encode()).hexdigest()[:8]}"

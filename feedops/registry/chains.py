@@ -22,7 +22,7 @@ FEED_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
 
 @add("f5_load_latest", f"""
 WITH {NEWEST},
-tgt AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_mktsegment FROM customer WHERE c_acctbal >= 0),
+tgt AS (SELECT CASE WHEN c_acctbal >= 0 THEN '' ELSE 'C' END || c_custkey AS id, c_name, c_mktsegment FROM customer),
 last AS (SELECT f.* FROM feeds f JOIN newest n ON f.feed = n.feed AND f.file = n.file {LAST})
 SELECT id, 'c_name' AS attribute, c_name AS "value" FROM tgt UNION ALL SELECT id, 'c_mktsegment', c_mktsegment FROM tgt
 {' '.join(f"UNION ALL SELECT o_custkey, '{c}', {c} FROM last" for c in FEED_COLUMNS)}

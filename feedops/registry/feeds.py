@@ -281,13 +281,17 @@ def r12_large(spark, d):
 
 @add("r13_reconcile_counts", f"""
 WITH {ORDER_FEEDS},
-c AS (SELECT file AS filename, count(*) AS declared_rows, count(*) FILTER (WHERE o_orderstatus <> 'P') AS actual_rows
-      FROM feeds GROUP BY file)
-SELECT *, CAST(floor(actual_rows * 100 / declared_rows) AS BIGINT) AS percent, declared_rows = actual_rows AS complete FROM c""")
+declared AS (SELECT file AS filename, count(*) AS declared_rows FROM feeds GROUP BY file),
+actual AS (SELECT CASE o_orderstatus WHEN 'P' THEN 'elsewhere.csv.gz' ELSE file END AS filename, count(*) AS actual_rows FROM feeds GROUP BY 1),
+c AS (SELECT filename, coalesce(declared_rows, 0) AS declared_rows, coalesce(actual_rows, 0) AS actual_rows FROM declared FULL OUTER JOIN actual USING (filename))
+SELECT *, CASE WHEN declared_rows > 0 THEN CAST(floor(actual_rows * 100 / declared_rows) AS BIGINT) ELSE -1 END AS percent, declared_rows = actual_rows AS complete FROM c""")
 def r13(spark, d):
+    """Orders of one status turn up in a file that nobody declared."""
     feeds = order_feeds(spark, d)
     meta = feeds.groupBy(F.col("file").alias("filename")).agg(F.count("*").alias("rowCount"))
-    return src.reconcile_counts(feeds.filter(F.col("o_orderstatus") != "P"), meta, "file")
+    landed = F.when(F.col("o_orderstatus") == "P", F.lit("elsewhere.csv.gz")).otherwise(F.col("file"))
+    found = src.reconcile_counts(feeds.withColumn("file", landed), meta, "file")
+    return found.withColumn("percent", F.coalesce("percent", F.lit(-1).cast("bigint")))
 
 
 @add("r14_require_nonempty", f"""

@@ -82,12 +82,13 @@ def j5(spark, d):
     return joined.select("o_orderkey", "o_totalprice", "l_linenumber", "l_partkey", "l_quantity")
 
 
-URGENT = "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000"
+URGENT = "SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 200000 THEN o_custkey ELSE -o_custkey - 1 END FROM orders"
 
 
 def urgent(spark, d):
-    orders = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_totalprice > 200000")
-    return orders.select("o_custkey")
+    """A master key per order: the customer's for large urgent ones, else one that no customer has."""
+    wanted = F.expr("o_orderpriority = '1-URGENT' AND o_totalprice > 200000")
+    return table(spark, d, "orders").select(F.when(wanted, F.col("o_custkey")).otherwise(-F.col("o_custkey") - 1).alias("o_custkey"))
 
 
 @add("j7_missing_keys", f"""

@@ -61,19 +61,19 @@ def m1_all(spark, d):
 
 
 def target_records(spark, d):
-    """Records of the customers in credit."""
-    customers = table(spark, d, "customer").filter("c_acctbal >= 0")
+    """A record per customer; those not in credit are known by another key, so their orders find none."""
+    customers = table(spark, d, "customer")
+    own = F.col("c_custkey").cast("string")
     data = F.create_map(
         F.lit("c_name"), F.col("c_name"), F.lit("c_mktsegment"), F.col("c_mktsegment"),
         F.lit("o_orderpriority"), F.lit("0-NONE"),
     )
-    return customers.select(F.col("c_custkey").cast("string").alias("id"), data.alias("data"))
+    return customers.select(F.when(F.col("c_acctbal") >= 0, own).otherwise(F.concat(F.lit("C"), own)).alias("id"), data.alias("data"))
 
 
 def staged_orders(spark, d):
-    """Finished orders as staged text: null tokens and a missing priority in places."""
-    done = text_orders(spark, d, "o_orderstatus = 'F'")
-    return done.select(
+    """Orders as staged text: null tokens and a missing priority in places."""
+    return text_orders(spark, d).select(
         F.col("o_custkey").alias("O_CUSTKEY"), "o_orderkey", "o_orderdate",
         F.when(F.col("o_orderpriority") != NO_PRIORITY, F.col("o_orderpriority")).alias("o_orderpriority"),
         F.when(F.col("o_totalprice").cast("double") > 400000, "N.A.").otherwise(F.col("o_totalprice")).alias("Order"),
@@ -82,11 +82,11 @@ def staged_orders(spark, d):
 
 
 RECORDS = f"""{TEXT_ORDERS},
-tgt AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_mktsegment, '0-NONE' AS pri FROM customer WHERE c_acctbal >= 0),
+tgt AS (SELECT CASE WHEN c_acctbal >= 0 THEN '' ELSE 'C' END || c_custkey AS id, c_name, c_mktsegment, '0-NONE' AS pri FROM customer),
 staged AS (SELECT o_custkey AS id, o_orderkey, o_orderdate, o_orderdate || ' ' || o_orderkey AS ord,
                   CASE WHEN o_orderpriority <> '{NO_PRIORITY}' THEN o_orderpriority END AS pri,
                   CASE WHEN CAST(o_totalprice AS DOUBLE) > 400000 THEN NULL ELSE o_totalprice END AS price
-           FROM text_orders WHERE o_orderstatus = 'F'),
+           FROM text_orders),
 kept AS (SELECT id, arg_max(o_orderkey, ord) AS okey, arg_max(o_orderdate, ord) AS odate,
                 arg_max(pri, ord) FILTER (WHERE pri IS NOT NULL) AS pri,
                 arg_max(price, ord) FILTER (WHERE price IS NOT NULL) AS price FROM staged GROUP BY id),

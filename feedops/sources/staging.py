@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedops.functions.values import staged_name_of
+from feedops.functions.values import staged_name
+from feedops.sources.inventory import base_name
 
 
 def stage(df: DataFrame, file_name: str, keep: bool = False) -> str:
@@ -13,7 +14,7 @@ def stage(df: DataFrame, file_name: str, keep: bool = False) -> str:
 
     ``keep`` writes a table that outlives the session; otherwise it is a view.
     """
-    name = staged_name_of(file_name)
+    name = df.sparkSession.range(1).select(staged_name(base_name(F.lit(file_name)))).first()[0]
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     if keep:
         text.write.mode("overwrite").saveAsTable(name)
