@@ -1,18 +1,23 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-A token is an element's start tag in its role: the path of elements that lead to it, with their ids and classes. The
-occurrence vector of a token says how often it stands in each page of the host; tokens with the same vector form an
-equivalence class. Vectors are never gathered: a page adds one hash of (page, count) to each of its tokens, and hashes are
-folded with XOR in the map tasks, so a class is what shares (host, fold, pages) and a host with a third of all pages costs
-one row per token and task. A token is valid if its class stands in enough of the host's pages and it nests: its parent element
-is in the template too. Size and fold of a class decide nothing. Valid classes, nested by path, are the host's template. Its slots, the places where text varies, are
-what is left; the slots below the template's article elements (or, where it has none, below the deepest element that stands once in
-a page and holds every place outside boilerplate whose text varies from page to page) are the main text. Where no element holds
-them all, nothing but boilerplate is dropped.
-
-Boilerplate is known by element or by words in id, class or role: navigation, headers, footers, side bars, notices, adverts,
-forms, scripts, styles, reader comments. Pages that lack the template's article, and hosts without a valid class, are judged by
-the same rules on their own elements.
+A token is an element's start tag in its role (the path of elements that lead to it, with their ids and classes), or the whole text
+of the elements in one role. The occurrence vector of a token says how often it stands in each page of the host; tokens with the
+same vector form an equivalence class. Vectors are never gathered: a page adds one hash of (page, count) to each of its tokens, and hashes
+are folded with XOR in the map tasks, so a class is what shares (host, fold, pages) and a host with a third of all pages costs one row
+per token and task. A text token has the vector of its element exactly where all pages with the element say the same in it, so its
+smallest and largest hash stand for it.
+
+A class is valid if it has ``SIZE`` tokens or more, stands in enough of the host's pages (``SUPPORT``), and its elements nest: the parent of
+each is in the template too. Valid classes, nested by path, are the host's template. Where the text of a template element is in the
+element's own class it is template text and goes, whatever it is called, also inside an article; ``CONTENTS`` pages of different
+content must agree on it, since copies and near copies of a page agree on everything. What is left between are the slots: text that
+varies, or that stands in a role shared with varying text. The main text are the slots below the template's article elements, or,
+where it has none, below the deepest element that stands once in a page and holds every place outside boilerplate whose text varies from page
+to page. Where no element holds them all, nothing but boilerplate and template text is dropped.
+
+The contract's boilerplate is known by element or by words in id, class or role as well, since a host may have one page only: navigation,
+headers, footers, side bars, notices, adverts, forms, scripts, styles, reader comments. Pages that lack the template's article, and
+hosts without a valid class, are judged by these rules on their own elements.
 
 Null and empty pages have empty text. Tags may be missing or unclosed; a comment or script without an end reaches to the end of the
 page. Repeated pages get the same text; null urls share one host.
@@ -36,6 +41,11 @@ from feedops.llm.urls import host_of
 SALTS = 32
 #: A valid class stands in this share of a host's pages, and in two pages at least.
 SUPPORT = 0.5
+#: Tokens of a valid class: a single token that recurs is no template.
+SIZE = 2
+#: So many pages of different content must share a text before it is the template's; text blocks of ``LONG`` characters tell contents apart.
+CONTENTS = 4
+LONG = 100
 #: Deeper paths are known by a hash of what is above, so that nesting without end costs no more.
 LONGEST_PATH = 1000
 
@@ -156,34 +166,78 @@ def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
 _NONE, _P = frozenset(), frozenset("p")
 
 
-def tokens(page: str) -> dict[str, tuple[int, int, bool, bool, int]]:
-    """By path: how often it opens, characters of text right inside, whether boilerplate, whether an outermost article, hash of the text.
+class Token:
+    """An element in its role, as a page has it."""
 
-    Text outside all elements has the empty path.
+    __slots__ = ("times", "chars", "boiler", "main", "said", "whole")
+
+    def __init__(self, boiler: bool, main: bool):
+        self.times, self.chars, self.boiler, self.main = 0, 0, boiler, main
+        #: hashes of the text right inside and of all text below; none without text
+        self.said, self.whole = None, None
+
+
+def _add(hashed: xxhash.xxh64 | None, part: bytes) -> xxhash.xxh64:
+    hashed = hashed or xxhash.xxh64()
+    hashed.update(part)
+    return hashed
+
+
+def tokens(page: str) -> tuple[dict[str, Token], int]:
+    """The tokens of a page by path, and a hash of its content that copies share and near copies mostly.
+
+    Text outside all elements has the empty path. ``main`` marks outermost articles.
     """
-    count, size, kind, parts = Counter(), Counter(), {}, {}
+    found: dict[str, Token] = {}
+    inside: set[str] = set()
+    open_ones: list[list] = []
+    long, short = [], []
+
+    def text_of(inner: str) -> bytes:
+        raw = f"{inner}\0".encode("utf-8", "surrogatepass")
+        (long if len(inner) >= LONG else short).append(xxhash.xxh64_intdigest(raw))
+        return raw
+
     for event, element, text in walk(page):
         if element is None:
-            if text.strip():
-                count[""], kind[""] = 1, (False, False, False)
-                size[""] += len(text.strip())
-                parts.setdefault("", xxhash.xxh64()).update(f"{text.strip()}\0".encode("utf-8", "surrogatepass"))
+            inner = text.strip()
+            if inner:
+                own = found.setdefault("", Token(False, False))
+                own.times = 1
+                own.chars += len(inner)
+                own.said = own.whole = _add(own.said, text_of(inner))
             continue
         if event in ("open", "void"):
-            count[element.path] += 1
-            parent = element.path.rpartition("/")[0]
-            kind[element.path] = (element.boiler, element.main and not (parent in kind and kind[parent][2]), element.main)
-        elif event == "text" and not element.boiler:
+            own = found.get(element.path)
+            if own is None:
+                own = found[element.path] = Token(element.boiler, element.main and element.path.rpartition("/")[0] not in inside)
+                if element.main:
+                    inside.add(element.path)
+            own.times += 1
+            if event == "open":
+                open_ones.append([own, None])
+        elif event == "text":
             inner = text.strip()
-            if inner:
-                size[element.path] += len(inner)
-                parts.setdefault(element.path, xxhash.xxh64()).update(f"{inner}\0".encode("utf-8", "surrogatepass"))
-    return {path: (n, size[path], kind[path][0], kind[path][1], parts[path].intdigest() if path in parts else 0) for path, n in count.items()}
+            if inner and not element.boiler:
+                own, raw = found[element.path], text_of(inner)
+                own.chars += len(inner)
+                own.said = _add(own.said, raw)
+                open_ones[-1][1] = _add(open_ones[-1][1], raw)
+        else:
+            own, hashed = open_ones.pop()
+            if hashed is not None and not own.boiler:
+                own.whole = _add(own.whole, hashed.digest())
+                if open_ones:
+                    open_ones[-1][1] = _add(open_ones[-1][1], hashed.digest())
+    return found, min(long) if long else xxhash.xxh64_intdigest(repr(short))
 
 
-def blocks(page: str, roots: list[str]) -> list[str]:
-    """Text blocks below the elements with a path in ``roots``; below all articles, or the body, if there is none."""
-    known = set(roots)
+def blocks(page: str, roots: list[str], drops: list[str] = ()) -> list[str]:
+    """Text blocks below the elements with a path in ``roots``; below all articles, or the body, if there is none.
+
+    Elements with a path in ``drops`` are left out.
+    """
+    known, gone, dropped = set(roots), set(drops), 0
     found: dict[str, list[str]] = {"root": [], "main": [], "body": []}
     held: list[tuple[bool, bool, str]] = []
     inside = 0
@@ -203,15 +257,16 @@ def blocks(page: str, roots: list[str]) -> list[str]:
 
     for event, element, text in walk(page):
         if event == "text":
-            if element is None or not element.boiler:
+            if not dropped and (element is None or not element.boiler):
                 held.append((inside > 0, element is not None and element.main, text))
             continue
         if element.tag in BLOCKS:
             flush()
         elif element.tag == "br":
             held.append((inside > 0, element.main, " "))
-        if event != "void" and element.path in known:
-            inside += 1 if event == "open" else -1
+        if event != "void":
+            inside += (1 if event == "open" else -1) if element.path in known else 0
+            dropped += (1 if event == "open" else -1) if element.path in gone else 0
     flush()
     return found["root"] or found["main"] or found["body"]
 
@@ -221,25 +276,32 @@ def _line(parts) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, fold, times, chars, boiler, main, varies): tokens with their folded occurrence vectors.
+    """(host, path, pages, fold, times, chars, boiler, main, varies, constant, contents): tokens with their folded occurrence vectors.
 
-    The text of a token varies if it is not the same in all its pages.
+    ``varies``: the text right inside is not the same in all its pages. ``constant``: all text below is, so that this text has the
+    element's vector. ``contents``: different contents among its pages, at most 63 and not above the true number.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, host, page in zip(*(c.to_pylist() for c in batch.columns)):
-                for path, (n, chars, boiler, main, said) in tokens(page or "").items():
-                    fold = xxhash.xxh64_intdigest(f"{key}:{n}") - (1 << 63)
-                    rows.append((host, path, n, fold, chars, boiler, main, said - (1 << 63)))
+                found, content = tokens(page or "")
+                for path, t in found.items():
+                    fold = xxhash.xxh64_intdigest(f"{key}:{t.times}") - (1 << 63)
+                    said, whole = (h.intdigest() if h else 0 for h in (t.said, t.whole))
+                    rows.append((host, path, t.times, fold, t.chars, t.boiler, t.main, said - (1 << 63), whole - (1 << 63), 1 << content % 63))
             if rows:
-                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["host", "path", "times", "fold", "chars", "boiler", "main", "said"])
+                names = ["host", "path", "times", "fold", "chars", "boiler", "main", "said", "whole", "content"]
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=names)
 
     rows = pages.select(F.xxhash64("page_id", "url", F.length("html")).alias("key"), _host(), F.col("html").cast("string").alias("html"))
-    single = rows.mapInArrow(run, "host string, path string, times long, fold long, chars long, boiler boolean, main boolean, said long")
+    single = rows.mapInArrow(
+        run, "host string, path string, times long, fold long, chars long, boiler boolean, main boolean, said long, whole long, content long"
+    )
     return single.groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.bit_xor("fold").alias("fold"), F.max("times").alias("times"), F.sum("chars").alias("chars"), F.max("boiler").alias("boiler"), F.max("main").alias("main"),
-        (F.min("said") != F.max("said")).alias("varies"),
+        (F.min("said") != F.max("said")).alias("varies"), ((F.min("whole") == F.max("whole")) & (F.min("whole") > -(1 << 63))).alias("constant"),
+        F.bit_count(F.bit_or("content")).alias("contents"),
     )
 
 
@@ -248,18 +310,21 @@ def _host():
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, roots): the paths of the main slots in each host's template."""
+    """(host, roots, drops): in each host's template the paths of the main slots and of the elements with template text."""
     found = keep(page_tokens(pages), "page-tokens")
     size = found.groupBy("host").agg(F.max("pages").alias("most"))
-    # equivalence classes: same host, pages and folded vector
-    classes = found.groupBy("host", "pages", "fold").agg(F.count("*").alias("tokens"), F.max("main").alias("has_main"))
+    # equivalence classes: same host, pages and folded vector; a constant text is a token beside its element
+    classes = found.groupBy("host", "pages", "fold").agg((F.count("*") + F.count_if("constant")).alias("tokens"))
     members = found.join(classes, ["host", "pages", "fold"]).join(size, "host")
-    valid = members.filter((F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("most")))
+    valid = members.filter((F.col("tokens") >= SIZE) & (F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("most")))
     parents = valid.select("host", F.col("path").alias("parent"))
     nested = (
         valid.withColumn("parent", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")))
         .join(parents.withColumn("has_parent", F.lit(True)), ["host", "parent"], "left").filter("parent IS NULL OR has_parent")
     )
+    said = nested.filter(F.col("constant") & ~F.col("boiler") & ~F.col("main") & (F.col("path") != "") & (F.col("contents") >= CONTENTS))
+    outer = said.select("host", F.col("path").alias("parent"))
+    drops = said.join(outer, ["host", "parent"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("drops"))
     articles = nested.filter("main AND NOT boiler").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("roots"))
     # without an article: places whose text varies, or that not all pages have, counted below each template element
     slots = found.join(size, "host").filter("NOT boiler AND chars > 0 AND (varies OR pages < most)").join(articles, "host", "left_anti")
@@ -271,7 +336,7 @@ def templates(pages: DataFrame) -> DataFrame:
         .groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), F.col("path"))).alias("root"))
         .select("host", F.array("root").alias("roots"))
     )
-    return articles.unionByName(holding)
+    return articles.unionByName(holding).join(drops, "host", "full_outer").select("host", "roots", "drops")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -284,11 +349,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n\n".join(blocks(page, roots or [])) if page else "" for page, roots in zip(batch.column("html").to_pylist(), batch.column("roots").to_pylist())]
+            texts = ["\n\n".join(blocks(page, roots or [], drops or [])) if page else "" for page, roots, drops in zip(*(batch.column(c).to_pylist() for c in ("html", "roots", "drops")))]
             yield pa.record_batch(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    joined = rows.join(made, ["host", "salt"], "left").select("page_id", "url", "html", "roots")
+    joined = rows.join(made, ["host", "salt"], "left").select("page_id", "url", "html", "roots", "drops")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
