@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from feedops.functions.fingerprints import fingerprint
 from feedops.plans.columns import DEFAULT_IGNORE, check_same_header, col, compared_columns
-from feedops.plans.keyed import UNIQUE, Order, last_per_key, one_per_key
+from feedops.plans.keyed import BY_PRINT, UNIQUE, Order, last_per_key, one_per_key, row_print
 
 __all__ = [
-    "ALTERNATIVE_IDS", "DEFAULT_IGNORE", "UNIQUE", "annotate_changes", "annotated_delta", "cell_changes", "change_documents", "changed_columns",
+    "ALTERNATIVE_IDS", "BY_PRINT", "DEFAULT_IGNORE", "UNIQUE", "annotate_changes", "annotated_delta", "cell_changes", "change_documents", "changed_columns",
     "classify", "delta_rows", "diff_stats", "last_per_key", "match_ids", "split_changes",
 ]
 
@@ -97,12 +97,23 @@ def classify(
 
     Only the key, the order and a 32-character fingerprint of each row are
     shuffled. ``order`` decides which row of a repeated key counts, the last in
-    it; None: the largest row; ``UNIQUE``: no key is repeated. ``columns`` limits the comparison; otherwise all but the ignored
-    count.
+    it; None: the largest row, for which all columns have to travel; ``BY_PRINT``: the row with the largest fingerprint of its
+    columns, which travels in their place; ``UNIQUE``: no key is repeated. ``columns`` limits the comparison; otherwise all but the
+    ignored count.
     """
     prev, curr, compared = _prepared(prev, curr, key, columns, ignore, require_same_header)
+    if order is BY_PRINT:
+        # worked out at the scan, so that the shuffle takes the key and two texts of 32 characters
+        prev, curr = (s.select(col(key), row_print(s, key).alias("__rank"), fingerprint(compared).alias("__print")) for s in (prev, curr))
+        p, c = (_side(s, key, ["__rank"], ["__print"], mark) for s, mark in ((prev, "__p"), (curr, "__c")))
+        return _statuses(p, c, key)
     p = _side(prev.withColumn("__print", fingerprint(compared)), key, order, ["__print"], "__p")
     c = _side(curr.withColumn("__print", fingerprint(compared)), key, order, ["__print"], "__c")
+    return _statuses(p, c, key)
+
+
+def _statuses(p: DataFrame, c: DataFrame, key: str) -> DataFrame:
+    """Both sides, each with the fingerprint of its compared columns, as ``key, status``."""
     status = (
         F.when(F.col("__p").isNull(), "new").when(F.col("__c").isNull(), "deleted")
         .when(F.col("__p0") != F.col("__c0"), "modified").otherwise("unchanged")

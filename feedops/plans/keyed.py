@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedops.functions.fingerprints import fingerprint
 from feedops.plans.columns import col
 
 Order = Sequence[str | Column]
 # Order for callers who know that no key is repeated.
 UNIQUE: Order = ()
+# Order for callers to whom any fixed choice among the rows of a key will do: the
+# row with the largest fingerprint counts, and only that travels as its order.
+BY_PRINT: Order = ("fingerprint of all columns but the key",)
 
 
 def order_columns(order: Order) -> list[Column]:
@@ -59,8 +63,16 @@ def whole_row(df: DataFrame, key: str) -> list[Column]:
     return [F.to_json(col(c)) if c in maps else col(c) for c in df.columns if c != key] or [F.lit(0)]
 
 
+def row_print(df: DataFrame, key: str) -> Column:
+    """Fingerprint of all columns but the key; rows with the same one are equal as text."""
+    return fingerprint([c for c in df.columns if c != key])
+
+
 def one_per_key(df: DataFrame, key: str, order: Order | None) -> DataFrame:
-    """The last row of every key in ``order``; None: the largest row; ``UNIQUE``: only the key clean-up."""
+    """The last row of every key in ``order``; None: the largest row; ``BY_PRINT``: the
+    row with the largest fingerprint; ``UNIQUE``: only the key clean-up."""
     if order is None:
         return newest_row(df, key, whole_row(df, key))
+    if order is BY_PRINT:
+        return newest_row(df, key, [row_print(df, key)])
     return newest_row(df, key, order) if len(order) else valid_keys(df, key)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,15 +37,15 @@ def range_totals(ranged: DataFrame, amount: str, within: Sequence[str] = ()) ->
     At most (partitions + groups) rows, as a group covers consecutive partitions.
     """
     group = list(within)
-    parts = ranged.groupBy(*group, "__part").agg(F.sum(amount).alias("__sum"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*[col(g) for g in group], "__part").agg(F.sum(amount).alias("__sum"))
+    before = Window.partitionBy(*[col(g) for g in group]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
 
 
 def running_inside(ranged: DataFrame, order_by: Sequence[str], amount: str, out: str, within: Sequence[str] = ()) -> DataFrame:
     """Adds the running total inside each range partition of each group."""
     inside = (
-        Window.partitionBy(*within, "__part").orderBy(*[col(c) for c in order_by])
+        Window.partitionBy(*[col(g) for g in within], "__part").orderBy(*[col(c) for c in order_by])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return ranged.withColumn(out, F.sum(amount).over(inside))
@@ -61,10 +62,12 @@ def running_total(
     """
     group = list(within)
     ranged = ranges(df, group + list(order_by))
-    starts = range_totals(ranged, amount, group).drop("__sum")
+    keys = [*group, "__part"]
+    starts = range_totals(ranged, amount, group).select(*[col(g).alias(f"__g{i}") for i, g in enumerate(keys)], "__start")
     local = running_inside(ranged, order_by, amount, "__local", group)
-    joined = local.join(starts, [*group, "__part"])
-    return joined.withColumn(out, F.col("__start") + F.col("__local")).drop("__part", "__start", "__local")
+    # a group without a name is a group too
+    joined = local.join(starts, reduce(Column.__and__, [col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(keys)]))
+    return joined.select(*[col(c) for c in df.columns if c != out], (F.col("__start") + F.col("__local")).alias(out))
 
 
 def numbered(df: DataFrame, order_by: Sequence[str], out: str, within: Sequence[str] = ()) -> DataFrame:
@@ -73,6 +76,24 @@ def numbered(df: DataFrame, order_by: Sequence[str], out: str, within: Sequence[
     return counted.drop("__one")
 
 
+def nth_values(df: DataFrame, n: int, order_by: Sequence[str], within: str) -> DataFrame:
+    """``__group, __value, __room, __ties`` of each group of ``n`` rows or more: the order value of its ``n``-th row as a
+    struct, how many of the rows with that value are among the first ``n``, and how many rows have it.
+
+    Only the group and the order columns are shuffled, and counted before: equal ones are one row. A range holds no group
+    or value whole unless it is small, so a hot group stays spread.
+    """
+    value = F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
+    counted = df.select(col(within).alias("__group"), value.alias("__value")).groupBy("__group", "__value").agg(F.count("*").alias("__ties"))
+    ranged = ranges(counted, ["__group", "__value"])
+    starts = range_totals(ranged, "__ties", ["__group"]).filter((F.col("__start") < n) & (F.col("__start") + F.col("__sum") >= n))
+    starts = starts.select(F.col("__group").alias("__g"), F.col("__part").alias("__p"), "__start")
+    inside = ranged.join(starts, F.col("__group").eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    upto = running_inside(inside, ["__value"], "__ties", "__upto", ["__group"]).withColumn("__upto", F.col("__start") + F.col("__upto"))
+    room = F.lit(n) - (F.col("__upto") - F.col("__ties"))
+    return upto.filter((F.col("__upto") >= n) & (room > 0)).select("__group", "__value", room.alias("__room"), "__ties")
+
+
 def _rows_at(keys: DataFrame, order_by: Sequence[str], positions: Sequence[int], enough: int) -> list[tuple | None]:
     """Order values of the rows at 0-based positions, None beyond the end.
 

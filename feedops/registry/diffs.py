@@ -165,6 +165,22 @@ def c3_repeated(spark, d):
     return op.classify(*line_snapshots(spark, d), "l_orderkey")
 
 
+PRINTED = ["l_linenumber", "l_partkey", "l_returnflag", "l_suppkey"]
+PRINT = "md5(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in PRINTED) + ")"
+
+
+@add("c3_classify_by_print", f"""
+WITH old AS (SELECT l_orderkey, max({PRINT}) AS print FROM lineitem WHERE l_shipdate < DATE '1999-01-01' GROUP BY l_orderkey),
+now AS (SELECT l_orderkey, max({PRINT}) AS print FROM lineitem GROUP BY l_orderkey)
+SELECT CAST(coalesce(o.l_orderkey, n.l_orderkey) AS VARCHAR) AS l_orderkey,
+       CASE WHEN o.l_orderkey IS NULL THEN 'new' WHEN n.l_orderkey IS NULL THEN 'deleted' WHEN o.print <> n.print THEN 'modified'
+            ELSE 'unchanged' END AS status
+FROM old o FULL OUTER JOIN now n ON o.l_orderkey = n.l_orderkey""")
+def c3_by_print(spark, d):
+    """Repeated keys of which the row with the largest fingerprint counts."""
+    return op.classify(*(s.select("l_orderkey", *PRINTED) for s in line_snapshots(spark, d)), "l_orderkey", op.BY_PRINT)
+
+
 @add("c9_diff_stats_without_order", f"""{LARGEST}
 SELECT count(*) FILTER (WHERE has) AS current_row_count, count(*) FILTER (WHERE has AND (NOT had OR changed)) AS delta_row_count,
        count(*) FILTER (WHERE has AND NOT had) AS new_records, count(*) FILTER (WHERE had AND has AND changed) AS changed_records,

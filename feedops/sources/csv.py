@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from feedops.functions.values import name_date_text
 from feedops.plans.columns import col
-from feedops.plans.ranked import numbered
+from feedops.plans.ranked import nth_values, numbered
 from feedops.session import durable
 from feedops.sources.inventory import base_name, decoded, logical_path, require_nonempty
 from feedops.sources.records import cell_value, cells, lines, records, split_record, well_quoted
@@ -22,6 +22,8 @@ from feedops.sources.records import cell_value, cells, lines, records, split_rec
 UNSEEN = "\x00"
 SEPARATORS = [",", ";", "\t", "|"]
 QUOTES = ['"', "'"]
+#: Rows per file up to which each map task may send its own first rows to the ranking.
+RANKED = 1000
 
 
 def dedupe_header(names: Sequence[str]) -> list[str]:
@@ -261,16 +263,29 @@ def require_rows(
     return found.select(*inv.columns, F.col("error").isNull().alias("ok"), "error", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
-def limit_per_file(df: DataFrame, n: int, order_by: Sequence[str], file_col: str = "_file") -> DataFrame:
+def limit_per_file(
+    df: DataFrame, n: int, order_by: Sequence[str], file_col: str = "_file", ranked: int = RANKED
+) -> DataFrame:
     """First ``n`` rows of every file, exactly.
 
-    Up to a thousand rows the ranking is cut off inside each map task; beyond
-    that positions are counted range by range, so a large file stays spread.
+    Up to ``ranked`` rows the ranking is cut off inside each map task, which sends at most so many rows per file. Beyond that the
+    order value of each file's ``n``-th row is looked up among the order columns alone, and rows are held against it: they are not
+    ranked, rewritten or gathered per file. Among rows that tie with that value as many are kept as still fit.
     """
-    if n <= 1000:
+    if n <= ranked:
         w = Window.partitionBy(file_col).orderBy(*[col(c) for c in order_by])
         return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
-    return numbered(df, order_by, "__n", [file_col]).filter(F.col("__n") <= n).drop("__n")
+    here = F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
+    cuts = durable(nth_values(df, n, order_by, file_col))
+    cuts = cuts.select(F.col("__group").alias("__cut_group"), F.col("__value").alias("__cut"), F.col("__room").alias("__cut_room"), "__ties")
+    held = df.join(cuts, col(file_col).eqNullSafe(F.col("__cut_group")), "left")
+    # no cut: a file of fewer rows
+    sure = F.col("__cut").isNull() | (here < F.col("__cut")) | ((here == F.col("__cut")) & (F.col("__ties") <= F.col("__cut_room")))
+    if cuts.filter("__ties > __cut_room").isEmpty():
+        return held.filter(sure).select(*[col(c) for c in df.columns])
+    tied = durable(held.filter((here == F.col("__cut")) & (F.col("__ties") > F.col("__cut_room"))).withColumn("__id", F.monotonically_increasing_id()))
+    fitting = numbered(tied, ["__id"], "__n", [file_col]).filter(F.col("__n") <= F.col("__cut_room"))
+    return held.filter(sure).select(*[col(c) for c in df.columns]).unionByName(fitting.select(*[col(c) for c in df.columns]))
 
 
 def reconcile_counts(df: DataFrame, meta: DataFrame, file_col: str = "_file") -> DataFrame:

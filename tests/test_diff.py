@@ -170,3 +170,17 @@ def test_repeated_keys_count_once_by_default(spark):
     assert op.change_documents(cells).count() == 1
     assert [tuple(r) for r in op.classify(prev, curr, "id").collect()] == [("a", "modified")]
     assert [tuple(r) for r in op.delta_rows(prev, curr, "id").collect()] == [("a", 9)]
+
+
+def test_by_print(spark, rows, plan):
+    """A repeated key counts by its largest fingerprint; wide rows stay where they are."""
+    old = [("a", "1", "x"), ("a", "2", "y"), ("b", "1", None), ("c", "1", "x"), ("", "1", "x"), (None, "1", "x")]
+    new = [("a", "2", "y"), ("a", "1", "x"), ("a", "1", "x"), ("b", "1", ""), ("d", "1", "x")]
+    prev, curr = (spark.createDataFrame(r, "id string, a string, b string") for r in (old, new))
+    found = op.classify(prev, curr, "id", op.BY_PRINT)
+    assert rows(found) == [("a", "unchanged"), ("b", "modified"), ("c", "deleted"), ("d", "new")]
+    text = plan(found)
+    moved = [part.split("Input")[1].split("\n")[0] for part in text.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert moved and all(" a#" not in m and " b#" not in m for m in moved)
+    cells = rows(op.cell_changes(prev, curr, "id", op.BY_PRINT, nulls="strict"))
+    assert cells == [("b", "b", None, "")]

@@ -60,6 +60,27 @@ def test_limit_per_file(spark, rows):
         assert {f: sorted(v) for f, v in got.items()} == {f: v[:n] for f, v in want.items()}
 
 
+@pytest.mark.parametrize("n", [1, 7, 40, 100, 2000])
+def test_limit_per_file_by_value(spark, n):
+    """Ties at the cut, order values and files that are null, a file with half the rows, files with fewer rows."""
+    made = [(None if i % 2 else f"f{i % 6}", None if i % 5 == 0 else i // 9, f"v{i % 4}", i) for i in range(400)]
+    df = spark.createDataFrame(made, "`the file` string, a int, `b.c` string, id int")
+    got = src.limit_per_file(df, n, ["a", "b.c"], "the file", ranked=0)
+    assert got.columns == df.columns
+    found = [tuple(r) for r in got.collect()]
+    assert len(set(found)) == len(found) and set(found) <= set(made)
+    for name in (None, "f0", "f2", "f4"):
+        order = sorted(((r[1] is not None, r[1] or 0, r[2]) for r in made if r[0] == name))
+        assert sorted((r[1] is not None, r[1] or 0, r[2]) for r in found if r[0] == name) == order[:n]
+    assert src.limit_per_file(df.limit(0), n, ["a"], "the file", ranked=0).collect() == []
+
+
+def test_limit_per_file_neither_ranks_nor_moves_rows(spark, plan):
+    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("_file"), "id", F.lit("wide").alias("body"))
+    text = plan(src.limit_per_file(df, 1200, ["id"]))
+    assert "Window" not in text and "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text
+
+
 def test_reconcile(spark, rows):
     df = spark.createDataFrame([("a",), ("a",), ("c",)], "_file string")
     meta = spark.createDataFrame([("a", 3), ("b", 4)], "filename string, rowCount int")
