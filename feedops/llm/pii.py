@@ -1,12 +1,14 @@
 """Personal data replaced by surrogates that keep type, gender, script and format.
 
 Detected: e-mail addresses, phone numbers, card and account numbers, IP addresses, secrets, names after a title, and every
-further whole-word mention of such a name in the same document. An entity is its kind and normal form (letter case, separators and titles do not count), so every mention of it, in any
+further whole-word mention of such a name in the same document. A row of 13 to 19 digits is a card number if its check digit
+is right or a word for a card stands before it; an account number must pass its remainder test or follow its name. A private
+key without an end line goes up to where its characters end. An entity is its kind and normal form (letter case, separators and titles do not count), so every mention of it, in any
 document and any notation, gets the same surrogate (coreference). The surrogate is drawn from a keyed hash of the entity and
 then written in the notation of the mention: digits into its digits, words into its letter case.
 
 Distinctness is checked over the whole corpus: the distinct entities are shuffled by surrogate; where two meet, or a surrogate
-is itself an entity of the corpus, all but the first draw again, until none meets. The space of the draws grows with every
+is itself an entity of the corpus, all but the first draw again, until none meets; given names count like all others. The space of the draws grows with every
 attempt, past the mention's own length if need be, so this ends. Only the redrawn entities (few: draws are from large spaces)
 have to be known when texts are rewritten; they are broadcast in slices of fixed size.
 
@@ -20,6 +22,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,15 @@ ENDINGS = {
     "cyrillic": {"m": ("ов", "ин"), "f": ("ова", "ина"), "x": ("енко", "юк")},
     "greek": {"m": ("ίδης", "όπουλος"), "f": ("ίδου", "οπούλου"), "x": ("άκη", "έα")},
 }
+#: Endings of given names that are put together, so that those of different genders never meet.
+GIVEN_ENDINGS = {
+    "latin": {"m": "o", "f": "a", "x": "i"},
+    "cyrillic": {"m": "ий", "f": "ия", "x": "и"},
+    "greek": {"m": "ος", "f": "ία", "x": "ι"},
+}
+# Words before a number that name its kind.
+CARD_WORDS = ("card", "cards", "visa", "mastercard", "amex", "karte", "kreditkarte", "carte", "tarjeta", "carta", "карта", "карты", "κάρτα")
+ACCOUNT_WORDS = ("iban", "account", "konto", "kontonummer", "compte", "cuenta", "conto", "счёт", "счет", "λογαριασμός")
 #: Parts of a family name at the first draw; each further attempt takes one more.
 FIRST_PARTS = {"latin": 4, "cyrillic": 4, "greek": 5}
 #: Attempts in the length of the mention; later ones grow by a character each.
@@ -67,15 +79,16 @@ def _titles() -> str:
 
 
 _CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
-PATTERN = "|".join((
-    r"(?P<key>-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----)",
+PATTERNS = (
+    r"(?P<key>-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN ).)*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*[A-Za-z-]+: [^\n]*\n)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+(?:(?:\s|\\[nr])*[A-Za-z0-9+/]+={1,2}|\r?\n[A-Za-z0-9+/]+(?=\s*(?:\n|\Z)))?))",
     r"(?P<email>(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:[\w-]+\.)+[^\W\d_]{2,})",
     r"(?P<secret>(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)gh[pousr]_\w{30,}|(?<!\w)sk-[\w-]{20,}|(?<!\w)eyJ[\w-]{10,}\.[\w-]{5,}\.[\w-]{5,}"
     r"|(?<!\w)(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"
     r"|(?:(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key)[\"']?[ ]?[=:][ ]?)(?:[\"'](?P<quoted>[^\s\"']{6,})(?=[\"'])"
     r"|(?P<bare>(?=[^\s\"']*\d)[\w!@#$%^&*+/=.~-]{5,}\w)|(?<==)(?P<plain>[\w!@#$%^*+/.~-]{5,}\w)(?![\w(])))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?!\w))",
-    r"(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<wide>[ -])\d{6}(?P=wide)\d{5})(?![\d]))",
+    r"(?P<card>(?<![\d.])(?:(?P<run>\d{13,19})|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<wide>[ -])\d{6}(?P=wide)\d{5})(?![\d]))",
     r"(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))",
     r"(?P<ipv6>(?<![\w:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[a-fA-F:]*\d)[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6}::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?)(?![\w:]|\.\d))",
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
@@ -83,11 +96,40 @@ PATTERN = "|".join((
     r"|(?<![\w+.,/-])(?<!\d )(?:[2-9]\d{2} \d{3} \d{4}|(?=(?:\D?\d){9,12}(?!\d))(?:0\d{2,4}[ /-]\d{3,4}[ -]\d{3,4}|0\d{2,4}[ /-]\d{5,8})|0\d(?:(?: \d{2}){4}|(?:\.\d{2}){4}))(?![\w/-]|[.,]\d| \d))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     rf"(?P<name>(?<!\w)(?P<title>{_titles()})\.?[ ](?P<who>{_CAPITAL}(?:[ ]{_CAPITAL})?))",
-))
+)
+PATTERN = "|".join(PATTERNS)
 #: A text without any of these holds no entity: two searches that start at few characters, as a look-behind would not.
 GATES = (r"[0-9@=:]|PRIVATE KEY", rf"(?:{_titles()})\.? ")
 
 
+def _after(words: tuple[str, ...]) -> Callable[[str], re.Match | None]:
+    """Finds one of the words, perhaps with "number" or the like behind it, at the end of a text."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(words)})(?:[ ]?(?:no|nr|num|number|nummer|n°))?[\s.:#=\"'-]{{1,4}}\Z", re.IGNORECASE).search
+
+
+_card_word, _account_word = _after(CARD_WORDS), _after(ACCOUNT_WORDS)
+#: Characters before a number that are searched for the word that names it.
+WORD_REACH = 32
+
+
+def stands(match: re.Match) -> bool:
+    """Whether a match is what its form says: numbers with check digits have to pass or be named."""
+    if match.group("run") is not None:
+        number, named = match.group("run"), _card_word
+        passes = luhn(number[:-1]) == int(number[-1])
+    elif match.group("iban") is not None:
+        number, named = match.group("iban").replace(" ", ""), _account_word
+        passes = remainder(number) == 1
+    else:
+        return True
+    return passes or named(match.string[max(0, match.start() - WORD_REACH):match.start()]) is not None
+
+
+def remainder(account: str) -> int:
+    """Remainder by 97 of an account number with its first four characters moved behind and letters as numbers from 10."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def script_of(word: str) -> str:
     first = word[:1]
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
@@ -97,7 +139,8 @@ class Mention:
     """One match: the entities in it (kind, normal form) and how their surrogates are written."""
 
     def __init__(self, match: re.Match):
-        kind = next(k for k in KINDS if match.group(k) is not None)
+        held = match.groupdict()
+        kind = next(k for k in KINDS if held.get(k) is not None)
         text = match.group(kind)
         self.start, self.stop = match.span(kind)
         self.keys: list[tuple[str, str]] = []
@@ -201,8 +244,8 @@ def draw(key: bytes, kind: str, normal: str, attempt: int) -> str:
         part, script, gender = f"{kind}-m".split("-")[:3]
         if part == "given" and attempt == 0:
             return pick(GIVEN[script, gender]).lower()
-        stem = "".join(pick(PARTS[script]) for _ in range(FIRST_PARTS[script] + attempt if part == "family" else 2))
-        return stem + pick(ENDINGS[script][gender]) if part == "family" else stem + {"m": "o", "f": "a", "x": "i"}[gender] if script == "latin" else stem
+        stem = "".join(pick(PARTS[script]) for _ in range(FIRST_PARTS[script] + attempt if part == "family" else 1 + attempt))
+        return stem + (pick(ENDINGS[script][gender]) if part == "family" else GIVEN_ENDINGS[script][gender])
     if kind == "email":
         local, _, domain = normal.rpartition("@")
         return "".join(map(like, local)) + "@" + "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(6 + more)) + ".example." + _safe_end(domain)
@@ -225,10 +268,13 @@ def draw(key: bytes, kind: str, normal: str, attempt: int) -> str:
     if kind == "ipv6":
         return ":".join(["2001", "0db8", *(format(pick(range(65536)), "04x") for _ in range(6))])
     if kind == "iban":
-        return normal[:2] + "".join(map(like, normal[2:])) + "".join(pick("0123456789") for _ in range(more))
+        body = "".join(map(like, normal[4:])) + "".join(pick("0123456789") for _ in range(more))
+        check = 98 - remainder(f"{normal[:2]}00{body}")
+        return f"{normal[:2]}{check if remainder(normal) == 1 else (check + 1 + pick(range(95))) % 97:02d}{body}"
     if kind == "key":
-        head, *_, tail = normal.split("-----")[1], normal.split("-----")[-2]
-        return f"-----{head}-----\n" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) + f"\n-----{tail}-----"
+        _, head, _, *tail = normal.split("-----")
+        body = "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64))
+        return f"-----{head}-----\n{body}" + (f"\n-----{tail[0]}-----" if tail else "")
     known = re.match(r"AKIA|ASIA|gh[pousr]_|sk-|eyJ", normal)
     head = known.group() if known else ""
     if not any(c.isdigit() or c.isalpha() for c in normal):
@@ -258,14 +304,26 @@ class Finder:
 
     def __init__(self):
         self.gates = [re.compile(gate).finditer for gate in GATES]
-        self.find = re.compile(PATTERN, re.DOTALL).finditer
+        self.pattern = re.compile(PATTERN, re.DOTALL)
+        #: All kinds but those with check digits, for the place of a number that fails.
+        self.others = re.compile("|".join(p for p in PATTERNS if not p.startswith(("(?P<iban>", "(?P<card>"))), re.DOTALL)
+
+    def find(self, text: str, start: int = 0, stop: int | None = None) -> Iterator[Mention]:
+        stop = len(text) if stop is None else stop
+        while match := self.pattern.search(text, start, stop):
+            start = match.end()
+            if stands(match):
+                yield Mention(match)
+            elif other := self.others.match(text, match.start(), stop):
+                start = other.end()
+                yield Mention(other)
 
     def mentions(self, text: str | None) -> list[Mention]:
         """Matches in the lines that may hold one; a key block, which spans lines, has the whole text searched."""
         if not text:
             return []
         if "PRIVATE KEY" in text:
-            return self.with_again(text, [Mention(m) for m in self.find(text)])
+            return self.with_again(text, list(self.find(text)))
         lines = {}
         for gate in self.gates:
             stop = 0
@@ -273,7 +331,7 @@ class Finder:
                 if hit.start() >= stop:
                     stop = text.find("\n", hit.start()) + 1 or len(text)
                     lines[text.rfind("\n", 0, hit.start()) + 1] = stop
-        return self.with_again(text, [Mention(m) for start in sorted(lines) for m in self.find(text, start, lines[start])])
+        return self.with_again(text, [m for start in sorted(lines) for m in self.find(text, start, lines[start])])
 
     def with_again(self, text: str, found: list[Mention]) -> list[Mention | Again]:
         """``found`` with the further mentions of its names, capitalised or in capitals, outside other matches."""
@@ -330,8 +388,8 @@ def _drawn(rows: DataFrame, key: bytes, attempt: int, drawing: Callable[[bytes,
 def assign(found: DataFrame, key: bytes, drawing: Callable[[bytes, str, str, int], str] = draw) -> DataFrame:
     """(kind, normal, attempt, core) with all cores of a kind different and none of them an entity of the corpus.
 
-    Of entities that meet in a core the one that has drawn least, then the smallest, keeps it. Kinds of names share their
-    given names (there are only so many); they are told apart by family names. A family name of any gender takes its masculine core.
+    Of entities that meet in a core the one that has drawn least, then the smallest, keeps it, so what is settled stays: a round
+    reads the settled cores and writes only what it drew. A family name of any gender takes its masculine core.
     """
     found = keep(found, "entities")
     core = F.col("normal")
@@ -340,17 +398,19 @@ def assign(found: DataFrame, key: bytes, drawing: Callable[[bytes, str, str, int
             if {own} != {*others}:
                 core = F.when(F.col("kind") == f"family-{script}", F.regexp_replace(core, f"(?:{'|'.join(others)})$", own)).otherwise(core)
     taken = found.select("kind", core.alias("core")).distinct()
-    current, attempt = keep(_drawn(found, key, 0, drawing), "cores"), 0
+    settled, attempt = [], 0
     while True:
-        first = current.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "normal")).alias("first"))
-        used = first.join(taken.withColumn("real", F.lit(True)), ["kind", "core"], "left").filter("n > 1 OR real")
-        used = used.filter("NOT kind LIKE 'given-%'").select("kind", "core", "real", "first")
-        lost = current.join(used, ["kind", "core"]).filter(F.coalesce("real", F.lit(False)) | (F.struct("attempt", "normal") != F.col("first")))
-        lost = keep(lost.select("kind", "normal"), "redrawn")
-        if lost.isEmpty():
-            return current
+        drawn = keep(_drawn(found, key, attempt, drawing), "cores")
+        used = taken
+        for layer in settled:
+            used = used.unionByName(layer.select("kind", "core"))
+        first = drawn.groupBy("kind", "core").agg(F.min("normal").alias("normal"))
+        first = first.join(used, ["kind", "core"], "left_anti")
+        settled.append(keep(drawn.join(first, ["kind", "core", "normal"], "left_semi"), "settled"))
+        found = keep(drawn.join(first, ["kind", "core", "normal"], "left_anti").select("kind", "normal"), "redrawn")
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
         attempt += 1
-        current = keep(current.join(lost, ["kind", "normal"], "left_anti").unionByName(_drawn(lost, key, attempt, drawing)), "cores")
 
 
 def replace(docs: DataFrame, key: bytes, drawing: Callable[[bytes, str, str, int], str] = draw, slice_rows: int = 200_000) -> DataFrame:
