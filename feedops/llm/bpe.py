@@ -26,12 +26,17 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedops.llm.common import keep_bucketed
 
-WORD_BUCKETS = 192
+#: Word buckets at least and at most; between them there are as many as the session has shuffle partitions. A block sends
+#: each bucket one packed row, so very many buckets would make rows of single words.
+WORD_BUCKETS, MOST_BUCKETS = 192, 8192
+#: Encoded words that a bucket's task holds; where a bucket has more different ones it starts afresh, and a word that
+#: comes again after that is encoded again, with the same ids.
+HELD_WORDS = 1_000_000
 #: A block of documents ends at so many distinct words or about so many bytes of text.
 BLOCK_WORDS = 400_000
 BLOCK_BYTES = 48_000_000
@@ -215,7 +220,11 @@ def _cut(pattern: str, buckets: int):
     return run
 
 
-def _encode(ranks):
+def word_buckets(spark: SparkSession) -> int:
+    return min(MOST_BUCKETS, max(WORD_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _encode(ranks, held: int):
     """Task of step 2: rows sorted by bucket; each distinct word of a bucket is merged once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bucket, known = ranks.value, None, {}
@@ -228,6 +237,8 @@ def _encode(ranks):
                 for word in _split_words(words):
                     found = known.get(word)
                     if found is None:
+                        if len(known) >= held:
+                            known = {}
                         found = known[word] = merge(word, table)
                     ids.append(found)
                 size = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -316,22 +327,23 @@ def byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
 
-def _run(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int, finish, shared) -> DataFrame:
+def _run(docs: DataFrame, pattern: str, buckets: int | None, finish, shared, held: int) -> DataFrame:
+    buckets = word_buckets(docs.sparkSession) if buckets is None else buckets
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = keep_bucketed(texts.mapInArrow(_cut(pattern, buckets), PIECES_DDL), "pieces", "block")
     words = pieces.filter("bucket IS NOT NULL").select("block", "bucket", "words", "numbers")
     coded = (
         words.repartition("bucket").sortWithinPartitions("bucket", "block")
-        .mapInArrow(_encode(shared), "block long, numbers binary, ids binary")
+        .mapInArrow(_encode(shared, held), "block long, numbers binary, ids binary")
     )
     streams = pieces.filter("bucket IS NULL").select("block", "docs", "numbers")
     return coded.groupBy("block").cogroup(streams.groupBy("block")).applyInArrow(_place(finish), finish.ddl)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, buckets: int = WORD_BUCKETS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, held: int = HELD_WORDS) -> DataFrame:
     """(doc_id, ids): one row per row of ``docs`` (doc_id, text); ``path`` names the rank file on the driver."""
     ranks = read_ranks(path)
-    return _run(docs, ranks, pattern, buckets, _Ids(), docs.sparkSession.sparkContext.broadcast(ranks))
+    return _run(docs, pattern, buckets, _Ids(), docs.sparkSession.sparkContext.broadcast(ranks), held)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -347,8 +359,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, buckets: int = WORD_BUCKETS) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, held: int = HELD_WORDS) -> DataFrame:
     """Encodes and decodes every text and returns (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     ranks = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    return _run(docs, ranks, pattern, buckets, _Digests(shared), shared)
+    return _run(docs, pattern, buckets, _Digests(shared), shared, held)

@@ -29,6 +29,9 @@ from feedops.llm.common import Forest, bucket_chunks, components, dealt, keep, p
 
 SEED = 42
 BYTES = 8
+#: Positions of a posting where few fingerprints are compared. Unrelated fingerprints fall into one posting with chance
+#: 256^-width, so each meets no more than a few others up to 2^25 of them; beyond that a posting takes one position more.
+WIDTH = 3
 #: Shingles of a text that are hashed at once.
 AT_ONCE = 1 << 16
 
@@ -73,6 +76,14 @@ def posting_masks(most: int, width: int) -> list[int]:
     return [sum(0xFF << 8 * p for p in positions) for positions in combinations(range(BYTES - need + width), width)]
 
 
+def posting_width(n: int, most: int) -> int:
+    """Positions of a posting for ``n`` different fingerprints: as few as keep chance meetings in proportion to n."""
+    width = WIDTH
+    while n > 1 << 8 * width + 1:
+        width += 1
+    return min(width, BYTES - most)
+
+
 def _verified(most: int):
     """Task over sorted postings: tallies shared bytes of each pair, verifies, and returns connecting links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +104,7 @@ def _verified(most: int):
     return run
 
 
-def links(distinct: DataFrame, most: int = 4, width: int = 3) -> DataFrame:
+def links(distinct: DataFrame, most: int = 4, width: int = WIDTH) -> DataFrame:
     """(a, b): links that connect the documents of ``distinct`` (fp, doc), fingerprints unique, within ``most`` bits."""
     mask = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(posting_masks(most, width))]))
     postings = distinct.select("fp", "doc", mask.alias("m")).select(F.xxhash64("m.k", "m.key").alias("bucket"), "fp", "doc")
@@ -104,11 +115,14 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def near_copies(docs: DataFrame, most: int = 4, words: int = 4, width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row: 16 hex digits; the smallest doc_id reachable by links."""
+def near_copies(docs: DataFrame, most: int = 4, words: int = 4, width: int | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) per row: 16 hex digits; the smallest doc_id reachable by links.
+
+    ``width`` changes the cost and never the links; None takes it from the number of fingerprints.
+    """
     own = keep(fingerprints(docs, words), "fingerprints")
     distinct = keep(own.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints")
-    roots = components(links(distinct, most, width))
+    roots = components(links(distinct, most, posting_width(distinct.count(), most) if width is None else width))
     named = distinct.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("root", "doc").alias("component_id"))
     return own.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -116,7 +130,7 @@ def near_copies(docs: DataFrame, most: int = 4, words: int = 4, width: int = 3)
     )
 
 
-def keep_first(docs: DataFrame, most: int = 4, words: int = 4, width: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, most: int = 4, words: int = 4, width: int | None = None) -> DataFrame:
     """Rows of ``docs`` less those that are near copies of a document with a smaller doc_id.
 
     Rows that share a doc_id are one document: they go together, and one of them stays. Rows without a doc_id stay.

@@ -49,6 +49,20 @@ def test_ids_equal_tiktoken_and_decode_back(docs):
     assert plain_ids(TEXTS[0], RANKS, public_tokenizers.PATTERN) == own.encode_ordinary(TEXTS[0])
 
 
+def test_buckets_follow_the_partitions_and_hold_a_bounded_number_of_words(spark, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for partitions in ("4", "3000", "90000"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(bpe.word_buckets(spark))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == [bpe.WORD_BUCKETS, 3000, bpe.MOST_BUCKETS]
+    want = sorted(map(str, bpe.encode(docs, PATH, public_tokenizers.PATTERN, buckets=1).collect()))
+    assert sorted(map(str, bpe.encode(docs, PATH, public_tokenizers.PATTERN, buckets=1, held=2).collect())) == want
+
+
 def test_blocks_of_few_words_give_the_same(docs, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 3)
     monkeypatch.setattr(bpe, "CHUNK_DOCS", 2)

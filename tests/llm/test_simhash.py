@@ -26,9 +26,14 @@ def test_every_pair_within_reach_shares_a_posting():
         simhash.posting_masks(4, 5)
 
 
-def components_of(spark, values, most=4):
+def test_postings_take_more_positions_for_more_fingerprints():
+    assert [simhash.posting_width(n, 4) for n in (0, 1 << 25, (1 << 25) + 1, 1 << 33, 1 << 60)] == [3, 3, 4, 4, 4]
+    assert simhash.posting_width(1 << 40, 5) == 3 and simhash.posting_width(1, 6) == 2
+
+
+def components_of(spark, values, most=4, width=3):
     rows = [(int(np.uint64(v).view(np.int64)), i) for i, v in enumerate(values)]
-    links = simhash.links(spark.createDataFrame(rows, "fp long, doc long"), most)
+    links = simhash.links(spark.createDataFrame(rows, "fp long, doc long"), most, width)
     found = {r.node: r.root for r in common.components(links).collect()}
     return [found.get(i, i) for i in range(len(values))]
 
@@ -50,7 +55,7 @@ def test_links_equal_brute_force_with_hot_postings(spark, monkeypatch):
     values += [center ^ (1 << a) ^ (1 << b) for a in range(16) for b in range(a)]
     values = sorted(set(values), key=values.index)
     want = plain_components(values)
-    assert components_of(spark, values) == want
+    assert components_of(spark, values) == components_of(spark, values, width=4) == want
     monkeypatch.setattr(common.split_hot, "__defaults__", (8,))
     assert components_of(spark, values) == want
 
