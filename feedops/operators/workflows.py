@@ -12,10 +12,10 @@ from feedops.operators.diff import cell_changes, delta_rows, diff_stats
 from feedops.operators.discovery import filter_dirs, folders_containing, latest_per_dir, snapshot_pair
 from feedops.operators.entity import ENTITY_PREFIX, entity_history, entity_state
 from feedops.operators.merge import BOOKKEEPING, load_runs, merge_newest_columns, track_keys, upsert_records
-from feedops.plans.columns import resolve_key
+from feedops.plans.columns import col, resolve_key
 from feedops.plans.keyed import Order
-from feedops.sources.csv import read_feed
-from feedops.sources.inventory import file_inventory, logical_inventory
+from feedops.sources.csv import headers_by_path, read_feed
+from feedops.sources.inventory import decoded, file_inventory, logical_inventory, logical_path
 
 SUFFIXES = (".csv", ".csv.gz")
 # Columns that reading adds to a feed.
@@ -76,16 +76,38 @@ def merge_latest(
     spark: SparkSession, root: str, word: str, key: str, order: Order = ("_row",), keep_all_keys: bool = False
 ) -> DataFrame:
     """Newest file of every folder with ``word`` in its path, merged column-wise,
-    newest file first."""
+    newest file first.
+
+    One job reads all headers. Of files with one header only the newest can supply a column, so only that is read;
+    ``keep_all_keys`` reads the keys of the others, one scan per header.
+    """
     inv = feeds_under(spark, root)
     newest = latest_per_dir(inv.join(folders_containing(inv, word), "directory", "left_semi"))
-    frames, orders = [], {}
-    for file in newest.select("path", "date_text").orderBy("path").collect():
-        stamp = f"{file['date_text']} {file['path']}"
-        rows = read_feed(spark, file["path"], row_order=True)
-        frames.append((stamp, rows.drop("_file")))
-        orders[stamp] = list(order)
-    merged = merge_newest_columns(frames, key, orders, keep_all_keys)
+    stamps = {r["path"]: f"{r['date_text']} {r['path']}" for r in newest.select("path", "date_text").toLocalIterator()}
+    if not stamps:
+        raise ValueError(f"{root}: no file in a folder with {word!r} in its path")
+    heads: dict[str, dict[tuple, list[str]]] = {path: {} for path in stamps}
+    grouped = headers_by_path(spark, list(stamps), ",", '"')
+    parts = [(part, header) for header, group in grouped.items() for part in group]
+    listed = spark.createDataFrame([(i, part) for i, (part, _) in enumerate(parts)], "i int, part string")
+    for row in listed.select("i", logical_path(decoded(F.col("part"))).alias("path")).toLocalIterator():
+        part, header = parts[row["i"]]
+        heads[row["path"]].setdefault(header, []).append(part)
+    bare = sorted(path for path, found in heads.items() if not found)
+    if bare:
+        raise ValueError(f"no header line in {', '.join(bare)}")
+    supplying: dict[frozenset, str] = {}
+    for path in sorted(stamps, key=stamps.get, reverse=True):
+        supplying.setdefault(frozenset(heads[path]), path)
+    frames = [(stamps[p], read_feed(spark, p, row_order=True, heads=heads[p]).drop("_file")) for p in supplying.values()]
+    others = sorted(stamps.keys() - set(supplying.values()))
+    if keep_all_keys and others:
+        rest: dict[tuple, list[str]] = {}
+        for path in others:
+            for header, group in heads[path].items():
+                rest.setdefault(header, []).extend(group)
+        frames.append(("", read_feed(spark, others, heads=rest).select(col(key))))
+    merged = merge_newest_columns(frames, key, {stamp: list(order) for stamp, _ in frames}, keep_all_keys)
     return merged.drop("_row")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -218,13 +218,14 @@ def with_clock(df: DataFrame, out: str = "_read_at") -> DataFrame:
 
 def read_feed(
     spark: SparkSession, files: str | Sequence[str] | DataFrame, sep: str = ",", quote: str = '"', spread: bool = True,
-    row_order: bool = False, clock: bool = False, multi_line: bool = False,
+    row_order: bool = False, clock: bool = False, multi_line: bool = False, heads: Mapping[tuple, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Text feed with ``_file`` and ``_source_date`` (the date in the file name).
 
     ``files``: paths, or an inventory. ``row_order`` adds ``_row``, which orders the
     rows of a file; ``clock`` adds ``_read_at`` for measured load runs. A gz file is
-    read by one task, so its rows are spread before further work.
+    read by one task, so its rows are spread before further work. ``heads`` are the
+    files by header (``headers_by_path``), where the caller has them already.
     """
     if isinstance(files, DataFrame):
         files = [r["path"] for r in files.select("path").toLocalIterator()]
@@ -237,7 +238,7 @@ def read_feed(
                 tagged = tagged.withColumn("_row", F.struct(base_name(F.col("__path")).alias("part"), F.col("__at.block"), F.col("__at.line")))
             frames.append(tagged.drop("__path", "__at"))
     else:
-        for (names, *used), group in _grouped(spark, listed, sep, quote):
+        for (names, *used), group in heads.items() if heads else _grouped(spark, listed, sep, quote):
             tagged = with_file(_read(spark, group, names, *used))
             frames.append(with_row_order(tagged) if row_order else tagged)
     frames = [f.withColumn("_source_date", name_date_text(base_name(F.col("_file")))) for f in frames]

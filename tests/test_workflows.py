@@ -50,6 +50,20 @@ def test_merge_latest(spark, root, rows):
         ("BBG9", "nine", "n.a.", "20240201", None)]
 
 
+@pytest.mark.parametrize("keep", [False, True])
+def test_merge_latest_reads_one_file_per_header(spark, tmp_path, rows, plan, keep):
+    for i in range(6):
+        folder = tmp_path / f"feed {i}"
+        folder.mkdir()
+        head = "ID,a,b" if i % 2 else "ID,c"
+        (folder / f"x_2024010{i + 1}.csv").write_text(f"{head}\nk{i},1{i},2{i}\nsame,3{i},4{i}\n" if i % 2 else f"{head}\nk{i},1{i}\nsame,3{i}\n")
+    merged = workflows.merge_latest(spark, str(tmp_path), "feed", "ID", keep_all_keys=keep)
+    found = rows(merged.select("ID", "a", "b", "c"))
+    want = [("k4", None, None, "14"), ("k5", "15", "25", None), ("same", "35", "45", "34")]
+    assert found == sorted([*want, *[(f"k{i}", None, None, None) for i in range(4)]] if keep else want)
+    assert plan(merged).split("\n\n")[0].count("Scan csv") == (4 if keep else 2)
+
+
 def test_entities(spark, root, rows):
     inv = latest_per_dir(workflows.feeds_under(spark, root))
     meta = profile.extract_metadata(spark, root)
