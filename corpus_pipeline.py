@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedops.llm import bpe, decontam, langid, pii, shingles, simhash
+from feedops.llm import bpe, decontam, langid, pii, simhash
 from feedops.llm.common import keep
 
 #: A document whose best language has a mean probability not this part of the way from chance to certainty is in none of the languages learned.
 ABOVE_CHANCE = 0.3
-#: Near copies share this part of their shingles of so many words (Jaccard similarity).
-NEAR, NEAR_WORDS = 0.8, 5
+#: Fingerprints of near copies differ in so many bits at most; they are made of shingles of so many words.
+NEAR_BITS, NEAR_WORDS = 4, 4
 KEY = b"a key of the corpus"
 
 
@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, at five-word Jaccard 0.8 or more: the one with the smallest doc_id."""
-    return simhash.first_of_each(docs, shingles.near_copies(docs, NEAR, NEAR_WORDS))
+    """One document of each group that SimHash fingerprints link: the one with the smallest doc_id."""
+    return simhash.keep_first(docs, NEAR_BITS, NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
