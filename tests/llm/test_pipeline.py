@@ -4,11 +4,10 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
-from helpers import plain_hits
-from test_shingles import plain_components
+from helpers import groups, plain_fingerprint, plain_hits
 
 import corpus_pipeline
-from feedops.llm import bpe, langid, pii
+from feedops.llm import bpe, langid, pii, simhash
 
 
 def test_run_equals_the_plain_stages(spark, data, documents):
@@ -17,7 +16,10 @@ def test_run_equals_the_plain_stages(spark, data, documents):
     least = corpus_pipeline.least_language(len(network.labels))
     rows = sorted((r.doc_id, r.text) for r in documents.collect() if score[r.doc_id] >= least)
     assert len(rows) > 0.9 * documents.count()
-    first = plain_components([t for _, t in rows], corpus_pipeline.NEAR)
+    prints = [plain_fingerprint(t) for _, t in rows]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    first = groups(len(rows), near)
+    assert 0 < sum(first[i] != i for i in range(len(rows)))
     rows = [r for i, r in enumerate(rows) if first[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     windows = {}
@@ -53,6 +55,13 @@ def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "decontamination", "privacy", "tokens"]
 
 
+def test_near_copies_are_those_of_op5(spark, data, documents):
+    """The stage keeps one document of each group that the operator with its contract's lengths finds."""
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents, 4, 4).collect()}
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, documents, data).collect())
+    assert kept == sorted(set(found.values())) and len(kept) < len(found)
+
+
 def test_stages_keep_the_columns(spark, data, documents):
     docs = documents.limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
