@@ -79,3 +79,15 @@ rows AS (SELECT f.* FROM feeds f JOIN newest n ON f.feed = n.feed AND f.file = n
 SELECT DISTINCT o_custkey FROM rows""")
 def m1_chain(spark, d):
     return workflows.merge_latest(spark, feed_tree(spark, d), "feed", "o_custkey", ORDER, keep_all_keys=True).select("o_custkey")
+
+
+@add("m1_merge_latest_values", f"""
+WITH {NEWEST},
+rows AS (SELECT f.* FROM feeds f JOIN newest n ON f.feed = n.feed AND f.file = n.file),
+top AS (SELECT feed, file FROM newest ORDER BY file DESC, feed DESC LIMIT 1),
+last AS (SELECT f.* FROM feeds f JOIN top t ON f.feed = t.feed AND f.file = t.file {LAST})
+SELECT k.o_custkey, l.o_orderkey, l.o_totalprice, l.o_orderdate, l.o_orderpriority
+FROM (SELECT DISTINCT o_custkey FROM rows) k LEFT JOIN last l ON k.o_custkey = l.o_custkey""")
+def m1_values(spark, d):
+    merged = workflows.merge_latest(spark, feed_tree(spark, d), "feed", "o_custkey", ORDER, keep_all_keys=True)
+    return merged.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")

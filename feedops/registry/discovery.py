@@ -9,6 +9,7 @@ from feedops.registry.base import Registry, table
 from feedops.registry.inputs import DOCUMENT_FILES, ORDER_FEEDS, document_files, feed_tree, text_orders
 from feedops.session import scratch_path
 from feedops.sources.inventory import expand_paths, file_inventory, logical_inventory
+from feedops.sources.listing import list_files, match_files
 from feedops.streaming.ingest import ingest_incremental
 
 REGISTRY = Registry()
@@ -24,6 +25,15 @@ def f1(spark, d):
     return inv.select("directory", "name", (F.col("size") > 0).alias("has_bytes"))
 
 
+@add("f1_list_files", f"""
+WITH {ORDER_FEEDS}
+SELECT DISTINCT 'feed=' || feed AS directory, 'file=' || file AS name, TRUE AS has_bytes FROM feeds""")
+def f1_tasks(spark, d):
+    root = feed_tree(spark, d)
+    inv = logical_inventory(list_files(spark, root, [".csv.gz"]), root)
+    return inv.select("directory", "name", (F.col("size") > 0).alias("has_bytes"))
+
+
 @add("f2_filter_dirs_levels", f"""
 WITH {DOCUMENT_FILES},
 p AS (SELECT *, string_split(directory, '/') AS parts FROM files)
@@ -117,6 +127,16 @@ def f8(spark, d):
     return found.select(F.element_at(part, -3).alias("directory"), F.element_at(part, -2).alias("name")).distinct()
 
 
+@add("f8_match_files", f"""
+WITH {ORDER_FEEDS} SELECT DISTINCT 'feed=' || feed AS directory, 'file=' || file AS name FROM feeds
+WHERE feed IN ('orders_F', 'orders_P') AND file LIKE '%199%'""")
+def f8_tasks(spark, d):
+    root = feed_tree(spark, d)
+    found = match_files(spark, [f"{root}/feed=orders_{{F,P}}/*199*/*.gz", f"{root}/feed=orders_[^O]/*.199?1231*/*.gz"])
+    part = F.split("path", "/")
+    return found.select(F.element_at(part, -3).alias("directory"), F.element_at(part, -2).alias("name")).distinct()
+
+
 @add("f9_top_files_by_rows", """
 SELECT 'u' || CAST(user_id AS VARCHAR) AS filename, count(*) AS "rowCount" FROM events
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
@@ -145,3 +165,23 @@ def f10(spark, d):
     return spark.read.parquet(f"{root}/first").join(after, "year").select(
         "year", "rows", F.lit(again).alias("rows_second_run"), "rows_after"
     )
+
+
+@add("f10_ingest_batches", """
+SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS "rows",
+       (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS rows_second_run
+FROM orders GROUP BY 1""")
+def f10_batches(spark, d):
+    """Files one by one, and files that come after the first run: the urgent orders."""
+    orders = text_orders(spark, d).withColumn("year", F.substring("o_orderdate", 1, 4))
+    root, urgent = scratch_path(spark, "ingest"), F.col("o_orderpriority") == "1-URGENT"
+    schema = orders.schema
+    run = lambda: ingest_incremental(
+        spark, f"{root}/src", schema, f"{root}/sink", f"{root}/state", options={"maxFilesPerTrigger": "1"}
+    )
+    orders.filter(~urgent).repartition(3).write.parquet(f"{root}/src")
+    run()
+    orders.filter(urgent).repartition(2).write.mode("append").parquet(f"{root}/src")
+    late = run()
+    loaded = spark.read.parquet(f"{root}/sink").groupBy("year").agg(F.count("*").alias("rows"))
+    return loaded.withColumn("rows_second_run", F.lit(late))

@@ -61,9 +61,9 @@ def file_inventory(
     """
     roots = [root] if isinstance(root, str) else list(root)
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)
-    files = scan.select(
-        decoded(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
-    )
+    # this column holds plain paths, unlike those of the listing
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    files = scan.select(plain.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     if empty_files:
         listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
         listed = listed.select(decoded(F.col("path")).alias("path"))
