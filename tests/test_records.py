@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -128,3 +129,26 @@ def test_require_rows(spark, tmp_path):
     }
     only = inventory.file_inventory(spark, str(tmp_path)).filter("name = 'none.csv'")
     assert [(r["ok"], r["row_count"]) for r in src.require_rows(spark, only).collect()] == [(False, 0)]
+
+
+def test_misfits_move_counts_and_not_rows(spark, tmp_path, plan):
+    """Rows joined to the header of their file would go to one task per file, which no join of that kind can split."""
+    put(tmp_path / "in/a.csv", "\n \n1,2\n" + "3,4\n" * 300 + "5,6,7\n" * 5 + "8\n" * 2)
+    put(tmp_path / "in/b.csv", "1\n2,3\n")
+    put(tmp_path / "in/blank.csv", "\n \n")
+    for size in ("64b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            found = src.misfits(spark, f"{tmp_path}/in/*.csv")
+            text = plan(found)
+            got = {r["path"].rpartition("/")[2]: (r["rows"], r["short_rows"], r["long_rows"]) for r in found.collect()}
+            cut = Counter((r["path"].rpartition("/")[2], r["cells"], r["width"], r["line"]) for r in src.quarantine(spark, f"{tmp_path}/in/*.csv").collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == {"a.csv": (307, 2, 5), "b.csv": (1, 0, 1)}
+        assert cut == {("a.csv", 3, 2, "5,6,7"): 5, ("a.csv", 1, 2, "8"): 2, ("b.csv", 2, 1, "2,3"): 1}
+        assert "Join" not in text and text.split("\n\n")[0].count("Scan text") == 1
+        before = text.split("\n\n")[0].rpartition("Exchange")[2]
+        assert "HashAggregate" in before and "Sort" not in before
