@@ -63,6 +63,21 @@ def _rows(spark: SparkSession, paths: Sequence[str], sep: str, quote: str, multi
     return records(spark, paths, sep, quote) if multi_line else lines(spark, paths)
 
 
+def _head_facts(rows: DataFrame, candidates: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row per file: its first line, the widest row by each (separator, quote), and if there are several, how well they fit."""
+    facts = []
+    for i, (s, q) in enumerate(candidates):
+        width = F.size(cells(F.col("line"), s, q))
+        # the set of widths has a task keep one entry per file; for a largest width beside a first line Spark would sort all lines
+        facts.append(F.array_max(F.collect_set(width)).alias(f"most{i}"))
+        if len(candidates) > 1:
+            facts += [
+                F.min_by(width, "at").alias(f"head{i}"), F.mode(width).alias(f"mode{i}"), F.var_pop(width).alias(f"spread{i}"),
+                F.count_if(well_quoted(F.col("line"), s, q)).alias(f"quoted{i}"),
+            ]
+    return rows.groupBy("path").agg(F.min_by("line", "at").alias("head"), *facts)
+
+
 def headers_by_path(
     spark: SparkSession, paths: Sequence[str], sep: str = ",", quote: str = '"', rows: DataFrame | None = None
 ) -> dict[tuple[tuple[str, ...], str, str], list[str]]:
@@ -75,16 +90,7 @@ def headers_by_path(
     """
     candidates = [(s, q) for s in (SEPARATORS if sep == "auto" else [sep]) for q in (QUOTES if quote == "auto" else [quote])]
     choose = len(candidates) > 1
-    found, facts = rows if rows is not None else lines(spark, paths), []
-    for i, (s, q) in enumerate(candidates):
-        width = F.size(cells(F.col("line"), s, q))
-        facts.append(F.max(width).alias(f"most{i}"))
-        if choose:
-            facts += [
-                F.min_by(width, "at").alias(f"head{i}"), F.mode(width).alias(f"mode{i}"), F.var_pop(width).alias(f"spread{i}"),
-                F.count_if(well_quoted(F.col("line"), s, q)).alias(f"quoted{i}"),
-            ]
-    heads = found.groupBy("path").agg(F.min_by("line", "at").alias("head"), *facts)
+    heads = _head_facts(rows if rows is not None else lines(spark, paths), candidates)
     groups: dict[tuple[tuple[str, ...], str, str], list[str]] = defaultdict(list)
     for row in sorted(heads.toLocalIterator(), key=lambda r: r["path"]):
         def fit(i: int) -> tuple:
@@ -108,6 +114,12 @@ def _counted(rows: DataFrame) -> DataFrame:
     )
 
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """``path, first``: where the first row of every file stands; the first of each split is found among numbers, without a sort."""
+    first = rows.groupBy("path", F.col("at.block").alias("block")).agg(F.min("at.line").alias("line"))
+    return first.groupBy("path").agg(F.min(F.struct("block", "line")).alias("first"))
+
+
 def _with_cells(spark: SparkSession, paths: str | Sequence[str], sep: str, quote: str, multi_line: bool) -> DataFrame:
     """``path, at, line, cells``: the rows and how many cells they have."""
     found = _rows(spark, [paths] if isinstance(paths, str) else paths, sep, quote, multi_line)
@@ -156,7 +168,7 @@ def _from_records(spark: SparkSession, paths: Sequence[str], sep: str, quote: st
         raise ValueError("cells that span lines need a known separator and quote")
     rows = durable(records(spark, paths, sep, quote))
     found = _grouped(spark, paths, sep, quote, rows)
-    first = rows.groupBy("path").agg(F.min("at").alias("first"))
+    first = _first_rows(rows)
     known = spark.createDataFrame([(p, g) for g, (_, files) in enumerate(found) for p in files], "path string, header int")
     below = rows.join(first.join(known, "path"), "path").filter(F.col("at") != F.col("first"))
     out = []

@@ -9,9 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from feedops.session import durable
 from feedops.sources import csv as src
 from feedops.sources import inventory
-from feedops.sources.records import cells, records, split_record
+from feedops.sources.records import cells, lines, records, split_record
 
 
 def put(path, text):
@@ -152,3 +153,25 @@ def test_misfits_move_counts_and_not_rows(spark, tmp_path, plan):
         assert "Join" not in text and text.split("\n\n")[0].count("Scan text") == 1
         before = text.split("\n\n")[0].rpartition("Exchange")[2]
         assert "HashAggregate" in before and "Sort" not in before
+
+
+@pytest.mark.parametrize("size", ["64b", "128m"])
+def test_first_lines_are_found_without_sorting_all_lines(spark, tmp_path, plan, size):
+    put(tmp_path / "in/a.csv", "\n \nx,y\n" + "3,4\n" * 300 + "5,6,7\n" + "8\n" * 2)
+    put(tmp_path / "in/b.csv", "y,x\n2,3\n")
+    put(tmp_path / "in/blank.csv", "\n \n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = lines(spark, [f"{tmp_path}/in/*.csv"])
+        for found in (src._head_facts(read, [(",", '"')]), src._first_rows(read)):
+            before = plan(found).split("\n\n")[0].rpartition("Exchange")[2]
+            assert "Aggregate" in before and "Sort" not in before
+        kept = durable(read)
+        firsts = src._first_rows(kept).join(kept, F.col("first") == F.col("at")).collect()
+        heads = {tuple(names): [p.rpartition("/")[2] for p in files] for (names, *_), files in src.headers_by_path(spark, [f"{tmp_path}/in/*.csv"]).items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert heads == {("x", "y", "column_3"): ["a.csv"], ("y", "x"): ["b.csv"]}
+    assert sorted(r["line"] for r in firsts) == ["x,y", "y,x"]
