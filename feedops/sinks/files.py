@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedops.plans.columns import col
 
+#: Bytes of rows (see ``row_bytes``) up to which one task may write a file when a number of files is asked for.
+FILE_BYTES = 1 << 28
+
 
 def write_csv(
     df: DataFrame, path: str, gzip: bool = False, partition_by: Sequence[str] = (), mode: str = "errorifexists"
@@ -39,9 +43,30 @@ def write_lines(df: DataFrame, path: str, column: str | None = None, mode: str =
     df.select(col(column or df.columns[0]).cast("string").alias("value")).write.mode(mode).text(path)
 
 
-def write_parquet(df: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
-    """Parquet in about ``files`` even files; without it Spark balances sizes."""
-    out = df.repartition(files) if files else df.hint("rebalance")
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 for every column, and the length of texts, binaries and nested values (as text)."""
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size += F.coalesce(F.octet_length(col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size += F.coalesce(F.octet_length(col(field.name).cast("string")), F.lit(0))
+    return size
+
+
+def write_parquet(
+    df: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists", file_bytes: int = FILE_BYTES
+) -> None:
+    """Parquet in about ``files`` even files; without it Spark balances sizes.
+
+    A file is written by one task, so a table of more than ``file_bytes`` of rows per file gets more files, as even. One pass
+    over the columns of varying length finds the size of the table first.
+    """
+    if files:
+        size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+        out = df.repartition(max(files, -(-size // file_bytes)))
+    else:
+        out = df.hint("rebalance")
     out.write.mode(mode).parquet(path)
 
 

@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,3 +240,20 @@ def test_root_forms(spark, tmp_path, rows):
         inv = inventory.file_inventory(spark, root)
         assert rows(inv.select("directory", "name")) == [("EQ", "a_20240101.csv")], root
     assert rows(src.read_feed(spark, inv).select("x", "_source_date")) == [("1", "20240101")]
+
+
+def test_parquet_files_stay_bounded(spark, tmp_path):
+    """A number of files is kept for a table that fits them; a larger one gets more, as even, and no row less."""
+    df = spark.range(4000).select(
+        "id", F.when(F.col("id") % 5 != 0, F.repeat(F.lit("é"), 50)).alias("t.x"), F.array(F.lit(1.5), F.lit(None)).alias("a"),
+        F.create_map(F.lit("k"), F.col("id")).alias("m"), F.struct("id").alias("s"), F.lit(None).cast("binary").alias("b"),
+    )
+    for name, files, most, expected in (("few", 4, 1 << 28, 4), ("more", 4, 40_000, range(10, 30)), ("empty", 2, 1, 1)):
+        sinks.write_parquet(df.filter("id < 0") if name == "empty" else df, str(tmp_path / name), files, file_bytes=most)
+        sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / name)).groupBy(F.input_file_name()).count().collect()]
+        parts = [p for p in os.listdir(tmp_path / name) if p.startswith("part-")]
+        if name == "empty":
+            assert parts and not sizes
+            continue
+        assert len(parts) in (expected if isinstance(expected, range) else [expected])
+        assert sum(sizes) == 4000 and max(sizes) <= 1.2 * 4000 / len(parts) and min(sizes) >= 0.8 * 4000 / len(parts)
